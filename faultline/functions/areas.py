@@ -21,14 +21,14 @@ def plain_words(text):
     return F.regexp_replace(text, SEPARATORS, " ") if isinstance(text, Column) else re.sub(SEPARATORS, " ", text)
 
 
-def names_any(text: Column, patterns: Sequence[str]) -> Column:
-    """Whether a lower-cased text names one of the patterns.
+def names_any(text: Column, plain: Column, patterns: Sequence[str]) -> Column:
+    """Whether a lower-cased text, also given as plain words, names one of the patterns.
 
     Short patterns must not touch a letter or digit; longer ones are looked
     for with separators read as blanks.
     """
     short = [p for p in patterns if len(p) <= SHORT]
-    found = [F.contains(plain_words(text), F.lit(p))
+    found = [F.contains(plain, F.lit(p))
              for p in dict.fromkeys(plain_words(p) for p in patterns if len(p) > SHORT)]
     if short:
         alone = "|".join(f"\\Q{p}\\E" for p in short)
@@ -36,14 +36,18 @@ def names_any(text: Column, patterns: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, found)
 
 
-def claimed_areas(category: Column, title: Column, path: Column,
-                  areas: Sequence[seeds.Area] = seeds.AREAS) -> Column:
-    """Names of the areas that claim a finding by category, title or path (all lower case)."""
+def claimed_areas(areas: Sequence[seeds.Area] = seeds.AREAS) -> Column:
+    """Names of the areas that claim a finding by category, title or path.
+
+    Reads the lower-cased columns ``category``, ``title`` and ``path`` and the
+    plain words of the first two, ``plain_category`` and ``plain_title``.
+    """
     claims = []
     for area in areas:
-        tests = [F.contains(path, F.lit(p)) for p in area.path_patterns]
+        tests = [F.contains("path", F.lit(p)) for p in area.path_patterns]
         if area.text_patterns:
-            tests += [names_any(category, area.text_patterns), names_any(title, area.text_patterns)]
+            tests += [names_any(F.col(t), F.col(f"plain_{t}"), area.text_patterns)
+                      for t in ("category", "title")]
         claims.append(F.when(reduce(lambda a, b: a | b, tests), area.name))
     return F.array_compact(F.array(*claims))
 

@@ -36,20 +36,18 @@ def contains_any(text: Column, literals) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in literals])
 
 
-def worth_searching(text: Column, rule: Rule) -> Column:
-    """False only for texts the rule cannot match."""
+def worth_searching(text: Column, lowered: Column, rule: Rule) -> Column:
+    """False only for texts the rule cannot match.  ``lowered`` is the text in lower case."""
     if not rule.ignore_case or not rule.hints:
         return contains_any(text, rule.hints)
-    # the lower-cased text is bound once by wrapping it in an array of one element
-    lowered = F.exists(F.array(F.lower(text)), lambda low: contains_any(low, rule.hints))
-    return lowered | contains_any(text, ODD_CASES)
+    return contains_any(lowered, rule.hints) | contains_any(text, ODD_CASES)
 
 
 def line_ends(text: Column) -> Column:
     return F.regexp_replace(text, "[^\n]+", "")
 
 
-def find_all(text: Column, rule: Rule, ordinal: int) -> Column:
+def find_all(text: Column, lowered: Column, rule: Rule, ordinal: int) -> Column:
     """Matches of one rule and the stretches between them; null when there are none.
 
     Texts without any of the rule's hints are not searched.
@@ -59,7 +57,7 @@ def find_all(text: Column, rule: Rule, ordinal: int) -> Column:
         F.lit(rule.rule_id).alias("rule_id"), F.lit(ordinal).alias("rule_ord"),
         F.split(text, regex, -1).alias("gaps"),
         F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("matches"))
-    return F.when(worth_searching(text, rule) & F.regexp_like(text, F.lit(regex)), found)
+    return F.when(worth_searching(text, lowered, rule) & F.regexp_like(text, F.lit(regex)), found)
 
 
 def outline(find: Column) -> Column:
@@ -73,8 +71,9 @@ def line_hits(text: Column, finds: Column) -> Column:
     """Lines in which matches start, with their number and the stripped line.
 
     The work is linear in the text for each rule found, whatever the number of
-    matches.  The lines of the text are bound once by wrapping them in an
-    array of one element.
+    matches.  ``finds`` should be a computed column, as it is looked at twice;
+    the lines of the text are bound once by wrapping them in an array of one
+    element.
     """
     def of_find(find: Column, lines: Column) -> Column:
         marked = F.zip_with(

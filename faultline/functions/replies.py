@@ -36,8 +36,14 @@ def without_fences(reply: Column) -> Column:
 
 
 def parsed(text: Column) -> Column:
-    """A reply as a variant; null when it is not JSON."""
-    return F.try_parse_json(text)
+    """A reply as a variant; null when it is not one JSON value and nothing else.
+
+    The parser stops after the first value.  Only a text without anything
+    behind its value reads well both as a list item and as a field.
+    """
+    as_item = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    as_field = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when(as_item.isNotNull() & as_field.isNotNull(), F.try_parse_json(text))
 
 
 def _field(document: Column, key: str) -> Column:

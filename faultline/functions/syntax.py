@@ -34,28 +34,34 @@ SILENT_EXCEPT = (
     + r"(?:\n(?:" + _PASS + "|" + _QUIET + r"))*+(?!\n\1[ \t]+[^ \t\n#]))")
 
 
+SOURCE = TAINT_RULE._replace(regex=REQUEST_VALUE)
 TAINT = TAINT_RULE._replace(regex=RETURNED_TEXT)
 SUPPRESSION = SUPPRESSION_RULE._replace(regex=SILENT_EXCEPT)
 
 
-def reflected_values(text: Column, ordinal: int) -> Column:
-    """Returned formatted strings that place a request value, as line hits.
+def request_names(text: Column) -> Column:
+    """Names that are given a request value somewhere in the text."""
+    worth = F.contains(text, F.lit("request.")) & F.contains(text, F.lit("return"))
+    return F.when(worth, F.regexp_extract_all(text, F.lit(java_regex(SOURCE)), F.lit(1)))
+
+
+def returned_texts(text: Column, names: Column, ordinal: int) -> Column:
+    """Returned string literals of a text that reads request values, in the form of ``find_all``."""
+    return F.when(F.size(names) > 0, find_all(text, text, TAINT, ordinal))
+
+
+def reflected_values(text: Column, returned: Column, names: Column) -> Column:
+    """Returned strings that place a request value, as line hits.
 
     A return statement starts its own line, so hits and literals pair up.
     """
-    returned = line_hits(text, F.array_compact(F.array(find_all(text, TAINT, ordinal))))
-    literals = F.regexp_extract_all(text, F.lit(java_regex(TAINT)), F.lit(0))
-    names = F.regexp_extract_all(text, F.lit("(?d)" + REQUEST_VALUE), F.lit(1))
-
     def placed(literal: Column) -> Column:
         shown = F.regexp_replace(literal, r"\{\{|\}\}", "")
         return F.regexp_extract_all(shown, F.lit(PLACED_NAME), F.lit(1))
 
-    pairs = F.zip_with(returned, literals, lambda hit, literal: F.struct(
-        hit.alias("hit"), placed(literal).alias("placed")))
-    # the names are bound once per text by wrapping them in an array of one element
-    tainted = F.flatten(F.transform(F.array(names), lambda known: F.filter(
-        pairs, lambda x: F.arrays_overlap(x["placed"], known))))
-    worth = F.contains(text, F.lit("request.")) & F.contains(text, F.lit("return"))
-    return F.when(worth & (F.size(names) > 0), F.transform(tainted, lambda x: x["hit"])).otherwise(
+    pairs = F.zip_with(
+        line_hits(text, F.array(returned)), returned["matches"],
+        lambda hit, literal: F.struct(hit.alias("hit"), placed(literal).alias("placed")))
+    tainted = F.filter(pairs, lambda x: F.arrays_overlap(x["placed"], names))
+    return F.when(returned.isNotNull(), F.transform(tainted, lambda x: x["hit"])).otherwise(
         F.array().cast(HITS))

@@ -18,6 +18,7 @@ from faultline import seeds
 from faultline.functions import areas as a
 from faultline.functions import paths, severity
 from faultline.operators.ordered import ordinals
+from faultline.session import cut
 
 SERIOUS = ("CRITICAL", "HIGH")
 
@@ -27,41 +28,44 @@ class Graph(NamedTuple):
     edges: DataFrame
 
 
-def classified(findings: DataFrame, area_table: Sequence[seeds.Area] = seeds.AREAS,
-               marker: str = paths.WORK_MARKER) -> DataFrame:
-    """One row per finding and area it belongs to."""
+def _with_claims(findings: DataFrame, kept: dict[str, Column], area_table: Sequence[seeds.Area]) -> DataFrame:
+    """Findings with the areas that claim them and the area their path would give them."""
     def lowered(column: str) -> Column:
         return F.lower(F.coalesce(F.col(column), F.lit("")))
 
-    path = paths.slashes(lowered("file_path"))
-    claimed = a.claimed_areas(lowered("category"), lowered("title"), path, area_table)
+    words = findings.select(
+        *[c.alias(f"kept_{n}") for n, c in kept.items()],
+        lowered("category").alias("category"), lowered("title").alias("title"),
+        paths.slashes(lowered("file_path")).alias("path"))
+    plain = words.select(
+        "*", *[a.plain_words(F.col(t)).alias(f"plain_{t}") for t in ("category", "title")])
+    return plain.select(
+        *[F.col(f"kept_{n}").alias(n) for n in kept], a.claimed_areas(area_table).alias("claimed"),
+        a.fallback_area(F.col("path")).alias("otherwise"))
+
+
+def classified(findings: DataFrame, area_table: Sequence[seeds.Area] = seeds.AREAS,
+               marker: str = paths.WORK_MARKER) -> DataFrame:
+    """One row per finding and area it belongs to."""
     has_path = F.coalesce(F.col("file_path"), F.lit("")) != ""
-    narrow = findings.select(
-        "project_id", "finding_id",
-        F.when(F.coalesce("title", F.lit("")) != "", F.col("title"))
-        .otherwise("Unknown vulnerability").alias("title"),
-        "severity", F.when(F.col("line_number") != 0, F.col("line_number")).alias("line"),
-        F.when(has_path, paths.graph_path(F.col("file_path"), marker)).alias("full_path"),
-        claimed.alias("claimed"), a.fallback_area(path).alias("otherwise"))
-    return narrow.select(
-        *[c for c in narrow.columns if c not in ("claimed", "otherwise")],
-        F.explode(F.when(F.size("claimed") > 0, F.col("claimed")).otherwise(F.array("otherwise")))
+    kept = {
+        "project_id": F.col("project_id"), "finding_id": F.col("finding_id"),
+        "title": F.when(F.coalesce("title", F.lit("")) != "", F.col("title"))
+        .otherwise("Unknown vulnerability"),
+        "severity": F.col("severity"),
+        "line": F.when(F.col("line_number") != 0, F.col("line_number")),
+        "full_path": F.when(has_path, paths.graph_path(F.col("file_path"), marker)),
+    }
+    return _with_claims(findings, kept, area_table).select(
+        *kept, F.explode(F.when(F.size("claimed") > 0, F.col("claimed")).otherwise(F.array("otherwise")))
         .alias("area"))
 
 
 def unclaimed(findings: DataFrame, area_table: Sequence[seeds.Area] = seeds.AREAS) -> DataFrame:
     """Findings that no area claims, with the area their path ending gives them."""
-    def lowered(column: str) -> Column:
-        return F.lower(F.coalesce(F.col(column), F.lit("")))
-
-    path = paths.slashes(lowered("file_path"))
-    claimed = a.claimed_areas(lowered("category"), lowered("title"), path, area_table)
-    return findings.filter(F.size(claimed) == 0).select(
-        "project_id", "finding_id", "file_path", a.fallback_area(path).alias("area"))
-
-
-def _worst(rank_and_name: Column) -> Column:
-    return F.max(rank_and_name)
+    kept = {c: F.col(c) for c in ("project_id", "finding_id", "file_path")}
+    return _with_claims(findings, kept, area_table).filter(F.size("claimed") == 0).select(
+        *kept, F.col("otherwise").alias("area"))
 
 
 def file_groups(members: DataFrame) -> DataFrame:
@@ -92,7 +96,10 @@ def placed_areas(groups: DataFrame, area_table: Sequence[seeds.Area] = seeds.ARE
 
 
 def placed_files(groups: DataFrame, areas: DataFrame, large_group: int = 500_000) -> DataFrame:
-    """Files of each area by path, with their place on the circle around the area."""
+    """Files of each area by path, with their place on the circle around the area.
+
+    ``groups`` should be stored, as its group sizes are looked at.
+    """
     numbered = ordinals(
         groups.filter(F.col("full_path").isNotNull()), ["project_id", "area"], "full_path",
         "ordinal", large_group)
@@ -137,8 +144,12 @@ def file_edges(files: DataFrame) -> DataFrame:
 
 def security_graph(findings: DataFrame, area_table: Sequence[seeds.Area] = seeds.AREAS,
                    large_group: int = 500_000) -> Graph:
-    """Nodes and edges of all projects."""
-    groups = file_groups(classified(findings, area_table))
+    """Nodes and edges of all projects.
+
+    The findings are classified once; everything else derives from the stored
+    counts per area and file.
+    """
+    groups = cut(file_groups(classified(findings, area_table)))
     areas = placed_areas(groups, area_table)
     files = placed_files(groups, areas, large_group)
     none = F.lit(None).cast("string")

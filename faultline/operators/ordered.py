@@ -39,11 +39,16 @@ def ordinals(df: DataFrame, keys: list[str], order: str, name: str,
              large_group: int = 500_000, slices: int = 256) -> DataFrame:
     """Add the 0-based position of each row in its group, by a text column unique in the group.
 
+    ``df`` should be a stored table, since its group sizes are looked at first.
     Groups above ``large_group`` rows are cut at evenly spread sample values,
     chosen by hash so that a recomputed task cuts at the same values.
     """
     large = df.groupBy(*keys).agg(F.count("*").alias("group_size")).filter(
         F.col("group_size") > large_group).drop("group_size")
+    whole = Window.partitionBy(*keys).orderBy(order)
+    if large.isEmpty():
+        return df.select("*", (F.row_number().over(whole) - 1).cast("long").alias(name))
+
     by_hash = Window.partitionBy(*keys).orderBy(F.xxhash64(order), order)
     cuts = (
         df.join(large, keys, "left_semi")

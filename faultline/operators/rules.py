@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline import seeds
@@ -33,27 +34,38 @@ def _source_rank(rule: Rule) -> int:
     return SOURCE_RANKS[{"py": "pattern-py", "js": "pattern-js", "any": "secret"}[rule.lang]]
 
 
-def hits_column(content: Column, lang: Column, rules: Sequence[Rule]) -> Column:
-    """Array of tagged line hits of every rule that applies to the file."""
+def rule_lines(files: DataFrame, rules: Sequence[Rule] = seeds.PATTERN_RULES) -> DataFrame:
+    """One row per file, rule and line with the number of matches that start there.
+
+    What is looked at more than once - the lower-cased text, the finds, the
+    names of request values - is a column of its own, so that it is computed
+    once and inside generated code; all steps stay in the task that reads the
+    file.
+    """
+    content, lang = F.col("content"), F.col("lang")
+    texts = files.select("project_id", "file_path", "content", paths.language(F.col("file_path")).alias("lang"))
+    texts = texts.select("*", F.when(lang.isNotNull(), F.lower("content")).alias("lowered"))
+    with_taint = syntax.TAINT in rules
+    if with_taint:
+        texts = texts.select("*", F.when(lang == "py", syntax.request_names(content)).alias("names"))
+
     def of_language(name: str) -> Column:
         return F.array(*[
-            matching.find_all(content, r, i) for i, r in enumerate(rules)
+            matching.find_all(content, F.col("lowered"), r, i) for i, r in enumerate(rules)
             if r.lang == name and r != syntax.TAINT])
 
     routed = F.when(lang == "py", of_language("py")).when(lang == "js", of_language("js"))
-    finds = F.concat(
-        F.coalesce(routed, F.array()).cast(matching.FINDS), of_language("any").cast(matching.FINDS))
-    hits = matching.line_hits(content, F.array_compact(finds))
-    if syntax.TAINT not in rules:
-        return hits
-    tainted = F.when(lang == "py", syntax.reflected_values(content, rules.index(syntax.TAINT)))
-    return F.concat(hits, F.coalesce(tainted, F.array().cast(matching.HITS)))
-
-
-def rule_lines(files: DataFrame, rules: Sequence[Rule] = seeds.PATTERN_RULES) -> DataFrame:
-    """One row per file, rule and line with the number of matches that start there."""
-    hits = hits_column(F.col("content"), paths.language(F.col("file_path")), rules)
-    return files.select("project_id", "file_path", F.inline(hits))
+    finds = F.array_compact(F.concat(
+        F.coalesce(routed, F.array()).cast(matching.FINDS), of_language("any").cast(matching.FINDS)))
+    columns = [finds.alias("finds")]
+    if with_taint:
+        returned = syntax.returned_texts(content, F.col("names"), rules.index(syntax.TAINT))
+        columns += [returned.alias("returned"), F.col("names")]
+    found = texts.select("project_id", "file_path", "content", *columns)
+    hits = matching.line_hits(content, F.col("finds"))
+    if with_taint:
+        hits = F.concat(hits, syntax.reflected_values(content, F.col("returned"), F.col("names")))
+    return found.select("project_id", "file_path", F.inline(hits))
 
 
 def rule_matches(files: DataFrame, rules: Sequence[Rule] = seeds.PATTERN_RULES) -> DataFrame:
@@ -64,28 +76,30 @@ def rule_matches(files: DataFrame, rules: Sequence[Rule] = seeds.PATTERN_RULES)
         F.col("snippet").alias("code_snippet"))
 
 
+# Rule columns that decide about a finding, and those that only explain it.
+DECIDING = ("category", "severity", "confidence", "title")
+EXPLAINING = ("description", "impact", "recommendation", "example_fix")
+
+
+def rule_table(spark: SparkSession, rules: Sequence[Rule], fields: Sequence[str]) -> DataFrame:
+    return dimension(spark, {
+        "rule_id": [r.rule_id for r in rules], **{f: [getattr(r, f) for r in rules] for f in fields},
+        "source_rank": pa.array([_source_rank(r) for r in rules], pa.int32())})
+
+
 def lines_as_findings(lines: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Raw findings from :func:`rule_lines`; the rules' texts are added after deduplication.
+    """Raw findings from :func:`rule_lines`; the explaining texts are added after deduplication.
 
     Only the first match of a rule in a line can survive deduplication, so one
     row stands for all of them.
     """
-    by_id = {r.rule_id: r for r in rules}
-    rule_id = F.col("rule_id")
-
-    def of_rule(field: str) -> Column:
-        return severity.lookup({k: getattr(r, field) for k, r in by_id.items()}, rule_id)
-
-    return lines.select(
-        "project_id", "file_path", F.col("line").alias("line_number"),
-        of_rule("category").alias("category"), of_rule("severity").alias("severity"),
-        of_rule("confidence").alias("confidence"),
-        severity.lookup({k: _source_rank(r) for k, r in by_id.items()}, rule_id).alias("source_rank"),
-        F.lit("").alias("origin"), "rule_ord", F.col("line").alias("match_ord"), "rule_id",
-        of_rule("title").alias("title"),
-        *[F.lit(None).cast("string").alias(c)
-          for c in ("description", "impact", "recommendation", "example_fix")],
-        of_rule("tool").alias("source_tool"), F.col("snippet").alias("code_snippet"),
+    table = rule_table(lines.sparkSession, rules, (*DECIDING, "tool"))
+    return lines.join(table, "rule_id").select(
+        "project_id", "file_path", F.col("line").alias("line_number"), "category", "severity",
+        F.col("confidence").cast("int").alias("confidence"), "source_rank", F.lit("").alias("origin"),
+        "rule_ord", F.col("line").alias("match_ord"), "rule_id", "title",
+        *[F.lit(None).cast("string").alias(c) for c in EXPLAINING],
+        F.col("tool").alias("source_tool"), F.col("snippet").alias("code_snippet"),
         F.array().cast("array<string>").alias("attack_path"))
 
 
@@ -110,11 +124,9 @@ def mask_secrets(findings: DataFrame, secret_rules: Sequence[Rule] = seeds.SECRE
 
 def with_rule_texts(findings: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Fill the explaining texts of rule findings from the rule table."""
-    texts = ("description", "impact", "recommendation", "example_fix")
-    table = dimension(findings.sparkSession, {
-        "rule_id": [r.rule_id for r in rules],
-        **{f"rule_{c}": [getattr(r, c) for r in rules] for c in texts}})
+    table = rule_table(findings.sparkSession, rules, EXPLAINING).select(
+        "rule_id", *[F.col(c).alias(f"rule_{c}") for c in EXPLAINING])
     joined = findings.join(table, "rule_id", "left")
     return joined.select(*[
-        F.coalesce(F.col(c), F.col(f"rule_{c}")).alias(c) if c in texts else F.col(c)
+        F.coalesce(F.col(c), F.col(f"rule_{c}")).alias(c) if c in EXPLAINING else F.col(c)
         for c in findings.columns])

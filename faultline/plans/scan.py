@@ -41,21 +41,42 @@ def _merged_findings(files: DataFrame, packages: DataFrame, rule_set, secret_rul
     return rules.with_rule_texts(best, every_rule)
 
 
+def scan_findings(files: DataFrame, *, rule_set: Sequence[seeds.Rule] = STATIC_RULES,
+                  secret_rules: Sequence[seeds.Rule] = seeds.SECRET_RULES,
+                  advisories: DataFrame | None = None, semgrep: DataFrame | None = None,
+                  bandit: DataFrame | None = None, roots: DataFrame | None = None,
+                  replies: DataFrame | None = None, per_package: bool = False,
+                  manifest_files: DataFrame | None = None, keep: bool = False) -> DataFrame:
+    """Merged findings of all producers over all projects of ``files``.
+
+    ``roots`` are wrapper directories to take off finding paths, so that texts
+    need not be joined with them.
+    """
+    manifest_files = manifests.manifest_files(files) if manifest_files is None else manifest_files
+    best = _merged_findings(
+        files, manifests.declared_packages(manifest_files), rule_set, secret_rules, advisories,
+        semgrep, bandit, per_package)
+    if roots is not None:
+        best = best.join(roots, "project_id", "left").withColumn(
+            "file_path", admission.below_root(F.col("file_path"), F.col("root"))).drop("root")
+    best = findings.with_finding_id(rules.mask_secrets(best, secret_rules))
+    if replies is not None:
+        return explained(cut(best) if keep else best, replies)
+    return best.select(
+        "*", *[F.lit(None).cast("string").alias(c) for c in ("ai_explanation", "ai_reasoning_summary")],
+        F.lit(None).cast("int").alias("ai_confidence"), F.lit(False).alias("reply_usable"))
+
+
 def scan(files: DataFrame, projects: DataFrame | None = None, *, scan_date="1970-01-01 00:00:00",
-         rule_set: Sequence[seeds.Rule] = STATIC_RULES,
-         secret_rules: Sequence[seeds.Rule] = seeds.SECRET_RULES,
-         advisories: DataFrame | None = None, semgrep: DataFrame | None = None,
-         bandit: DataFrame | None = None, roots: DataFrame | None = None,
-         replies: DataFrame | None = None, per_package: bool = False,
-         duration: float | None = None, keep: bool = False) -> ScanResult:
+         duration: float | None = None, keep: bool = False, **options) -> ScanResult:
     """Scan all projects of ``files`` and describe them as three tables.
 
     ``projects`` (``project_id`` and optionally ``project_name``, ``scan_date``)
     names projects that may have no file; by default every project of ``files``
-    is scanned.  ``roots`` are wrapper directories to take off finding paths, so
-    that texts need not be joined with them.  ``keep`` stores the manifests and
-    the findings in the shared folder first: the texts are then read twice in
-    all, once for the manifests and once for all rules, whatever is derived.
+    is scanned.  ``keep`` stores the manifests and the findings in the shared
+    folder first: the texts are then read twice in all, once for the manifests
+    and once for all rules, whatever is derived.  The other options are those
+    of :func:`scan_findings`.
     """
     if projects is None:
         projects = files.select("project_id").distinct()
@@ -63,43 +84,39 @@ def scan(files: DataFrame, projects: DataFrame | None = None, *, scan_date="1970
     named = F.col("project_name") if "project_name" in projects.columns else F.col("project_id")
     projects = projects.select(
         "project_id", named.alias("project_name"), when.cast("timestamp_ntz").alias("scan_date"))
-    scan_id = F.sha2(F.concat_ws("|", F.col("project_id"), F.col("scan_date").cast("string")), 256)
-    projects = projects.withColumn("scan_id", scan_id)
+    projects = projects.withColumn("scan_id", F.sha2(
+        F.concat_ws("|", F.col("project_id"), F.col("scan_date").cast("string")), 256))
 
     manifest_files = manifests.manifest_files(files)
     if keep:
         manifest_files = cut(manifest_files)
-    best = _merged_findings(
-        files, manifests.declared_packages(manifest_files), rule_set, secret_rules, advisories,
-        semgrep, bandit, per_package)
-    if roots is not None:
-        best = best.join(roots, "project_id", "left").withColumn(
-            "file_path", admission.below_root(F.col("file_path"), F.col("root"))).drop("root")
-    best = findings.with_finding_id(rules.mask_secrets(best, secret_rules))
-    none = F.lit(None).cast("string")
-    if replies is not None:
-        best = explained(cut(best) if keep else best, replies)
-    else:
-        best = best.select(
-            "*", none.alias("ai_explanation"), none.alias("ai_reasoning_summary"),
-            F.lit(None).cast("int").alias("ai_confidence"), F.lit(False).alias("reply_usable"))
+    best = scan_findings(files, manifest_files=manifest_files, keep=keep, **options)
     if keep:
         best = cut(best)
+    return ScanResult(
+        dated_findings(best, projects), report_rows(best, projects),
+        metadata_rows(files, manifest_files, projects, duration))
+
 
-    complete = best.join(projects, "project_id").select(
+def dated_findings(best: DataFrame, projects: DataFrame) -> DataFrame:
+    return best.join(projects, "project_id").select(
         "*", F.lit(seeds.FINDING_STATES[0]).alias("status"), F.col("scan_date").alias("created_at"),
     ).select(*schema.names(schema.FINDINGS))
 
-    scored = score.scores(best, projects)
-    used = best.groupBy("project_id").agg(F.bool_or("reply_usable").alias("any_reply"))
-    reports = (
-        projects.join(scored, "project_id").join(used, "project_id", "left")
+
+def report_rows(best: DataFrame, projects: DataFrame) -> DataFrame:
+    used = explain.reply_availability(best)
+    return (
+        projects.join(score.scores(best, projects), "project_id").join(used, "project_id", "left")
         .withColumn("explanations_available",
-                    F.when(F.col("any_reply"), "available").otherwise("unavailable"))
+                    F.coalesce("explanations_available", F.lit("unavailable")))
         .select(*schema.names(schema.REPORTS)))
 
+
+def metadata_rows(files: DataFrame, manifest_files: DataFrame, projects: DataFrame,
+                  duration: float | None = None) -> DataFrame:
     zero = F.lit(0).cast("long")
-    metadata = (
+    return (
         projects.join(score.file_counters(files), "project_id", "left")
         .join(dependencies.detected_frameworks(manifest_files), "project_id", "left")
         .select("scan_id",
@@ -107,7 +124,6 @@ def scan(files: DataFrame, projects: DataFrame | None = None, *, scan_date="1970
                   ("total_files", "python_files", "javascript_files", "config_files")],
                 F.coalesce("detected_frameworks", F.array().cast("array<string>")).alias("detected_frameworks"),
                 F.lit(duration).cast("double").alias("scan_duration")))
-    return ScanResult(complete, reports, metadata)
 
 
 def explained(best: DataFrame, replies: DataFrame, limit: int = seeds.EXPLAIN_LIMIT) -> DataFrame:

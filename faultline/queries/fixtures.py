@@ -44,7 +44,7 @@ CONTENT = f"""CASE doc_id % 16
     WHEN 12 THEN 'os.system(a); subprocess.call(a, shell=True)' || chr(10) || 'os.system(b)' || chr(10)
       || 'requests.get(u, verify=False)' || chr(10) || 'DEBUG = True'
     ELSE 'ok = 1' END
-  END""".replace("{{", "{").replace("}}", "}")
+  END"""
 
 # A whole source as one project, and about seven documents as one project.
 BY_SOURCE = "source"

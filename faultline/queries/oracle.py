@@ -105,3 +105,13 @@ def matches_sql(rules, source: str = "files", name: str = "matches") -> str:
         trim(string_split(content, chr(10))[line_number], {SPACE}) AS code_snippet
       FROM (SELECT *, CAST(1 + lead - len(replace(left(content, lead), chr(10), '')) AS INTEGER) AS line_number
             FROM ({union})))"""
+
+
+def masked_sql(text: str, values) -> str:
+    """``text`` with the captured values of each (regex, group) masked in turn."""
+    hidden = ("CASE WHEN length(v) <= 8 THEN repeat('*', length(v)) ELSE "
+              "left(v, 4) || repeat('*', length(v) - 8) || right(v, 4) END")
+    for regex, group in values:
+        found = f"regexp_extract_all({text}, {quoted(regex)}, {group})"
+        text = (f"list_reduce({found}, lambda done, v: replace(done, v, {hidden}), {text})")
+    return text
