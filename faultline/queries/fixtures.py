@@ -85,7 +85,7 @@ def files_sql(project: str = BY_SOURCE) -> str:
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select(read(spark, sf_dir, "documents"), ENTRY)
+    return select(documents(spark, sf_dir), ENTRY)
 
 
 def entries_sql() -> str:

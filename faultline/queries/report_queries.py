@@ -9,6 +9,7 @@ from faultline.operators import explain, reports
 from faultline.plans.scan import scan_findings
 from faultline.queries import fixtures, oracle
 from faultline.queries import rule_queries as rq
+from faultline.session import spread
 from faultline.sources import reports as tool_reports
 
 # ---------------------------------------------------------------------------
@@ -35,8 +36,10 @@ REPORTED = ("project_id", "file_path", "line_number", "category", "severity", "c
 
 
 def tool_findings(spark, sf_dir):
+    events = spread(fixtures.read(spark, sf_dir, "events"))
+
     def body(text):
-        return fixtures.select(fixtures.read(spark, sf_dir, "events"), {
+        return fixtures.select(events, {
             "project_id": "event_type", "root": "'/srv/app'", "body": text})
 
     return tool_reports.semgrep_findings(body(SEMGREP_BODY)).unionByName(

@@ -14,7 +14,7 @@ from faultline.operators.rules import SOURCE_RANKS
 
 def read_reports(spark: SparkSession, root: str) -> DataFrame:
     """``project_id, root, body``: one report per file ``<root>/<project>/<name>.json``."""
-    documents = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(root)
+    documents = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     name = F.col("_metadata.file_path")
     return documents.select(
         F.regexp_extract(name, r"([^/]+)/[^/]+$", 1).alias("project_id"),
