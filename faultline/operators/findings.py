@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 
 from faultline import schema, seeds
 from faultline.functions import severity
+from faultline.functions.text import strip
+from faultline.session import cut
+
+# Up to this many file names are sent to every task: some tens of megabytes.
+FEW_FILES = 200_000
 
 PLACE = ("source_rank", "origin", "rule_ord", "match_ord")
 
@@ -88,13 +93,15 @@ def fill_snippets(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Give findings without a snippet the stripped source line they point to.
 
     Only files that such a finding names are split into lines, and only the
-    wanted lines meet the findings; complete findings do not take part.
+    wanted lines meet the findings; complete findings do not take part.  The
+    named files are counted first: while they are few they are sent to the
+    texts, so that texts are not shuffled; beyond that both sides are.
     """
-    from faultline.functions.text import strip
-
     empty = F.coalesce(F.col("code_snippet"), F.lit("")) == ""
     lacking = findings.filter(empty & (F.col("line_number") > 0))
-    named = lacking.select("project_id", "file_path").distinct()
+    named = cut(lacking.select("project_id", "file_path").distinct())
+    if named.limit(FEW_FILES + 1).count() <= FEW_FILES:
+        named = F.broadcast(named)
     lines = (
         files.select("project_id", "file_path", "content")
         .join(named, ["project_id", "file_path"], "left_semi")

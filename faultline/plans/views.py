@@ -29,37 +29,37 @@ def list_reports(tables: Stored) -> DataFrame:
     return reports.newest_first(tables.reports)
 
 
+def _of(report: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of the given report; joining on the day too leaves only its partition to read."""
+    return rows.join(report.select("scan_id", "scan_day"), ["scan_id", "scan_day"], "left_semi")
+
+
+def _detail(tables: Stored, report: DataFrame) -> DataFrame:
+    return reports.report_detail(
+        report, _of(report, tables.findings), _of(report, tables.scan_metadata))
+
+
 def get_report(tables: Stored, scan_id: str) -> DataFrame:
     """Report, metadata and findings of one scan; empty when it does not exist."""
-    chosen = F.col("scan_id") == scan_id
-    return reports.report_detail(
-        tables.reports.filter(chosen), tables.findings.filter(chosen),
-        tables.scan_metadata.filter(chosen))
+    return _detail(tables, tables.reports.filter(F.col("scan_id") == scan_id))
 
 
 def get_findings(tables: Stored, scan_id: str) -> DataFrame:
     """Findings of one existing scan with their present status, worst first."""
-    chosen = F.col("scan_id") == scan_id
-    current = reports.current_status(tables.findings.filter(chosen), tables.status_changes)
-    return reports.report_findings(tables.reports.filter(chosen), current)
+    report = tables.reports.filter(F.col("scan_id") == scan_id)
+    current = reports.current_status(_of(report, tables.findings), tables.status_changes)
+    return reports.report_findings(report, current)
 
 
 def latest_detail(tables: Stored) -> DataFrame:
     """Detail of the newest report."""
-    latest = reports.latest_report(tables.reports)
-    wanted = latest.select("scan_id")
-    return reports.report_detail(
-        latest, tables.findings.join(wanted, "scan_id", "left_semi"),
-        tables.scan_metadata.join(wanted, "scan_id", "left_semi"))
+    return _detail(tables, reports.latest_report(tables.reports))
 
 
 def latest_graph(tables: Stored) -> graph.Graph:
-    wanted = reports.latest_report(tables.reports).select("scan_id")
-    return graph.security_graph(tables.findings.join(wanted, "scan_id", "left_semi"))
+    return graph.security_graph(_of(reports.latest_report(tables.reports), tables.findings))
 
 
 def latest_dashboard(tables: Stored) -> DataFrame:
-    wanted = reports.latest_report(tables.reports).select("scan_id")
-    shown = reports.current_status(
-        tables.findings.join(wanted, "scan_id", "left_semi"), tables.status_changes)
-    return dashboard.vulnerability_rows(shown)
+    found = _of(reports.latest_report(tables.reports), tables.findings)
+    return dashboard.vulnerability_rows(reports.current_status(found, tables.status_changes))

@@ -125,7 +125,7 @@ def payload_cte() -> str:
       checked AS (SELECT *, list_has_any({parts}, ['', '.', '..']) AS unsafe,
         NOT {oracle.is_blocked('file_path')} AND {oracle.is_allowed('file_path')}
           AND {oracle.strip('content')} <> '' AS kept FROM given),
-      verdicts AS (SELECT doc_id, project_name, count(*) FILTER (kept) AS admitted_files,
+      verdicts AS (SELECT doc_id, project_name, CAST(count(*) FILTER (kept) AS INTEGER) AS admitted_files,
           CAST(coalesce(sum(strlen(content)) FILTER (kept), 0) AS BIGINT) AS admitted_bytes,
           bool_or(unsafe) AS any_unsafe,
           count(DISTINCT {parts}[1]) FILTER (kept) AS tops, min({parts}[1]) FILTER (kept) AS top,
@@ -140,7 +140,7 @@ def payload_cte() -> str:
 INLINE_SQL = f"""WITH {payload_cte()} SELECT project_name, admitted_files, admitted_bytes, reason, root FROM judged"""
 INLINE_FILES_SQL = f"""WITH {payload_cte()} SELECT j.project_name AS project_id,
   CASE WHEN root IS NOT NULL THEN substr(file_path, length(root) + 2) ELSE file_path END AS file_path,
-  length(content) AS n_chars FROM checked JOIN judged j USING (doc_id) WHERE kept AND reason IS NULL"""
+  CAST(length(content) AS INTEGER) AS n_chars FROM checked JOIN judged j USING (doc_id) WHERE kept AND reason IS NULL"""
 
 # ---------------------------------------------------------------------------
 # Paths and categories
@@ -203,7 +203,7 @@ QUERIES = {
     "q_paths": path_forms, "q_category_norm": category_norm,
 }
 ORACLES = {
-    "q_admit_files": f"WITH {fixtures.files_sql()} SELECT project_id, file_path, length(content) AS n_chars FROM files "
+    "q_admit_files": f"WITH {fixtures.files_sql()} SELECT project_id, file_path, CAST(length(content) AS INTEGER) AS n_chars FROM files "
                      f"WHERE {oracle.is_allowed('file_path')} AND NOT {oracle.is_blocked('file_path')}",
     "q_admit_archives": f"WITH {verdict_cte()} SELECT project_id, entry_ord, entry_path, size FROM judged "
                         "WHERE wanted AND project_id NOT IN (SELECT project_id FROM rejected)",

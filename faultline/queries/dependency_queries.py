@@ -25,7 +25,7 @@ def npm_packages(spark, sf_dir):
 def packages_cte() -> str:
     token = oracle.quoted(versions.REQUIREMENT)
     return f"""requirement_lines AS (
-        SELECT project_id, file_path, i - 1 AS position, {oracle.strip('ls[i]')} AS line
+        SELECT project_id, file_path, CAST(i - 1 AS INTEGER) AS position, {oracle.strip('ls[i]')} AS line
         FROM (SELECT project_id, file_path, string_split(content, chr(10)) AS ls,
               unnest(generate_series(1, len(string_split(content, chr(10))))) AS i
               FROM files WHERE {BASE} = 'requirements.txt')),
@@ -35,7 +35,7 @@ def packages_cte() -> str:
           nullif(regexp_extract(line, {token}, 3), '') AS version, 6 AS source_rank
         FROM requirement_lines
         WHERE line <> '' AND NOT regexp_matches(line, '^[#-]') AND regexp_extract(line, {token}, 1) <> ''),
-      npm_entries AS (SELECT project_id, file_path, ks[i] AS name, vs[i] AS declared, i - 1 AS position FROM (
+      npm_entries AS (SELECT project_id, file_path, ks[i] AS name, vs[i] AS declared, CAST(i - 1 AS INTEGER) AS position FROM (
         SELECT *, unnest(generate_series(1, len(ks))) AS i FROM (
           SELECT project_id, file_path,
             list_concat(json_keys(content, '$.dependencies'), json_keys(content, '$.devDependencies')) AS ks,

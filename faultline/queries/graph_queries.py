@@ -161,7 +161,7 @@ def dashboard_rows(spark, sf_dir):
 DASHBOARD_SQL = f"""WITH {rq.scan_cte(fixtures.BY_SOURCE)}, shown AS (SELECT *, {STATUS} AS state FROM merged)
   SELECT project_id, upper(category) AS cve, title,
     file_path || coalesce(':' || nullif(line_number, 0), '') AS asset, lower(severity) AS severity,
-    {oracle.case_map('lower(severity)', seeds.CVSS, '5.0')} AS cvss, category AS vector,
+    CAST({oracle.case_map('lower(severity)', seeds.CVSS, '5.0')} AS DOUBLE) AS cvss, category AS vector,
     '3/5/2024, 4:07:09 PM' AS detected,
     CASE WHEN state IN ('FIXED', 'FALSE_POSITIVE') THEN 'contained' WHEN state = 'IGNORED' THEN 'investigating'
       ELSE 'active' END AS status FROM shown"""

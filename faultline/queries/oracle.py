@@ -101,7 +101,7 @@ def matches_sql(rules, source: str = "files", name: str = "matches") -> str:
     union = " UNION ALL ".join(blocks)
     return f"""{name} AS (
       SELECT project_id, file_path, rule_id, line_number,
-        row_number() OVER (PARTITION BY project_id, file_path, rule_id, line_number ORDER BY i) AS match_no,
+        CAST(row_number() OVER (PARTITION BY project_id, file_path, rule_id, line_number ORDER BY i) AS INTEGER) AS match_no,
         trim(string_split(content, chr(10))[line_number], {SPACE}) AS code_snippet
       FROM (SELECT *, CAST(1 + lead - len(replace(left(content, lead), chr(10), '')) AS INTEGER) AS line_number
             FROM ({union})))"""

@@ -102,8 +102,8 @@ def top_explain(spark, sf_dir):
 
 TOP_SQL = f"""WITH {rq.scan_cte(fixtures.BY_SOURCE)}
   SELECT project_id, file_path, line_number, category, explain_rank, title, severity FROM (
-    SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY {oracle.severity_rank('severity')},
-      source_rank, origin, file_path, line_number NULLS FIRST, rule_ord) AS explain_rank FROM merged)
+    SELECT *, CAST(row_number() OVER (PARTITION BY project_id ORDER BY {oracle.severity_rank('severity')},
+      source_rank, origin, file_path, line_number NULLS FIRST, rule_ord) AS INTEGER) AS explain_rank FROM merged)
   WHERE explain_rank <= {seeds.EXPLAIN_LIMIT}"""
 
 # Every conversation turn is a finding; every assistant turn is a reply to the turn before it.
@@ -237,6 +237,25 @@ def report_list(spark, sf_dir):
     return reports.newest_first(_stored(spark, sf_dir)[0])
 
 
+def latest_detail(spark, sf_dir):
+    """The newest report with its findings and metadata."""
+    stored, found, meta = _stored(spark, sf_dir)
+    latest = reports.latest_report(stored)
+    return reports.report_detail(latest, found.join(latest.select("scan_id"), "scan_id", "left_semi"), meta)
+
+
+ONE_ID = "128"
+
+
+def report_by_id(spark, sf_dir):
+    """One report by its id, with the findings it has."""
+    stored, found, meta = _stored(spark, sf_dir)
+    return reports.report_detail(
+        reports.report_by_id(stored, ONE_ID), found.filter(F.col("scan_id") == ONE_ID), meta)
+
+
+DETAIL = "SELECT * FROM {0} LEFT JOIN metadata USING (scan_id) LEFT JOIN findings USING (scan_id)"
+
 STATE = oracle.case_map("event_type", {
     "signup": "OPEN", "error": "FALSE_POSITIVE", "click": "IGNORED", "purchase": "FIXED", "view": "SEEN"})
 CHANGE = {"finding_id": "CAST(user_id AS STRING)", "status": STATE, "changed_at": "ts", "change_id": "event_id"}
@@ -259,6 +278,7 @@ QUERIES = {
     "q_reply_availability": availability, "q_posture_requests": posture_requests,
     "q_report_findings": report_findings, "q_latest_reports": latest_reports,
     "q_latest_report": latest_report, "q_report_detail": report_detail, "q_report_list": report_list,
+    "q_latest_detail": latest_detail, "q_report_by_id": report_by_id,
     "q_status_current": status_current,
 }
 ORACLES = {
@@ -272,7 +292,10 @@ ORACLES = {
     "q_latest_reports": f"WITH {STORED_CTE} SELECT * FROM reports QUALIFY row_number() OVER "
                         "(PARTITION BY project_name ORDER BY scan_date DESC, scan_id DESC) = 1",
     "q_latest_report": f"WITH {STORED_CTE} SELECT * FROM reports ORDER BY scan_date DESC, scan_id LIMIT 1",
-    "q_report_detail": f"WITH {STORED_CTE} SELECT * FROM reports LEFT JOIN metadata USING (scan_id) LEFT JOIN findings USING (scan_id)",
+    "q_report_detail": f"WITH {STORED_CTE} " + DETAIL.format("reports"),
+    "q_latest_detail": f"WITH {STORED_CTE}, latest AS (SELECT * FROM reports ORDER BY scan_date DESC, scan_id LIMIT 1) "
+                       + DETAIL.format("latest"),
+    "q_report_by_id": f"WITH {STORED_CTE}, one AS (SELECT * FROM reports WHERE scan_id = '{ONE_ID}') " + DETAIL.format("one"),
     "q_report_list": f"WITH {STORED_CTE} SELECT * FROM reports",
     "q_status_current": STATUS_SQL,
 }

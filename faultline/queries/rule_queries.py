@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from faultline import seeds
 from faultline.functions import severity, syntax
-from faultline.functions.text import QUOTED_VALUE
-from faultline.operators import findings, rules, score
+from faultline.functions.text import QUOTED_VALUE, decode_text
+from faultline.operators import findings, reports, rules, score
 from faultline.plans.scan import STATIC_RULES, scan, scan_findings, static_findings
 from faultline.queries import fixtures, oracle
 from faultline.queries.dependency_queries import advisories_cte, counters_select, frameworks_cte
@@ -292,6 +292,30 @@ MASK_SQL = f"""WITH files AS (SELECT source AS project_id, CAST(doc_id AS STRING
   FROM matches JOIN rules USING (rule_id) WHERE match_no = 1"""
 
 
+def findings_by_severity(spark, sf_dir):
+    """Merged findings of every project in display order, with the check of the stored widths."""
+    table = scan_findings(fixtures.files(spark, sf_dir, fixtures.BY_BATCH))
+    return reports.within_limits(findings.by_severity(table)).select(
+        "project_id", "severity", "file_path", "line_number", "category", "title", "fits")
+
+
+BY_SEVERITY_SQL = f"""WITH {scan_cte()} SELECT project_id, severity, file_path, line_number, category, title,
+  confidence BETWEEN 0 AND 100 AND length(title) <= 255 AND length(category) <= 255
+    AND length(file_path) <= 1024 AND length(source_tool) <= 64 AS fits
+  FROM merged ORDER BY project_id, {oracle.severity_rank('severity')}"""
+
+
+def decoded_text(spark, sf_dir):
+    """Documents stored as bytes with foreign line ends and a broken byte, read back as text."""
+    table = fixtures.documents(spark, sf_dir).select("doc_id", F.concat(
+        F.replace("text", F.lit("\n"), F.lit("\r\n")).cast("binary"), F.unhex(F.lit("FF0D41"))).alias("data"))
+    text = decode_text(F.col("data"))
+    return table.select("doc_id", F.md5(text.cast("binary")).alias("digest"), F.length(text).alias("n_chars"))
+
+
+DECODED_SQL = """SELECT doc_id, md5(t) AS digest, CAST(length(t) AS INTEGER) AS n_chars FROM (
+  SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) || chr(10) || 'A' AS t FROM documents)"""
+
 QUERIES = {
     "q_pattern_findings": lambda spark, d: _matches(spark, d, PY),
     "q_js_findings": lambda spark, d: _matches(spark, d, JS),
@@ -307,6 +331,8 @@ QUERIES = {
     "q_full_scan_per_package": lambda spark, d: full_scan(spark, d, per_package=True),
     "q_score": project_scores,
     "q_scan_reports": scan_reports,
+    "q_findings_by_severity": findings_by_severity,
+    "q_decode_text": decoded_text,
 }
 ORACLES = {
     "q_pattern_findings": _matches_sql(PY),
@@ -323,4 +349,6 @@ ORACLES = {
     "q_full_scan_per_package": full_scan_sql(per_package=True),
     "q_score": SCORE_SQL,
     "q_scan_reports": SCAN_REPORTS_SQL,
+    "q_findings_by_severity": BY_SEVERITY_SQL,
+    "q_decode_text": DECODED_SQL,
 }
