@@ -1,13 +1,14 @@
 """All matches of a regular expression with their line numbers, as one column.
 
-Spark finds all matches of a pattern but not where they are.  Splitting a text
-by the pattern gives the stretches between the matches; keeping only the line
-ends of stretches and matches, with one mark per match, leaves a small outline
-of the text: its n-th line holds as many marks as matches start in line n.
+Spark finds all matches of a pattern but not where they are.  Replacing every
+match by a mark and itself puts the mark into the line where the match starts,
+so the marked text split into lines tells both.  The mark contains a digest of
+the text, so no text can contain its own mark.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,18 +17,36 @@ from pyspark.sql import functions as F
 from faultline.functions.text import strip
 from faultline.seeds import Rule
 
-# Make Java's classes and dot behave as Python's.
-DIALECT = "(?U)(?d)"
+# What Python means by a blank and by a word character, for Java.
+# The flag makes the dot stop at \n only.
+DOT = "(?d)"
+SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WORD = r"[\p{L}\p{N}_]"
+BOUNDARY = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
+# for a pattern with such classes inside brackets
+UNICODE = "(?U)"
 IGNORE_CASE = "(?iu)"
 # letters that equal s or i when case is ignored but do not lower-case to them
 ODD_CASES = ("\u017f", "\u0130", "\u0131")
 
 HITS = "array<struct<rule_id:string,rule_ord:int,line:int,hits:int,snippet:string>>"
-FINDS = "array<struct<rule_id:string,rule_ord:int,gaps:array<string>,matches:array<string>>>"
+FINDS = "array<struct<rule_id:string,rule_ord:int,marked:string>>"
 
 
 def java_regex(rule: Rule) -> str:
-    return DIALECT + (IGNORE_CASE if rule.ignore_case else "") + rule.regex
+    """The rule's pattern so that Java matches what Python would.
+
+    A word at the start is tried before its boundary, because Java looks for
+    literal text much faster.
+    """
+    flags = DOT + (IGNORE_CASE if rule.ignore_case else "")
+    if re.search(r"\[[^\]]*\\[bsw]", rule.regex):
+        return flags + UNICODE + rule.regex
+    regex = re.sub(
+        r"^\\b([A-Za-z]+)(?![*+?{])", lambda word: f"{word[1]}(?<!{WORD}{word[1]})", rule.regex)
+    for short, full in ((r"\s", SPACE), (r"\w", WORD), (r"\b", BOUNDARY)):
+        regex = regex.replace(short, full)
+    return flags + regex
 
 
 def contains_any(text: Column, literals) -> Column:
@@ -43,50 +62,36 @@ def worth_searching(text: Column, lowered: Column, rule: Rule) -> Column:
     return contains_any(lowered, rule.hints) | contains_any(text, ODD_CASES)
 
 
-def line_ends(text: Column) -> Column:
-    return F.regexp_replace(text, "[^\n]+", "")
+def mark_of(text: Column) -> Column:
+    """A string that the text does not contain."""
+    return F.concat(F.lit("\uffff"), F.substring(F.sha2(text, 256), 1, 24))
 
 
-def find_all(text: Column, lowered: Column, rule: Rule, ordinal: int) -> Column:
-    """Matches of one rule and the stretches between them; null when there are none.
+def marked(text: Column, mark: Column, rule: Rule) -> Column:
+    """The text with the mark before every match."""
+    return F.regexp_replace(text, F.lit(java_regex(rule)), F.concat(mark, F.lit("$0")))
 
-    Texts without any of the rule's hints are not searched.
-    """
-    regex = java_regex(rule)
+
+def find_all(text: Column, lowered: Column, mark: Column, rule: Rule, ordinal: int) -> Column:
+    """The text marked by one rule; null for texts without any of the rule's hints."""
     found = F.struct(
         F.lit(rule.rule_id).alias("rule_id"), F.lit(ordinal).alias("rule_ord"),
-        F.split(text, regex, -1).alias("gaps"),
-        F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("matches"))
-    return F.when(worth_searching(text, lowered, rule) & F.regexp_like(text, F.lit(regex)), found)
-
-
-def outline(find: Column) -> Column:
-    """Line ends of the text with a mark where each match starts."""
-    return F.array_join(
-        F.zip_with(find["gaps"], find["matches"], lambda gap, match: F.when(
-            match.isNotNull(), F.concat(line_ends(gap), F.lit("#"), line_ends(match)))), "")
+        marked(text, mark, rule).alias("marked"))
+    return F.when(worth_searching(text, lowered, rule), found)
 
 
-def line_hits(text: Column, finds: Column) -> Column:
+def line_hits(finds: Column, mark: Column) -> Column:
     """Lines in which matches start, with their number and the stripped line.
 
     The work is linear in the text for each rule found, whatever the number of
-    matches.  ``finds`` should be a computed column, as it is looked at twice;
-    the lines of the text are bound once by wrapping them in an array of one
-    element.
+    matches.  ``mark`` should be a computed column, as every line looks at it.
     """
-    def of_find(find: Column, lines: Column) -> Column:
-        marked = F.zip_with(
-            F.split(outline(find), "\n", -1), lines,
-            lambda marks, line: F.struct(F.length(marks).alias("hits"), line.alias("text")))
-        numbered = F.transform(marked, lambda x, i: F.struct(
-            find["rule_id"], find["rule_ord"], (i + 1).alias("line"), x["hits"].alias("hits"),
-            x["text"].alias("text")))
-        return F.transform(F.filter(numbered, lambda x: x["hits"] > 0), lambda x: F.struct(
-            x["rule_id"].alias("rule_id"), x["rule_ord"].alias("rule_ord"), x["line"].alias("line"),
-            x["hits"].alias("hits"), strip(x["text"]).alias("snippet")))
-
-    hits = F.flatten(F.flatten(F.transform(
-        F.array(F.split(text, "\n", -1)),
-        lambda lines: F.transform(finds, lambda find: of_find(find, lines)))))
-    return F.when(F.size(finds) > 0, hits).otherwise(F.array().cast(HITS))
+    def of_find(find: Column) -> Column:
+        lines = F.transform(F.split(find["marked"], "\n", -1), lambda text, i: F.struct(
+            (i + 1).alias("line"), text.alias("text")))
+        return F.transform(F.filter(lines, lambda x: F.contains(x["text"], mark)), lambda x: F.struct(
+            find["rule_id"].alias("rule_id"), find["rule_ord"].alias("rule_ord"), x["line"].alias("line"),
+            (F.size(F.split(x["text"], mark, -1)) - 1).alias("hits"),
+            strip(F.replace(x["text"], mark, F.lit(""))).alias("snippet")))
+
+    return F.flatten(F.transform(F.filter(finds, lambda f: F.contains(f["marked"], mark)), of_find))

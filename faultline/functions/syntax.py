@@ -45,12 +45,15 @@ def request_names(text: Column) -> Column:
     return F.when(worth, F.regexp_extract_all(text, F.lit(java_regex(SOURCE)), F.lit(1)))
 
 
-def returned_texts(text: Column, names: Column, ordinal: int) -> Column:
-    """Returned string literals of a text that reads request values, in the form of ``find_all``."""
-    return F.when(F.size(names) > 0, find_all(text, text, TAINT, ordinal))
+def returned_texts(text: Column, names: Column, mark: Column, ordinal: int) -> Column:
+    """Returned string literals of a text that reads request values."""
+    found = F.struct(
+        find_all(text, text, mark, TAINT, ordinal).alias("find"),
+        F.regexp_extract_all(text, F.lit(java_regex(TAINT)), F.lit(0)).alias("literals"))
+    return F.when(F.size(names) > 0, found)
 
 
-def reflected_values(text: Column, returned: Column, names: Column) -> Column:
+def reflected_values(returned: Column, names: Column, mark: Column) -> Column:
     """Returned strings that place a request value, as line hits.
 
     A return statement starts its own line, so hits and literals pair up.
@@ -60,7 +63,7 @@ def reflected_values(text: Column, returned: Column, names: Column) -> Column:
         return F.regexp_extract_all(shown, F.lit(PLACED_NAME), F.lit(1))
 
     pairs = F.zip_with(
-        line_hits(text, F.array(returned)), returned["matches"],
+        line_hits(F.array(returned["find"]), mark), returned["literals"],
         lambda hit, literal: F.struct(hit.alias("hit"), placed(literal).alias("placed")))
     tainted = F.filter(pairs, lambda x: F.arrays_overlap(x["placed"], names))
     return F.when(returned.isNotNull(), F.transform(tainted, lambda x: x["hit"])).otherwise(

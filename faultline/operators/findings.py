@@ -17,8 +17,8 @@ from faultline.functions import severity
 from faultline.functions.text import strip
 from faultline.session import cut
 
-# Up to this many file names are sent to every task: some tens of megabytes.
-FEW_FILES = 200_000
+# Up to this many file names are sent to every task: a few megabytes.
+FEW_FILES = 50_000
 
 PLACE = ("source_rank", "origin", "rule_ord", "match_ord")
 

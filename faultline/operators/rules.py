@@ -37,21 +37,23 @@ def _source_rank(rule: Rule) -> int:
 def rule_lines(files: DataFrame, rules: Sequence[Rule] = seeds.PATTERN_RULES) -> DataFrame:
     """One row per file, rule and line with the number of matches that start there.
 
-    What is looked at more than once - the lower-cased text, the finds, the
-    names of request values - is a column of its own, so that it is computed
-    once and inside generated code; all steps stay in the task that reads the
-    file.
+    What is looked at more than once - the lower-cased text, the mark, the
+    finds, the names of request values - is a column of its own, so that it is
+    computed once and inside generated code; all steps stay in the task that
+    reads the file.
     """
-    content, lang = F.col("content"), F.col("lang")
+    content, lang, mark = F.col("content"), F.col("lang"), F.col("mark")
     texts = files.select("project_id", "file_path", "content", paths.language(F.col("file_path")).alias("lang"))
-    texts = texts.select("*", F.when(lang.isNotNull(), F.lower("content")).alias("lowered"))
+    texts = texts.select(
+        "*", F.when(lang.isNotNull(), F.lower("content")).alias("lowered"),
+        matching.mark_of(content).alias("mark"))
     with_taint = syntax.TAINT in rules
     if with_taint:
         texts = texts.select("*", F.when(lang == "py", syntax.request_names(content)).alias("names"))
 
     def of_language(name: str) -> Column:
         return F.array(*[
-            matching.find_all(content, F.col("lowered"), r, i) for i, r in enumerate(rules)
+            matching.find_all(content, F.col("lowered"), mark, r, i) for i, r in enumerate(rules)
             if r.lang == name and r != syntax.TAINT])
 
     routed = F.when(lang == "py", of_language("py")).when(lang == "js", of_language("js"))
@@ -59,12 +61,12 @@ def rule_lines(files: DataFrame, rules: Sequence[Rule] = seeds.PATTERN_RULES) ->
         F.coalesce(routed, F.array()).cast(matching.FINDS), of_language("any").cast(matching.FINDS)))
     columns = [finds.alias("finds")]
     if with_taint:
-        returned = syntax.returned_texts(content, F.col("names"), rules.index(syntax.TAINT))
+        returned = syntax.returned_texts(content, F.col("names"), mark, rules.index(syntax.TAINT))
         columns += [returned.alias("returned"), F.col("names")]
-    found = texts.select("project_id", "file_path", "content", *columns)
-    hits = matching.line_hits(content, F.col("finds"))
+    found = texts.select("project_id", "file_path", "mark", *columns)
+    hits = matching.line_hits(F.col("finds"), mark)
     if with_taint:
-        hits = F.concat(hits, syntax.reflected_values(content, F.col("returned"), F.col("names")))
+        hits = F.concat(hits, syntax.reflected_values(F.col("returned"), F.col("names"), mark))
     return found.select("project_id", "file_path", F.inline(hits))
 
 

@@ -14,8 +14,9 @@ from faultline.operators.rules import SOURCE_RANKS
 
 def read_reports(spark: SparkSession, root: str) -> DataFrame:
     """``project_id, root, body``: one report per file ``<root>/<project>/<name>.json``."""
-    documents = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
-    name = F.col("_metadata.file_path")
+    documents = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+    # the path is URL-encoded, but a plus sign stands for itself
+    name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return documents.select(
         F.regexp_extract(name, r"([^/]+)/[^/]+$", 1).alias("project_id"),
         F.lit(None).cast("string").alias("root"), F.col("value").alias("body"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,9 +32,8 @@ def read_trees(spark: SparkSession, root: str, max_file_bytes: int = seeds.MAX_F
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true").option("pathGlobFilter", name_glob())
         .load(root).filter(F.col("length") <= max_file_bytes))
-    inner = F.regexp_extract("path", r"^(?:[a-z0-9]+:/*)?/?(.*)$", 1)
-    base = root.split(":", 1)[-1].strip("/")
-    below = F.regexp_replace(inner, f"^\\Q{base}\\E/", "")
+    base = re.sub("^[a-z0-9]+:", "", root).strip("/")
+    below = F.regexp_extract("path", f"^(?:[a-z0-9]+:)?.*?(?:^|/)\\Q{base}\\E/(.*)$", 1)
     named = raw.select(
         F.regexp_extract(below, "^([^/]+)/", 1).alias("project_id"),
         F.regexp_replace(below, "^[^/]+/", "").alias("file_path"),

@@ -13,7 +13,7 @@ PIECES = [
     "eval(", "exec (", "x.eval\u00a0(", "subprocess.run(\n cmd,\n shell = True)", "os.system(a)", "\u00e9eval(1)",
     "'SELECT a' + b", '"SELECT x" % y', "pickle.loads(b)", "yaml.load(d)",
     "yaml.load(d, Loader=yaml.SafeLoader)", "md5(a) sha1 (b)", "DEBUG = True", "verify=False",
-    "PassWord = 'abcdef'", "to\u212aen = \"abcdef\"", "pa\u017f\u017fword='12345'", "AP\u0130KEY = 'abcde'", "cursor.execute(q % (a))",
+    "eval\x1c(", "e\u0301val(", "x\u0301eval(", "\uffff", "PassWord = 'abcdef'", "to\u212aen = \"abcdef\"", "pa\u017f\u017fword='12345'", "AP\u0130KEY = 'abcde'", "cursor.execute(q % (a))",
     "open(request.args.get(x))", "new Function (", "child_process.exec(", "dangerouslySetInnerHTML",
     "a.innerHTML = b", "cors({ origin: '*' })", "JWT.sign(a, {\nalgorithm: 'None'})",
     "secret: 'hidden1'", "document.cookie", "\n", "\n\n", "  ", "plain # text", "\u2028", "#", "\x85", "\r",
