@@ -23,6 +23,8 @@ DOT = "(?d)"
 SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 WORD = r"[\p{L}\p{N}_]"
 BOUNDARY = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
+# a class of word characters, as written in a pattern
+WORD_CLASS = r"\[(?:[A-Za-z0-9_](?:-[A-Za-z0-9])?)+\]"
 # for a pattern with such classes inside brackets
 UNICODE = "(?U)"
 IGNORE_CASE = "(?iu)"
@@ -37,13 +39,17 @@ def java_regex(rule: Rule) -> str:
     """The rule's pattern so that Java matches what Python would.
 
     A word at the start is tried before its boundary, because Java looks for
-    literal text much faster.
+    literal text much faster; a boundary next to word characters only has to
+    look at its other side.
     """
     flags = DOT + (IGNORE_CASE if rule.ignore_case else "")
     if re.search(r"\[[^\]]*\\[bsw]", rule.regex):
         return flags + UNICODE + rule.regex
     regex = re.sub(
-        r"^\\b([A-Za-z]+)(?![*+?{])", lambda word: f"{word[1]}(?<!{WORD}{word[1]})", rule.regex)
+        rf"([A-Za-z0-9_]|{WORD_CLASS}(?:\{{\d+\}})?)\\b$", lambda end: f"{end[1]}(?!{WORD})", rule.regex)
+    regex = re.sub(
+        rf"^\\b([A-Za-z]+(?![*+?{{])|{WORD_CLASS}\{{\d+\}})",
+        lambda start: f"{start[1]}(?<!{WORD}{start[1]})", regex)
     for short, full in ((r"\s", SPACE), (r"\w", WORD), (r"\b", BOUNDARY)):
         regex = regex.replace(short, full)
     return flags + regex
