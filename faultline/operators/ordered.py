@@ -35,6 +35,14 @@ def running_totals(df: DataFrame, key: str, order: str, values: dict[str, Column
         *[(F.col(f"before_{n}") + F.sum(f"value_{n}").over(within)).alias(n) for n in values])
 
 
+def cuts_passed(cuts: Column, value: Column, slices: int) -> Column:
+    """How many of the sorted cuts are not above the value, found by halving."""
+    steps = [2 ** n for n in reversed(range((slices - 1).bit_length()))]
+    return F.aggregate(
+        F.array(*map(F.lit, steps)), F.lit(0),
+        lambda passed, step: F.when(F.get(cuts, passed + step - 1) <= value, passed + step).otherwise(passed))
+
+
 def ordinals(df: DataFrame, keys: list[str], order: str, name: str,
              large_group: int = 500_000, slices: int = 256) -> DataFrame:
     """Add the 0-based position of each row in its group, by a text column unique in the group.
@@ -54,11 +62,9 @@ def ordinals(df: DataFrame, keys: list[str], order: str, name: str,
         df.join(large, keys, "left_semi")
         .withColumn("draw", F.row_number().over(by_hash)).filter(F.col("draw") < slices)
         .groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("cuts")))
-    here = F.col(order)
     sliced = df.join(cuts, keys, "left").withColumn(
-        "slice_no",
-        F.when(F.col("cuts").isNull(), 0).otherwise(
-            F.size(F.filter("cuts", lambda cut: cut <= here)))).drop("cuts")
+        "slice_no", F.when(F.col("cuts").isNull(), 0).otherwise(
+            cuts_passed(F.col("cuts"), F.col(order), slices))).drop("cuts")
     before = Window.partitionBy(*keys).orderBy("slice_no").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         sliced.groupBy(*keys, "slice_no").agg(F.count("*").alias("slice_size"))

@@ -28,7 +28,7 @@ SOURCE_RANKS = {
 }
 
 
-def _source_rank(rule: Rule) -> int:
+def source_rank_of(rule: Rule) -> int:
     if rule in SYNTAX_RULES:
         return SOURCE_RANKS["syntax"]
     return SOURCE_RANKS[{"py": "pattern-py", "js": "pattern-js", "any": "secret"}[rule.lang]]
@@ -86,7 +86,7 @@ EXPLAINING = ("description", "impact", "recommendation", "example_fix")
 def rule_table(spark: SparkSession, rules: Sequence[Rule], fields: Sequence[str]) -> DataFrame:
     return dimension(spark, {
         "rule_id": [r.rule_id for r in rules], **{f: [getattr(r, f) for r in rules] for f in fields},
-        "source_rank": pa.array([_source_rank(r) for r in rules], pa.int32())})
+        "source_rank": pa.array([source_rank_of(r) for r in rules], pa.int32())})
 
 
 def lines_as_findings(lines: DataFrame, rules: Sequence[Rule]) -> DataFrame:

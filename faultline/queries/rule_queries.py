@@ -96,7 +96,7 @@ SILENT_CTE = f"""code_lines AS (
 
 STATIC = ("project_id", "file_path", "line_number", "category", "severity", "confidence",
           "title", "source_tool", "code_snippet")
-SOURCE = {r.rule_id: rules._source_rank(r) for r in STATIC_RULES + seeds.SECRET_RULES}
+SOURCE = {r.rule_id: rules.source_rank_of(r) for r in STATIC_RULES + seeds.SECRET_RULES}
 
 
 def rule_values(rule_set) -> str:
