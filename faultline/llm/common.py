@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,14 +12,25 @@ from pyspark.sql.types import StructType
 
 from faultline.session import cut, shared_folder
 
-__all__ = ["arrow_map", "columns_of", "cut", "default_tokenizer", "shared_folder", "table"]
+__all__ = ["arrow_map", "columns_of", "cut", "default_tokenizer", "reachable", "shared_folder", "table"]
 
 #: Rows in an Arrow batch.  Texts can be long, so a batch holds few of them.
 BATCH_ROWS = 256
 
 
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers import this library from where the driver has it.
+
+    On a cluster whose machines lack it at that place, send it along with ``--py-files``.
+    """
+    root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (known, root)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A given table, with the named columns only."""
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
@@ -30,6 +43,7 @@ def default_tokenizer(name: str) -> str:
 
 def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """Apply ``rows`` to each Arrow batch of ``df``; it yields any number of batches."""
+    reachable(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from faultline.llm.common import arrow_map, columns_of, default_tokenizer
+from faultline.llm.common import arrow_map, columns_of, default_tokenizer, reachable
 from faultline.llm.encoding import ByteLevel, encoder
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
@@ -89,6 +89,7 @@ def pack(rows: DataFrame, n_docs: int, size: int = 1024, seed: int = 0) -> DataF
     ``n_docs`` (the number of documents) sets the number of groups.  The group hashes doc_id and
     start, and the row's place, so that a repeated key is spread too.
     """
+    reachable(rows.sparkSession)
     groups = max(1, -(-n_docs // GROUP_DOCS))
     placed = StructType([f for f in rows.schema if f.name not in ("sequence_id", "offset")]
                         + [StructField("sequence_id", LongType()), StructField("offset", LongType())])

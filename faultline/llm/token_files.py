@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.common import arrow_map, columns_of, default_tokenizer
+from faultline.llm.common import arrow_map, columns_of, default_tokenizer, reachable
 from faultline.llm.encoding import WordLevel, encoder
 
 STORED = "part int, doc_id long, place long, n_tokens long, ids array<int>"
@@ -55,6 +55,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
                 ["part", "doc_id", "place", "n_tokens", "ids"])
             place += int(ends[-1])
 
+    reachable(docs.sparkSession)
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     rows = docs.select("doc_id", "text").withColumn("_tie", F.xxhash64("text"))
     (rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
