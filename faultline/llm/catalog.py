@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import neighbours, packing, quality, token_counts, token_files
+from faultline.llm import language, neighbours, packing, quality, token_counts, token_files
 from faultline.llm.common import shared_folder, table
 
 
@@ -34,6 +34,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    network = language.train(docs.filter(~language.held_out()))
+    return language.identify(docs, network).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
@@ -43,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_token_files": op4_token_files,
     "op5_quality": op5_quality,
+    "op6_language": op6_language,
     "op10_neighbours": op10_neighbours,
 }
 
