@@ -14,16 +14,18 @@ from faultline.session import cut, shared_folder
 
 __all__ = ["arrow_map", "columns_of", "cut", "default_tokenizer", "reachable", "shared_folder", "table"]
 
-#: Rows in an Arrow batch.  Texts can be long, so a batch holds few of them.
-BATCH_ROWS = 256
+#: Arrow batches end at so many rows or bytes, whichever comes first: texts can be long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4096", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def reachable(spark: SparkSession) -> None:
-    """Let Python workers import this library from where the driver has it.
+    """Let Python workers import this library from where the driver has it, and bound their batches.
 
     On a cluster whose machines lack it at that place, send it along with ``--py-files``.
     """
     root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
     if root not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (known, root)))
 
@@ -44,7 +46,6 @@ def default_tokenizer(name: str) -> str:
 def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """Apply ``rows`` to each Arrow batch of ``df``; it yields any number of batches."""
     reachable(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -56,7 +56,6 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
             place += int(ends[-1])
 
     reachable(docs.sparkSession)
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     rows = docs.select("doc_id", "text").withColumn("_tie", F.xxhash64("text"))
     (rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
      .mapInArrow(encode, STORED).write.options(**ORC).orc(folder))
