@@ -17,13 +17,13 @@ import struct
 import numpy as np
 
 #: Stretches in a worker's memory, and as many in its old one.
-MEMORY = 400_000
+MEMORY = 500_000
 #: Longer stretches are encoded each time.
 LONGEST = 48
 
 #: White space other than the space and the line end, and signs some versions of a regular
 #: expression library take for white space.  No cut is made beside them.
-_ODD = "\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿"
+_ODD = "\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 _HAS_ODD = re.compile(f"[{_ODD}]")
 _LONE_SPACE = re.compile(f"(?<=[^\\s{_ODD}]) (?=[^\\s{_ODD}])")
 
@@ -36,6 +36,8 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Texts of Latin-1 signs, which lower-case one by one.
+_LATIN = re.compile(r"[\x00-\xff]*")
 #: A word of plain letters with plain signs behind it: two pre-tokens in every vocabulary here,
 #: unchanged by composition, so the merges of the model apply to them directly.
 _PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?$%&*#|]*)")
@@ -72,8 +74,9 @@ class Stretches(dict):
     def encode(self, stretch: str) -> bytes:
         if plain := _PLAIN.fullmatch(stretch):
             word, signs = plain.groups()
-            packed = self.merged(self.before + (word.lower() if self.lower else word))
-            return packed + self.merged(signs) if signs else packed
+            if signs:
+                return self[word] + self.merged(signs)
+            return self.merged(self.before + (word.lower() if self.lower else word))
         return _packed(self.tokenizer.encode(self.before + stretch, add_special_tokens=False).ids)
 
     def __missing__(self, stretch: str) -> bytes:
@@ -121,6 +124,10 @@ class WordLevel:
         self.stretch = Stretches(load(path), lower=True)
 
     def __call__(self, text: str) -> bytes:
+        # Lowered at once where that is the same as sign by sign, so that more stretches are known.
+        # Special strings are matched before lowering, so a text that may hold one is left alone.
+        if "<|" not in text and (text.isascii() or _LATIN.fullmatch(text)):
+            text = text.lower()
         return b"".join(map(self.stretch.__getitem__, text.replace("\n", " ").split(" ")))
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
