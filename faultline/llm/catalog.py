@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import jaccard, language, neighbours, packing, quality, token_counts, token_files
+from faultline.llm import jaccard, language, neighbours, packing, pieces, pii, quality, token_counts, token_files, toxicity
 from faultline.llm.common import shared_folder, table
 
 
@@ -44,6 +44,21 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, network).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic").filter(~toxicity.held_out())
+    model = toxicity.train(docs.join(labels, "doc_id"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.checked(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
@@ -55,6 +70,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_quality": op5_quality,
     "op6_language": op6_language,
+    "op7_toxicity": op7_toxicity,
+    "op8_pieces": op8_pieces,
+    "op9_pii": op9_pii,
     "op10_neighbours": op10_neighbours,
 }
 
