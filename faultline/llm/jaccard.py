@@ -2,20 +2,19 @@
 
 A document is the set of its distinct shingles.  The number of shingles that only one of two
 documents has, D, is a metric, and two documents of Jaccard similarity ``t`` or more have
-``D <= (|x| + |y|) * (1 - t) / (1 + t)``.  Text lies far from any pivot taken from it (nearly all distances
-are close to 1), so regions around such pivots alone would copy every document into every
-region.  The join therefore makes its regions in three steps, each exact by the triangle inequality:
-
-1. The first pivot is the empty set, whose distance is the size of a document.  Rings of sizes
-   are the regions; a document near the upper border is copied to the next ring.
-2. In a ring where D can be at most r, the shingles are split by hash into r + 1 parts.  D is the sum of the
-   distances in the parts, so linked documents are at distance 0 in at least one.  The pivots of
-   a part are the sets that occur there; a document's region is the pivot at distance 0, and
-   the window that remains to the others is 0 wide.
-3. In a region, the first document is the pivot.  Documents linked to it are in one component
+``D <= (|x| + |y|) * (1 - t) / (1 + t)``.  Text lies far from pivots that are documents (nearly all
+distances are close to 1), so the windows around such regions would copy every document into every
+one.  The pivots here are the sets of one shingle:
+
+1. The distance of a document to a pivot is |x| - 1 if it holds the shingle, else |x| + 1.  Its
+   nearest pivots are its own shingles; ties go by rank, popular shingles last, so the first one is
+   its home.  By the triangle inequality a linked document lacks at most |x| - ceil(t |x|) of
+   them, so both stand in the region of the first shingle they share if each is copied to that many
+   regions beyond its home, which are few.
+2. In a region, the first document is the pivot.  Documents linked to it are in one component
    and need no comparison with each other; the rest, if any, is compared.  Large regions are
-   divided around more pivots, with windows of 2r, again and again, and where documents lie too
-   close for that, in blocks.
+   divided around more pivots, with windows of twice the reach, again and again, and where documents
+   lie too close for that, in blocks.
 
 Distances within a region are first taken between parity sketches: bit strings in which each
 shingle flips one bit.  Their Hamming distance is a metric too and never above D, so windows and
@@ -37,9 +36,11 @@ from faultline.llm.common import arrow_map, columns_of, cut, reachable
 from faultline.llm.components import components
 
 U = np.uint64
-POINTS = "doc_id long, n int, digest_a long, digest_b long, sketch binary, parts array<long>"
+POINTS = "doc_id long, n int, digest_a long, digest_b long, sketch binary, early array<long>"
 #: Documents in a region that are compared directly, and pivots of a larger one.
 REGION, PIVOTS = 256, 16
+#: Shingles ranked last because they are popular: those of the largest counts, and least count.
+RANKED, POPULAR = 1 << 18, 16
 #: Rows up to which a list of ids is sent to every executor (16 MB); beyond it, it is shuffled.
 SENT_IDS = 1_000_000
 _WORDS = 400_000
@@ -85,39 +86,10 @@ def shingles(text: str, width: int) -> np.ndarray:
     return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
-class Rings:
-    """Size rings whose upper border is half as large again, with the largest D in each."""
-
-    def __init__(self, percent: int):
-        self.percent = percent
-        # The smallest size at which sets that differ can link.
-        size = next(n for n in range(1, 10**6) if (2 * n + 1) * (100 - percent) // (100 + percent) >= 1)
-        starts = [size]
-        while starts[-1] < 2**40:
-            starts.append(starts[-1] * 3 // 2 + 1)
-        self.starts = np.array(starts)
-
-    def of(self, n: int) -> list[int]:
-        """The rings of a set of ``n`` shingles: its own, and the next if a partner can lie there."""
-        own = int(np.searchsorted(self.starts, n, "right")) - 1
-        far = int(np.searchsorted(self.starts, n * 100 // self.percent, "right")) - 1
-        return [ring for ring in range(own, far + 1) if ring >= 0]
-
-    def reach(self, ring: int) -> int:
-        """The largest D between linked sets of a ring."""
-        return int(2 * (self.starts[ring + 1] - 1) * (100 - self.percent) // (100 + self.percent))
-
-
-def parts_of(shingle_set: np.ndarray, rings: Rings) -> np.ndarray:
-    """One 64-bit name for the content of each part, in each ring of the set."""
-    sums = np.concatenate((np.zeros(1, U), np.cumsum(mix(shingle_set ^ U(0x5851F42D4C957F2D)))))
-    out = []
-    for ring in rings.of(len(shingle_set)):
-        n = rings.reach(ring) + 1
-        part = ((shingle_set >> U(32)) * U(n)) >> U(32)
-        at = np.searchsorted(part, np.arange(n + 1, dtype=U))
-        out.append(mix(sums[at[1:]] - sums[at[:-1]] + mix(np.arange(n, dtype=U) + U(ring << 40))))
-    return np.concatenate(out) if out else np.empty(0, U)
+def regions_of(n: int, percent: int) -> int:
+    """Regions that a set of ``n`` shingles stands in: none if only an equal set can link with it."""
+    n_lacking = n - -(-percent * n // 100)
+    return n_lacking + 1 if n_lacking or n * 100 // percent > n else 0
 
 
 def sketch_of(shingle_set: np.ndarray) -> bytes:
@@ -139,24 +111,62 @@ def folded(sketches: list[bytes]) -> np.ndarray:
     return rows
 
 
-def _points(docs: DataFrame, width: int, rings: Rings) -> DataFrame:
+def _points(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Per document: set size, digests, sketch, and the shingles it would stand at by hash alone, and some more."""
     def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc_id, text in zip(*columns_of(batch, "doc_id", "text"), strict=True):
             s = shingles(text or "", width)
             a, b = (mix(s ^ U(c)).sum(dtype=U).astype(np.int64) for c in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93))
-            rows.append((doc_id, len(s), int(a), int(b), sketch_of(s) if len(s) else b"", parts_of(s, rings).astype(np.int64)))
-        ids, n, a, b, sketches, parts = zip(*rows, strict=True)
+            early = s[:regions_of(len(s), percent) * 3 // 2].astype(np.int64)
+            rows.append((doc_id, len(s), int(a), int(b), sketch_of(s) if len(s) else b"", early))
+        ids, n, a, b, sketches, early = zip(*rows, strict=True)
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
-             pa.array(sketches, pa.binary()), pa.array(list(parts), pa.list_(pa.int64()))],
-            ["doc_id", "n", "digest_a", "digest_b", "sketch", "parts"])
+             pa.array(sketches, pa.binary()), pa.array(list(early), pa.list_(pa.int64()))],
+            ["doc_id", "n", "digest_a", "digest_b", "sketch", "early"])
 
     return arrow_map(docs, make, POINTS)
 
 
-def _regions(points: DataFrame) -> DataFrame:
-    """(region, node, n) for the parts that at least two points share; equal regions are one."""
+def _popular(points: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Popular shingles in hash order, and their counts over all documents.
+
+    The table has a fixed bound.  A shingle that it misses only makes a region larger.
+    """
+    counts = points.select(F.explode("early").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= POPULAR)
+    rows = counts.orderBy(F.desc("c"), "s").limit(RANKED).toPandas()
+    names = rows["s"].to_numpy(np.int64).astype(U)
+    order = np.argsort(names)
+    return names[order], rows["c"].to_numpy(np.int64)[order]
+
+
+def _standing(docs: DataFrame, width: int, percent: int, popular: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, n and the shingles in whose regions each document stands."""
+    names, counts = popular
+
+    def stand(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, n, parts = [], [], []
+        for doc_id, text in zip(*columns_of(batch, "doc_id", "text"), strict=True):
+            s = shingles(text or "", width)
+            size, k = len(s), regions_of(len(s), percent)
+            if doc_id is None or not k:
+                continue
+            if len(names):
+                at = np.minimum(np.searchsorted(names, s), len(names) - 1)
+                rank = np.where(names[at] == s, counts[at], 0)
+                s = s[np.argsort(rank, kind="stable")[:k]]
+            ids.append(doc_id)
+            n.append(size)
+            parts.append(s[:k].astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(parts, pa.list_(pa.int64()))],
+                                         ["doc_id", "n", "parts"])
+
+    return arrow_map(docs, stand, "doc_id long, n int, parts array<long>")
+
+
+def _regions(standing: DataFrame) -> DataFrame:
+    """(region, node, n) for the shingles at which at least two documents stand; equal regions are one."""
     def flat(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         lists = batch.column(batch.schema.get_field_index("parts"))
         each = lists.value_lengths().to_numpy()
@@ -175,7 +185,7 @@ def _regions(points: DataFrame) -> DataFrame:
         name = np.repeat(np.add.reduceat(mix(node.astype(U)), first), size) if len(part) else part
         yield pa.RecordBatch.from_arrays([pa.array(name[many].astype(np.int64)), pa.array(node[many]), pa.array(n[many])], ["region", "node", "n"])
 
-    rows = arrow_map(points.select("doc_id", "n", "parts"), flat, "part long, node long, n int")
+    rows = arrow_map(standing, flat, "part long, node long, n int")
     return rows.repartition("part").mapInArrow(shared, "region long, node long, n int").dropDuplicates(["region", "node"])
 
 
@@ -230,7 +240,7 @@ def _divided(large: DataFrame, percent: int, level: int) -> DataFrame:
             far = np.bitwise_count(signs[1:] ^ signs[0]).sum(axis=1).astype(np.int64)
             reach = (n + n * 100 // percent) * (100 - percent) // (100 + percent)
             for j in np.flatnonzero(far <= far.min() + 2 * reach).tolist():
-                name = int(mix(np.array([region & (2**64 - 1)], U) + U(j + 1) * U(0x9E3779B97F4A7C15))[0].astype(np.int64))
+                name = int(mix(np.array([(region + (j + 1) * 0x9E3779B97F4A7C15) % 2**64], U)).astype(np.int64)[0])
                 rows.append((name, int(j != far.argmin()), node, n, component, sketch, size))
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -317,17 +327,19 @@ def linked_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Dat
     A null doc_id links with nothing and has a null component.  Extra columns are not read.
     """
     reachable(docs.sparkSession)
-    docs, rings = docs.select("doc_id", "text"), Rings(percent)
-    points = cut(_points(docs, width, rings))
+    docs = docs.select("doc_id", "text")
+    points = cut(_points(docs, width, percent))
     digests = ["digest_a", "digest_b", "n"]
     ours = points.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = cut(ours.groupBy(*digests).agg(F.min("doc_id").alias("node")))
+    # One document of each class stands for all.
     first = ours.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", *digests], "left_semi")
-    regions = cut(_regions(first))
+    standing = cut(_standing(docs, width, percent, _popular(points)))
+    regions = cut(_regions(standing.join(first.select("doc_id", "n").distinct(), ["doc_id", "n"], "left_semi")))
 
     pivots = regions.groupBy("region").agg(F.min("node").alias("a"))
     stars = regions.join(pivots, "region").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
-    kept = first.select("doc_id", "n", "sketch")
+    kept = cut(first.select("doc_id", "n", "sketch"))
     stars = cut(_pairs_by_sketch(_with_sketches(stars, kept), percent))
     links = cut(_linked(stars, docs, width, percent))
     rest = cut(_rest(regions, kept, components(links), percent).join(stars, ["a", "b"], "left_anti"))

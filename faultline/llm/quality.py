@@ -30,6 +30,8 @@ MEASURES = {
 }
 #: Spreads beyond a quartile that a document may lie.
 SPREADS = 4
+#: Languages and sources up to which their limits are sent to every executor (some MB); beyond, shuffled.
+SENT_GROUPS = 50_000
 #: Documents that a sketch needs before its own quartiles are used.
 ENOUGH = 50
 
@@ -50,11 +52,15 @@ def _repeated(hashes: Column) -> Column:
         F.lit(0), lambda total, x: total + x))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of every document; null texts count as empty."""
+def measured(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, source and the counts of every document; null texts count as empty.
+
+    ``keep`` names further columns to carry along.
+    """
     text, n = F.col("_text"), F.col("n_words")
+    keep = tuple(c for c in keep if c not in ("doc_id", "lang", "source"))
     return (
-        docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("_text"))
+        docs.select("doc_id", "lang", "source", *keep, F.coalesce("text", F.lit("")).alias("_text"))
         .withColumn("_trimmed", F.btrim(text, F.lit(SEPARATORS)))
         .withColumn("_words", F.when(F.col("_trimmed") == "", F.array().cast("array<string>"))
                     .otherwise(F.split("_trimmed", "[\\x20\\x09-\\x0D]+")))
@@ -63,7 +69,7 @@ def measured(docs: DataFrame) -> DataFrame:
         .withColumn("_windows", F.when(n > WINDOW, F.transform(
             F.sequence(F.lit(1), F.size("_words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("_words"), i, WINDOW)))))
         .select(
-            "doc_id", "lang", "source", "n_words",
+            "doc_id", "lang", "source", *keep, "n_words",
             F.length(F.translate(text, SEPARATORS, "")).cast("long").alias("word_chars"),
             (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
             (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
@@ -137,14 +143,14 @@ def thresholds(rows: DataFrame) -> DataFrame:
         for c in names])
 
 
-def quality(docs: DataFrame) -> DataFrame:
+def quality(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: the counts, ``base_failed`` and ``kept``.
 
     Empty, null and short texts (under 20 words) fail the base rules; repeated rows are judged
     alike; columns beyond doc_id, text, lang and source are not read.  The counts are stored
-    once and used for the sketches and the verdict.
+    once and used for the sketches and the verdict, with the columns that ``keep`` names.
     """
-    counts = cut(measured(docs))
+    counts = cut(measured(docs, keep))
     rows = counts.withColumns(_measures())
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     fair = F.lit(True)
@@ -152,10 +158,13 @@ def quality(docs: DataFrame) -> DataFrame:
         fair &= F.col(name) <= F.col(f"t.{name}_high")
         if low:
             fair &= F.col(name) >= F.col(f"t.{name}_low")
-    limits = thresholds(rows.filter(F.col("n_words") > 0)).alias("t")
+    limits = cut(thresholds(rows.filter(F.col("n_words") > 0)))
+    if limits.count() <= SENT_GROUPS:
+        limits = F.broadcast(limits)
+    limits = limits.alias("t")
     same = F.col("r.lang").eqNullSafe(F.col("t.lang")) & F.col("r.source").eqNullSafe(F.col("t.source"))
     return rows.alias("r").join(limits, same, "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", *(F.col(f"r.{c}") for c in keep), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & F.coalesce(fair, F.lit(False))).alias("kept"))
 
 
