@@ -263,14 +263,15 @@ def pseudonymised(docs: DataFrame, key: bytes = b"surrogates") -> DataFrame:
     """
     docs = docs.drop("n_entities")
     attempts = attempts_needed(docs, key)
-    place = docs.columns.index("text")
+    names = docs.columns
+    place = names.index("text")
     schema = docs.withColumn("n_entities", F.lit(0).cast("long")).schema
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         replace = replacer(key, attempts)
         rows = [(None, 0) if t is None else replace(t) for t in columns_of(batch, "text")[0]]
         new = pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.string()) if i == place else c for i, c in enumerate(batch.columns)], docs.columns)
+            [pa.array([r[0] for r in rows], pa.string()) if i == place else c for i, c in enumerate(batch.columns)], names)
         yield new.append_column("n_entities", pa.array([r[1] for r in rows], pa.int64()))
 
     return arrow_map(docs, run, schema)
