@@ -130,7 +130,7 @@ def judged_payloads(payloads: DataFrame, max_bytes: int = seeds.MAX_UPLOAD_BYTES
     """Clean and judge submissions ``project_name, files`` inside their own rows.
 
     Adds ``admitted`` (array of file path and text), ``reason`` (null when
-    accepted) and ``root``.  Nothing is exploded or shuffled for it.
+    accepted) and ``root``; ``submission`` and ``scan_date`` are carried along.  Nothing is exploded or shuffled for it.
     """
     cleaned = payloads.select(
         "*", strip(F.col("project_name")).alias("name"),
@@ -152,21 +152,23 @@ def judged_payloads(payloads: DataFrame, max_bytes: int = seeds.MAX_UPLOAD_BYTES
     root = F.when(
         (F.size(tops) == 1) & F.forall("admitted", lambda f: F.contains(f["file_path"], F.lit("/"))),
         F.element_at(tops, 1))
+    carried = [c for c in ("submission", "scan_date") if c in payloads.columns]
     return kept.select(
-        F.col("name").alias("project_name"), "admitted", size.alias("admitted_bytes"),
+        *carried, F.col("name").alias("project_name"), "admitted", size.alias("admitted_bytes"),
         reason.alias("reason"), root.alias("root"))
 
 
 def payload_files(judged: DataFrame) -> DataFrame:
     """Files of accepted submissions, without the wrapper directory.
 
-    A path submitted twice keeps its last text, as on disk.
+    A path submitted twice keeps its last text, as on disk.  The project is the
+    ``submission`` where there is one, else the project name.
     """
+    project = F.col("submission" if "submission" in judged.columns else "project_name")
     return (
         judged.filter(F.col("reason").isNull())
-        .select("project_name", "root", F.posexplode(last_texts(F.col("admitted"))).alias("position", "file"))
-        .select(F.col("project_name").alias("project_id"),
-                below_root(F.col("file.file_path"), F.col("root")).alias("file_path"),
+        .select(project.alias("project_id"), "root", F.posexplode(last_texts(F.col("admitted"))).alias("position", "file"))
+        .select("project_id", below_root(F.col("file.file_path"), F.col("root")).alias("file_path"),
                 F.col("file.content").alias("content")))
 
 

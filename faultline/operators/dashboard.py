@@ -40,7 +40,8 @@ def metric_rows(reports: DataFrame, metadata: DataFrame, key: str = "scan_id") -
         key, F.col("total_findings").alias("findings"), F.col("security_posture").alias("posture"),
         F.coalesce("total_files", F.lit(0)).alias("files_analyzed"),
         F.col("critical_count").alias("critical"), F.col("high_count").alias("high"),
-        F.concat(F.coalesce(F.col("scan_duration"), F.lit(0.0)).cast("string"), F.lit("s")).alias("duration"))
+        F.concat(F.regexp_replace(
+            F.coalesce(F.col("scan_duration"), F.lit(0.0)).cast("string"), "\\.0$", ""), F.lit("s")).alias("duration"))
 
 
 def recounted(findings: DataFrame, key: str = "project_id") -> DataFrame:

@@ -17,9 +17,6 @@ from faultline.functions import severity
 from faultline.functions.text import strip
 from faultline.session import cut
 
-# Up to this many file names are sent to every task: a few megabytes.
-FEW_FILES = 50_000
-
 PLACE = ("source_rank", "origin", "rule_ord", "match_ord")
 
 
@@ -72,9 +69,8 @@ def best_per_place(findings: DataFrame, per_package: bool = False, aliases: dict
 
 def with_finding_id(findings: DataFrame) -> DataFrame:
     """Add an id that depends only on what and where the finding is."""
-    text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in
-            ("project_id", "file_path", "line_number", "category", "title")]
-    return findings.withColumn("finding_id", F.sha2(F.concat_ws("|", *text), 256))
+    what = F.struct("project_id", "file_path", "line_number", "category", "title")
+    return findings.withColumn("finding_id", F.sha2(F.to_json(what), 256))
 
 
 def severity_order() -> list[Column]:
@@ -92,16 +88,14 @@ def by_severity(findings: DataFrame) -> DataFrame:
 def fill_snippets(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Give findings without a snippet the stripped source line they point to.
 
-    Only files that such a finding names are split into lines, and only the
-    wanted lines meet the findings; complete findings do not take part.  The
-    named files are counted first: while they are few they are sent to the
-    texts, so that texts are not shuffled; beyond that both sides are.
+    The findings are stored first, so that whatever makes them runs once.  Only
+    files that such a finding names are split into lines, and only the wanted
+    lines meet the findings; complete findings do not take part.
     """
+    findings = cut(findings)
     empty = F.coalesce(F.col("code_snippet"), F.lit("")) == ""
     lacking = findings.filter(empty & (F.col("line_number") > 0))
-    named = cut(lacking.select("project_id", "file_path").distinct())
-    if named.limit(FEW_FILES + 1).count() <= FEW_FILES:
-        named = F.broadcast(named)
+    named = lacking.select("project_id", "file_path").distinct()
     lines = (
         files.select("project_id", "file_path", "content")
         .join(named, ["project_id", "file_path"], "left_semi")

@@ -68,7 +68,7 @@ def current_status(findings: DataFrame, changes: DataFrame) -> DataFrame:
 def within_limits(findings: DataFrame) -> DataFrame:
     """Mark findings whose texts fit the stored widths and whose numbers are in range."""
     # Widths of the stored columns.
-    widths = {"title": 255, "category": 255, "file_path": 1024, "source_tool": 64}
+    widths = {"title": 255, "category": 64, "file_path": 1024, "source_tool": 64}
     fits = F.col("confidence").between(0, 100)
     for column, width in widths.items():
         fits = fits & (F.length(column) <= width)

@@ -20,6 +20,7 @@ class ScanResult(NamedTuple):
     findings: DataFrame
     reports: DataFrame
     scan_metadata: DataFrame
+    refusals: DataFrame | None = None
 
 
 def static_findings(files: DataFrame, rule_set: Sequence[seeds.Rule] = STATIC_RULES,
@@ -30,14 +31,14 @@ def static_findings(files: DataFrame, rule_set: Sequence[seeds.Rule] = STATIC_RU
 
 
 def _merged_findings(files: DataFrame, packages: DataFrame, rule_set, secret_rules, advisories,
-                     semgrep, bandit, per_package: bool) -> DataFrame:
+                     semgrep, bandit, per_package: bool, aliases: dict | None) -> DataFrame:
     """Best finding per place over all producers; the texts are read once for all rules."""
     every_rule = (*rule_set, *secret_rules)
     is_secret = F.col("source_rank") == rules.SOURCE_RANKS["secret"]
     by_line = findings.first_per_line(
         findings.union_findings(semgrep, bandit, rules.rule_findings(files, every_rule)), is_secret)
     by_package = dependencies.dependency_findings(packages, advisories)
-    best = findings.best_per_place(findings.union_findings(by_line, by_package), per_package)
+    best = findings.best_per_place(findings.union_findings(by_line, by_package), per_package, aliases)
     return rules.with_rule_texts(best, every_rule)
 
 
@@ -45,41 +46,49 @@ def scan_findings(files: DataFrame, *, rule_set: Sequence[seeds.Rule] = STATIC_R
                   secret_rules: Sequence[seeds.Rule] = seeds.SECRET_RULES,
                   advisories: DataFrame | None = None, semgrep: DataFrame | None = None,
                   bandit: DataFrame | None = None, roots: DataFrame | None = None,
-                  replies: DataFrame | None = None, per_package: bool = False,
+                  replies: DataFrame | None = None, explain_limit: int | None = None,
+                  per_package: bool = False, aliases: dict | None = None,
                   manifest_files: DataFrame | None = None, keep: bool = False) -> DataFrame:
     """Merged findings of all producers over all projects of ``files``.
 
-    ``roots`` are wrapper directories to take off finding paths, so that texts
-    need not be joined with them.
+    Files that admission refuses by their path take no part.  ``roots`` are wrapper
+    directories to take off finding paths, so that texts need not be joined with
+    them.  ``replies`` are merged for the findings they name; ``explain_limit``
+    restricts that to so many top findings of each project.
     """
+    files = admission.admit_files(files)
     manifest_files = manifests.manifest_files(files) if manifest_files is None else manifest_files
     best = _merged_findings(
         files, manifests.declared_packages(manifest_files), rule_set, secret_rules, advisories,
-        semgrep, bandit, per_package)
+        semgrep, bandit, per_package, aliases)
     if roots is not None:
         best = best.join(roots, "project_id", "left").withColumn(
             "file_path", admission.below_root(F.col("file_path"), F.col("root"))).drop("root")
     best = findings.with_finding_id(rules.mask_secrets(best, secret_rules))
     if replies is not None:
-        return explained(cut(best) if keep else best, replies)
+        return explained(cut(best) if keep else best, replies, explain_limit)
     return best.select(
         "*", *[F.lit(None).cast("string").alias(c) for c in ("ai_explanation", "ai_reasoning_summary")],
         F.lit(None).cast("int").alias("ai_confidence"), F.lit(False).alias("reply_usable"))
 
 
-def scan(files: DataFrame, projects: DataFrame | None = None, *, scan_date="1970-01-01 00:00:00",
+def scan(files: DataFrame, projects: DataFrame | None = None, *, scan_date=None,
          duration: float | None = None, keep: bool = False, **options) -> ScanResult:
     """Scan all projects of ``files`` and describe them as three tables.
 
     ``projects`` (``project_id`` and optionally ``project_name``, ``scan_date``)
     names projects that may have no file; by default every project of ``files``
-    is scanned.  ``keep`` stores the manifests and the findings in the shared
+    is scanned.  A date must be given, there or as ``scan_date``: it tells one scan
+    of a project from the next.  ``keep`` stores the manifests and the findings in the shared
     folder first: the texts are then read twice in all, once for the manifests
     and once for all rules, whatever is derived.  The other options are those
     of :func:`scan_findings`.
     """
     if projects is None:
         projects = files.select("project_id").distinct()
+    if scan_date is None and "scan_date" not in projects.columns:
+        raise ValueError("a scan needs a date: pass scan_date, or projects with a scan_date")
+    files = admission.admit_files(files)
     when = F.col("scan_date") if "scan_date" in projects.columns else F.lit(scan_date)
     named = F.col("project_name") if "project_name" in projects.columns else F.col("project_id")
     projects = projects.select(
@@ -99,8 +108,10 @@ def scan(files: DataFrame, projects: DataFrame | None = None, *, scan_date="1970
 
 
 def dated_findings(best: DataFrame, projects: DataFrame) -> DataFrame:
-    return best.join(projects, "project_id").select(
-        "*", F.lit(seeds.FINDING_STATES[0]).alias("status"), F.col("scan_date").alias("created_at"),
+    """Findings of one scan each; their ids are those of the place within this scan."""
+    own_id = F.sha2(F.to_json(F.struct("scan_id", "fingerprint")), 256)
+    return best.withColumnRenamed("finding_id", "fingerprint").join(projects, "project_id").select(
+        "*", own_id.alias("finding_id"), F.lit(seeds.FINDING_STATES[0]).alias("status"), F.col("scan_date").alias("created_at"),
     ).select(*schema.names(schema.FINDINGS))
 
 
@@ -126,18 +137,28 @@ def metadata_rows(files: DataFrame, manifest_files: DataFrame, projects: DataFra
                 F.lit(duration).cast("double").alias("scan_duration")))
 
 
-def explained(best: DataFrame, replies: DataFrame, limit: int = seeds.EXPLAIN_LIMIT) -> DataFrame:
-    """Merge the replies for the findings that were chosen for explanation."""
+def explained(best: DataFrame, replies: DataFrame, limit: int | None = None) -> DataFrame:
+    """Merge the replies, or only those for the ``limit`` top findings of each project."""
+    if limit is None:
+        return explain.merge_replies(best, replies)
     chosen = explain.top_findings(best, limit).select("finding_id")
     return explain.merge_replies(best, replies.join(chosen, "finding_id", "left_semi"))
 
 
-def scan_payloads(payloads: DataFrame, **options) -> ScanResult:
-    """Scan inline submissions; refused ones have no report."""
-    judged = admission.judged_payloads(payloads)
-    projects = judged.filter(F.col("reason").isNull()).select(F.col("project_name").alias("project_id"))
-    return scan(admission.payload_files(judged), projects, **options)
+def scan_payloads(payloads: DataFrame, *, scan_date=None, **options) -> ScanResult:
+    """Scan inline submissions, each as a project of its own; refused ones are returned with their reason.
 
-
-def ordered_findings(result: ScanResult) -> DataFrame:
-    return findings.by_severity(result.findings)
+    ``landed_as`` and ``position`` (where the submission stood) name a submission,
+    ``landed_at`` dates it.  Rows without them are numbered as they come and
+    dated by ``scan_date``.  The judged submissions are stored once.
+    """
+    if "position" not in payloads.columns:
+        payloads = payloads.withColumn("position", F.monotonically_increasing_id())
+    place = [c for c in ("landed_as", "position") if c in payloads.columns]
+    when = F.col("landed_at") if "landed_at" in payloads.columns else F.lit(scan_date)
+    named = payloads.withColumn("submission", F.sha2(F.to_json(F.struct(*place, "project_name")), 256))
+    judged = cut(admission.judged_payloads(named.withColumn("scan_date", when.cast("timestamp_ntz"))))
+    accepted = judged.filter(F.col("reason").isNull()).select(
+        F.col("submission").alias("project_id"), "project_name", "scan_date")
+    refused = judged.filter(F.col("reason").isNotNull()).select(*schema.names(schema.REFUSALS))
+    return scan(admission.payload_files(judged), accepted, **options)._replace(refusals=refused)

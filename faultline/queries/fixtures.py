@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from faultline import seeds
 from faultline.session import spread
 
 ID = "CAST(doc_id AS STRING)"
@@ -23,13 +24,20 @@ FILE_PATH = f"""CASE doc_id % 16
   WHEN 14 THEN 'assets/f'             || {ID} || '.png'
   ELSE 'backend/f' || {ID} || '.py' END"""
 
+# The text as the inside of a JSON string.
+_ESCAPED = "text"
+for _sign, _name in (("chr(92)", "chr(92)"), ("'\"'", "'\"'"), ("chr(10)", "'n'"), ("chr(13)", "'r'"), ("chr(9)", "'t'")):
+    _ESCAPED = f"replace({_ESCAPED}, {_sign}, chr(92) || {_name})"
+JSON_TEXT = _ESCAPED
+
 CONTENT = f"""CASE doc_id % 16
   WHEN 10 THEN 'requests==2.' || CAST(doc_id % 40 AS STRING) || '.0' || chr(10)
     || 'Flask>=0.12.2' || chr(10) || '# note' || chr(10) || '-r base.txt' || chr(10)
     || 'pyyaml' || chr(10) || 'django==3.2.' || CAST(doc_id % 30 AS STRING)
     || CASE WHEN doc_id % 3 = 0 THEN 'rc1' ELSE '' END || chr(10) || text
   WHEN 11 THEN '{{"dependencies": {{"express": "^4.17.' || CAST(doc_id % 5 AS STRING)
-    || '", "react": "18.2.0"}}, "devDependencies": {{"lodash": "4.17.2", "axios": "latest"}}}}'
+    || '", "react": "18.2.0"}}, "devDependencies": {{"lodash": "4.17.2", "axios": "latest"}}, "description": "'
+    || {JSON_TEXT} || '"}}'
   ELSE text || chr(10) || CASE doc_id % 16
     WHEN 0  THEN 'x = eval(user_input)'
     WHEN 1  THEN 'os.system(cmd)' || chr(10) || 'h = hashlib.md5(b)' || chr(10) || 'k = sha1(b) + md5(b)'
@@ -40,6 +48,8 @@ CONTENT = f"""CASE doc_id % 16
     WHEN 6  THEN 'try:' || chr(10) || '    run()' || chr(10) || 'except:' || chr(10) || '    pass'
     WHEN 7  THEN 'el.innerHTML = x; document.cookie = y'
     WHEN 8  THEN 'return <div dangerouslySetInnerHTML={{h}} />'
+    WHEN 13 THEN 'el.innerHTML = x'
+    WHEN 14 THEN 'el.innerHTML = x'
     WHEN 9  THEN 'app.use(cors({{ origin: "*" }}))' || chr(10) || 'const api_key: "abcd1234"'
     WHEN 12 THEN 'os.system(a); subprocess.call(a, shell=True)' || chr(10) || 'os.system(b)' || chr(10)
       || 'requests.get(u, verify=False)' || chr(10) || 'DEBUG = True'
@@ -79,9 +89,16 @@ def files(spark: SparkSession, sf_dir: str, project: str = BY_SOURCE) -> DataFra
         "project_id": project, "file_path": FILE_PATH, "content": CONTENT})
 
 
-def files_sql(project: str = BY_SOURCE) -> str:
-    return (f"files AS (SELECT {project} AS project_id, {FILE_PATH} AS file_path, "
-            f"{CONTENT} AS content FROM documents)")
+def files_sql(project: str = BY_SOURCE, admitted: bool = False) -> str:
+    """The table ``files``; with ``admitted`` only what admission lets in, beside ``given_files``."""
+    given = (f"SELECT {project} AS project_id, {FILE_PATH} AS file_path, {CONTENT} AS content FROM documents")
+    if not admitted:
+        return f"files AS ({given})"
+    base = "list_last(string_split(file_path, '/'))"
+    return (f"given_files AS ({given}), files AS (SELECT * FROM given_files "
+            f"WHERE NOT list_has_any(string_split(file_path, '/'), {list(seeds.BLOCKED_DIRS)!r}) "
+            f"AND ({base} IN {tuple(seeds.ALLOWED_NAMES)!r} "
+            f"OR regexp_extract({base}, '(?s)^.+([.][^.]+)$', 1).lower() IN {tuple(seeds.ALLOWED_SUFFIXES)!r}))")
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:

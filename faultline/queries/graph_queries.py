@@ -179,14 +179,14 @@ RISK_SQL = f"""WITH {rq.scan_cte()}, {rq.score_cte()} SELECT project_id, 100 - o
 
 
 def metrics(spark, sf_dir):
-    result = scan(fixtures.files(spark, sf_dir, fixtures.BY_BATCH), duration=1.25)
+    result = scan(fixtures.files(spark, sf_dir, fixtures.BY_BATCH), scan_date=SCAN_DATE, duration=2.0)
     names = result.reports.select("scan_id", "project_name")
     return dashboard.metric_rows(result.reports, result.scan_metadata).join(names, "scan_id").drop("scan_id")
 
 
 METRICS_SQL = f"""WITH {rq.scan_cte()}, {rq.score_cte()}, counters AS (SELECT project_id, count(*) AS total_files FROM files GROUP BY 1)
-  SELECT project_id AS project_name, total_findings AS findings, security_posture AS posture, total_files AS files_analyzed,
-    critical_count AS critical, high_count AS high, '1.25s' AS duration FROM scores JOIN counters USING (project_id)"""
+  SELECT project_id AS project_name, total_findings AS findings, security_posture AS posture, coalesce(total_files, 0) AS files_analyzed,
+    critical_count AS critical, high_count AS high, '2s' AS duration FROM scores LEFT JOIN counters USING (project_id)"""
 
 QUERIES = {
     "q_areas": areas, "q_unclaimed_areas": unclaimed, "q_area_nodes": area_nodes, "q_file_nodes": file_nodes,

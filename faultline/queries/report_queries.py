@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from faultline import seeds
@@ -186,13 +187,16 @@ REPORT = {
     "scan_date": "o_orderdate", "overall_score": "CAST(floor(o_totalprice) AS BIGINT) % 101",
     "security_posture": "o_orderpriority",
 }
+# Every third report was stopped: its metadata is stored under another id.
 METADATA = {
-    "scan_id": "CAST(o_orderkey AS STRING)", "total_files": "o_custkey % 50",
+    "scan_id": "CASE WHEN o_orderkey % 3 = 0 THEN 'stopped-' ELSE '' END || CAST(o_orderkey AS STRING)", "total_files": "o_custkey % 50",
     "scan_duration": "CAST(o_custkey % 90 AS DOUBLE) / 4",
 }
+# Line items of some suppliers belong to no report.
 STORED = {
-    "scan_id": "CAST(l_orderkey AS STRING)",
-    "finding_id": "CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING)",
+    "scan_id": "CASE WHEN l_suppkey % 10 = 3 THEN 'unknown-' ELSE '' END || CAST(l_orderkey AS STRING)",
+    "finding_id": "CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING)"
+                  " || '-' || CAST(l_suppkey AS STRING) || '-' || CAST(CAST(l_quantity AS INT) AS STRING)",
     "severity": "CASE l_returnflag WHEN 'A' THEN 'CRITICAL' WHEN 'N' THEN 'MEDIUM' ELSE 'HIGH' END",
     "confidence": "CAST(l_quantity AS INT)",
 }
@@ -204,21 +208,21 @@ def _columns(columns: dict) -> str:
 
 def _stored(spark, sf_dir):
     orders = fixtures.read(spark, sf_dir, "orders")
-    # every third order has no metadata, as a scan that was stopped
     return (fixtures.select(orders, REPORT),
             fixtures.select(fixtures.read(spark, sf_dir, "lineitem"), STORED),
-            fixtures.select(orders.filter("o_orderkey % 3 <> 0"), METADATA))
+            fixtures.select(orders, METADATA))
 
 
 STORED_CTE = f"""reports AS (SELECT {_columns(REPORT)} FROM orders),
   findings AS (SELECT {_columns(STORED)} FROM lineitem),
-  metadata AS (SELECT {_columns(METADATA)} FROM orders WHERE o_orderkey % 3 <> 0)"""
+  metadata AS (SELECT {_columns(METADATA)} FROM orders)"""
 
 
 def report_findings(spark, sf_dir):
-    """Findings of the reports that scored under 50."""
+    """Findings of the reports there are, in their order within the report."""
     stored, found, _ = _stored(spark, sf_dir)
-    return reports.report_findings(stored.filter("overall_score < 50"), found)
+    place = F.row_number().over(Window.partitionBy("scan_id").orderBy(F.monotonically_increasing_id()))
+    return reports.report_findings(stored, found).withColumn("place", place)
 
 
 def latest_reports(spark, sf_dir):
@@ -287,8 +291,9 @@ ORACLES = {
     "q_reply_availability": f"WITH {REPLY_CTE} SELECT project_id, CASE WHEN bool_or(reply_usable) THEN 'available' "
                             "ELSE 'unavailable' END AS explanations_available FROM merged GROUP BY project_id",
     "q_posture_requests": POSTURE_SQL,
-    "q_report_findings": f"WITH {STORED_CTE} SELECT * FROM findings SEMI JOIN "
-                         "(SELECT scan_id FROM reports WHERE overall_score < 50) USING (scan_id)",
+    "q_report_findings": f"WITH {STORED_CTE} SELECT *, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY "
+                         f"{oracle.severity_rank('severity')}, finding_id) AS INTEGER) AS place "
+                         "FROM findings SEMI JOIN reports USING (scan_id)",
     "q_latest_reports": f"WITH {STORED_CTE} SELECT * FROM reports QUALIFY row_number() OVER "
                         "(PARTITION BY project_name ORDER BY scan_date DESC, scan_id DESC) = 1",
     "q_latest_report": f"WITH {STORED_CTE} SELECT * FROM reports ORDER BY scan_date DESC, scan_id LIMIT 1",

@@ -106,11 +106,11 @@ def rule_values(rule_set) -> str:
         "rules", "rule_id, rule_ord, source_rank, title, category, severity, confidence, source_tool", rows)
 
 
-def raw_cte(project=fixtures.BY_SOURCE, secrets=False) -> str:
+def raw_cte(project=fixtures.BY_SOURCE, secrets=False, admitted=False) -> str:
     """All findings of rules and syntax checks before deduplication."""
     rule_set = STATIC_RULES + (seeds.SECRET_RULES if secrets else ())
     plain = seeds.PATTERN_RULES + (seeds.SECRET_RULES if secrets else ())
-    return f"""{fixtures.files_sql(project)}, {oracle.matches_sql(plain)}, {TAINT_CTE}, {SILENT_CTE},
+    return f"""{fixtures.files_sql(project, admitted)}, {oracle.matches_sql(plain)}, {TAINT_CTE}, {SILENT_CTE},
       {rule_values(rule_set)},
       hits AS (SELECT project_id, file_path, rule_id, line_number, code_snippet FROM matches
         UNION ALL SELECT project_id, file_path, 'ast01', line_number, code_snippet FROM tainted
@@ -118,9 +118,9 @@ def raw_cte(project=fixtures.BY_SOURCE, secrets=False) -> str:
       raw AS (SELECT * FROM hits JOIN rules USING (rule_id))"""
 
 
-def static_cte(project=fixtures.BY_SOURCE, secrets=False) -> str:
+def static_cte(project=fixtures.BY_SOURCE, secrets=False, admitted=False) -> str:
     own = ", CASE WHEN source_rank = 5 THEN rule_ord END" if secrets else ""
-    return f"""{raw_cte(project, secrets)},
+    return f"""{raw_cte(project, secrets, admitted)},
       static AS (SELECT * FROM raw QUALIFY row_number() OVER (
         PARTITION BY project_id, file_path, line_number, category{own}
         ORDER BY source_rank, rule_ord, line_number) = 1)"""
@@ -153,7 +153,7 @@ NEAR_SQL = (f"WITH {static_cte()}, ranked AS (SELECT *, '' AS origin FROM static
 
 def scan_cte(project=fixtures.BY_BATCH, per_package=False) -> str:
     """Merged findings of all producers, as the full scan has them."""
-    return f"""{static_cte(project, secrets=True)}, {advisories_cte()},
+    return f"""{static_cte(project, secrets=True, admitted=True)}, {advisories_cte()},
       producers AS (
         SELECT project_id, file_path, line_number, category, severity, confidence, source_rank,
           '' AS origin, rule_ord, title, source_tool, code_snippet FROM static
@@ -190,7 +190,7 @@ def project_scores(spark, sf_dir):
     return score.scores(scan_findings(files), files.select("project_id").distinct()).select(*SCORE)
 
 
-def score_cte(source="merged", projects="SELECT DISTINCT project_id FROM files") -> str:
+def score_cte(source="merged", projects="SELECT DISTINCT project_id FROM given_files") -> str:
     scored = "CASE WHEN severity IN ('CRITICAL','HIGH','MEDIUM','LOW') THEN severity ELSE 'MEDIUM' END"
     weights = oracle.case_map("sev", seeds.SEVERITY_WEIGHTS)
     caps = oracle.case_map("worst", dict(enumerate(seeds.SCORE_CAPS.values())), "100")
@@ -226,7 +226,7 @@ REPORT = ("project_name", "overall_score", "security_posture", "total_findings",
 
 def scan_reports(spark, sf_dir):
     """Report and metadata of every scanned project."""
-    result = scan(fixtures.files(spark, sf_dir, fixtures.BY_BATCH))
+    result = scan(fixtures.files(spark, sf_dir, fixtures.BY_BATCH), scan_date="2024-03-05 16:07:09")
     return result.reports.join(result.scan_metadata, "scan_id").select(
         *REPORT[:-1], F.array_join("detected_frameworks", ",").alias("detected_frameworks"))
 
@@ -234,9 +234,10 @@ def scan_reports(spark, sf_dir):
 SCAN_REPORTS_SQL = f"""WITH {scan_cte()}, {score_cte()}, {frameworks_cte()},
   counters AS ({counters_select()})
   SELECT s.project_id AS project_name, {', '.join(REPORT[1:8])}, 'unavailable' AS explanations_available,
-    total_files, python_files, javascript_files, config_files,
+    coalesce(total_files, 0) AS total_files, coalesce(python_files, 0) AS python_files,
+    coalesce(javascript_files, 0) AS javascript_files, coalesce(config_files, 0) AS config_files,
     coalesce(detected_frameworks, '') AS detected_frameworks
-  FROM scores s JOIN counters USING (project_id) LEFT JOIN frameworks USING (project_id)"""
+  FROM scores s LEFT JOIN counters USING (project_id) LEFT JOIN frameworks USING (project_id)"""
 
 
 def finding_scores(spark, sf_dir):
@@ -300,7 +301,7 @@ def findings_by_severity(spark, sf_dir):
 
 
 BY_SEVERITY_SQL = f"""WITH {scan_cte()} SELECT project_id, severity, file_path, line_number, category, title,
-  confidence BETWEEN 0 AND 100 AND length(title) <= 255 AND length(category) <= 255
+  confidence BETWEEN 0 AND 100 AND length(title) <= 255 AND length(category) <= 64
     AND length(file_path) <= 1024 AND length(source_tool) <= 64 AS fits
   FROM merged ORDER BY project_id, {oracle.severity_rank('severity')}"""
 

@@ -25,7 +25,7 @@ RAW_FINDING = (
     "source_tool string, code_snippet string, attack_path array<string>")
 
 FINDINGS = (
-    "scan_id string, project_id string, finding_id string, title string, category string, "
+    "scan_id string, project_id string, finding_id string, fingerprint string, title string, category string, "
     "severity string, confidence int, file_path string, line_number int, description string, "
     "impact string, recommendation string, example_fix string, source_tool string, "
     "code_snippet string, attack_path array<string>, ai_explanation string, "
@@ -41,6 +41,9 @@ SCAN_METADATA = (
     "scan_id string, total_files bigint, python_files bigint, javascript_files bigint, "
     "config_files bigint, detected_frameworks array<string>, scan_duration double")
 
+# Submissions that were not scanned, and why.
+REFUSALS = "submission string, project_name string, scan_date timestamp_ntz, reason string"
+
 STATUS_CHANGES = "finding_id string, status string, changed_at timestamp, change_id bigint"
 
 

@@ -3,10 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from faultline import schema
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Submissions stored one per line; malformed lines become empty submissions."""
-    return spark.read.schema(schema.PAYLOAD).json(path)
+    """Submissions stored one per line; malformed lines become empty submissions.
+
+    ``landed_as`` and ``position`` say in which file and at which line one stands,
+    ``landed_at`` when the file was written.
+    """
+    return submissions_in(spark.read.text(path, wholetext=True))
+
+
+def submissions_in(files: DataFrame) -> DataFrame:
+    """The submissions of whole files; blank lines are none."""
+    lines = files.select(
+        F.col("_metadata.file_path").alias("landed_as"), F.col("_metadata.file_modification_time").alias("landed_at"),
+        F.posexplode(F.split("value", "\r?\n")).alias("position", "line")).filter("trim(line) <> ''")
+    given = F.from_json("line", schema.PAYLOAD)
+    return lines.select(given["project_name"].alias("project_name"), given["files"].alias("files"),
+                        "landed_as", "position", "landed_at")

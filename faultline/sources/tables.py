@@ -10,7 +10,7 @@ from faultline.plans.scan import ScanResult
 
 LAYOUTS = {
     "findings": schema.FINDINGS, "scan_metadata": schema.SCAN_METADATA,
-    "reports": schema.REPORTS, "status_changes": schema.STATUS_CHANGES,
+    "reports": schema.REPORTS, "refusals": schema.REFUSALS, "status_changes": schema.STATUS_CHANGES,
 }
 
 
@@ -23,18 +23,26 @@ def create_tables(spark: SparkSession, database: str = "default") -> None:
                   f"PARTITIONED BY ({day.split()[0]})")
 
 
-def _append_new(rows: DataFrame, table: str, days: Row) -> None:
+def _days(rows: DataFrame) -> Row:
+    return rows.agg(F.min("scan_day").alias("first"), F.max("scan_day").alias("last")).first()
+
+
+def _append_new(rows: DataFrame, table: str, days: Row, key: str = "scan_id") -> None:
     """Append the scans the table does not hold yet, so a repeat adds nothing."""
     stored = rows.sparkSession.read.table(table)
-    known = stored.filter(F.col("scan_day").between(days["first"], days["last"])).select("scan_id").distinct()
-    rows.join(known, "scan_id", "left_anti").select(*stored.columns).write.mode("append").insertInto(table)
+    known = stored.filter(F.col("scan_day").between(days["first"], days["last"])).select(key).distinct()
+    rows.join(known, key, "left_anti").select(*stored.columns).write.mode("append").insertInto(table)
 
 
 def append_scan(result: ScanResult, database: str = "default") -> None:
     """Append a finished scan.  Each table is written as one commit, reports last."""
+    if result.refusals is not None:
+        refused = result.refusals.withColumn("scan_day", F.to_date("scan_date"))
+        if (days := _days(refused))["first"] is not None:
+            _append_new(refused, f"{database}.refusals", days, "submission")
     dated = result.reports.withColumn("scan_day", F.to_date("scan_date"))
     keys = dated.select("scan_id", "scan_day")
-    days = keys.agg(F.min("scan_day").alias("first"), F.max("scan_day").alias("last")).first()
+    days = _days(keys)
     if days["first"] is None:
         return
     findings = result.findings.withColumn("scan_day", F.to_date("created_at"))

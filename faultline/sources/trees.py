@@ -21,24 +21,27 @@ def name_glob() -> str:
     return "{" + ",".join(endings + [n for n in seeds.ALLOWED_NAMES if "*" not in n]) + "}"
 
 
-def read_trees(spark: SparkSession, root: str, max_file_bytes: int = seeds.MAX_FILE_BYTES) -> DataFrame:
+def read_trees(spark: SparkSession, root: str, max_file_bytes: int | None = None) -> DataFrame:
     """``project_id, file_path, size, content`` of all projects below ``root``.
 
-    Every directory directly below ``root`` is one project.  Names are pruned
-    while listing and sizes by a filter the reader applies before it opens a
-    file; blocked directories are left out by path.
+    Every directory directly below ``root`` is one project; files directly below
+    ``root`` are the project ``.``.  Names are pruned while listing; blocked
+    directories are left out by path.  Files have any size unless
+    ``max_file_bytes`` is given, which the reader applies before it opens a file.
     """
     raw = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true").option("pathGlobFilter", name_glob())
-        .load(root).filter(F.col("length") <= max_file_bytes))
+        .load(root))
+    if max_file_bytes is not None:
+        raw = raw.filter(F.col("length") <= max_file_bytes)
     base = re.sub("^[a-z0-9]+:", "", root).strip("/")
     below = F.regexp_extract("path", f"^(?:[a-z0-9]+:)?.*?(?:^|/)\\Q{base}\\E/(.*)$", 1)
     named = raw.select(
-        F.regexp_extract(below, "^([^/]+)/", 1).alias("project_id"),
+        F.when(below.contains("/"), F.regexp_extract(below, "^([^/]+)/", 1)).otherwise(".").alias("project_id"),
         F.regexp_replace(below, "^[^/]+/", "").alias("file_path"),
         F.col("length").alias("size"), "content")
     path = F.col("file_path")
     return (
-        named.filter((F.col("project_id") != "") & paths.is_allowed(path) & ~paths.in_blocked_dir(path))
+        named.filter((path != "") & paths.is_allowed(path) & ~paths.in_blocked_dir(path))
         .select("project_id", "file_path", "size", decode_text(F.col("content")).alias("content")))

@@ -6,42 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from faultline import schema
-from faultline.functions.text import strip
-from faultline.operators import admission
-from faultline.plans.scan import scan
+from faultline.plans.scan import scan_payloads
+from faultline.sources.payloads import submissions_in
 from faultline.sources.tables import append_scan, append_status_changes
 
 
 def submissions(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
     """Submissions as their files land; the landing time of the file dates the scan."""
-    return (
-        spark.readStream.schema(schema.PAYLOAD).option("maxFilesPerTrigger", files_per_batch)
-        .json(folder)
-        .select("project_name", "files", F.col("_metadata.file_path").alias("landed_as"),
-                F.col("_metadata.file_modification_time").alias("landed_at")))
+    files = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder, wholetext=True)
+    return submissions_in(files)
 
 
 def scan_batch(batch: DataFrame, database: str) -> None:
-    """Scan the submissions of one batch and append the results.
+    """Scan the submissions of one batch and append the results and the refusals.
 
-    Every submission is a scan of its own, and its id depends only on the
-    submission, so a batch that is run again adds nothing.
+    Every submission is a scan of its own, named by its file and its line, so a
+    batch that is run again adds nothing and equal submissions stay apart.
     """
-    body = F.to_json(F.struct("project_name", "files"))
-    keyed = batch.filter(strip(F.coalesce("project_name", F.lit(""))) != "").withColumn(
-        "submission", F.sha2(F.concat_ws("|", "landed_as", body), 256))
-    named = keyed.groupBy("submission").agg(
-        F.count("*").alias("copies"), F.first("project_name").alias("project_name"),
-        F.first("landed_at").alias("scan_date"))
-    if not named.filter("copies > 1").isEmpty():  # rare, and the only case that shuffles texts
-        keyed = keyed.dropDuplicates(["submission"])
-    judged = admission.judged_payloads(keyed.select(F.col("submission").alias("project_name"), "files"))
-    accepted = judged.filter(F.col("reason").isNull()).select(F.col("project_name").alias("submission"))
-    projects = accepted.join(named, "submission").select(
-        F.col("submission").alias("project_id"), strip(F.col("project_name")).alias("project_name"),
-        "scan_date")
-    append_scan(scan(admission.payload_files(judged), projects, keep=True), database)
+    append_scan(scan_payloads(batch, keep=True), database)
 
 
 def scan_arrivals(spark: SparkSession, folder: str, progress: str, database: str = "default",

@@ -28,6 +28,7 @@ BLOCKED = [
 ]
 WRAPPED = [("w/backend/app.py", 'import os\nos.system("ls")'), ("w/frontend/App.tsx", "console.log(1)")]
 CLIMBING = [("../x.py", "eval(x)")]
+DAY = "2024-01-02 03:04:05"
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +36,7 @@ def result(spark):
     payloads = spark.createDataFrame(
         [("shop", SHOP), ("blocked", BLOCKED), ("wrapped", WRAPPED), ("climbing", CLIMBING),
          ("skipped only", [("a.bin", "x")])], schema.PAYLOAD)
-    return scan_payloads(payloads, secret_rules=())
+    return scan_payloads(payloads, scan_date=DAY, secret_rules=())
 
 
 def by_name(rows, key="project_name"):
@@ -43,7 +44,8 @@ def by_name(rows, key="project_name"):
 
 
 def test_findings_of_a_small_project(result):
-    rows = result.findings.filter("project_id = 'shop'").collect()
+    names = result.reports.select("scan_id", "project_name")
+    rows = result.findings.join(names, "scan_id").filter("project_name = 'shop'").collect()
     assert sorted((r.severity, r.file_path, r.line_number, r.category, r.confidence) for r in rows) == [
         ("CRITICAL", "backend/auth.py", 1, "hardcoded-secrets", 70),
         ("HIGH", "backend/app.py", 2, "command-injection", 80),
@@ -79,21 +81,21 @@ def test_metadata(result):
 
 def test_empty_project(spark, files):
     projects = spark.createDataFrame([("empty",)], "project_id string")
-    report = scan(files(), projects).reports.first()
+    report = scan(files(), projects, scan_date=DAY).reports.first()
     assert (report.overall_score, report.security_posture, report.total_findings) == (100, "Excellent", 0)
 
 
 def test_keep_gives_the_same_result(spark, files):
     table = files(("p", "a.py", "eval(x)\nos.system(y)"), ("p", "requirements.txt", "flask==0.1"))
-    plain, kept = scan(table), scan(table, keep=True)
-    for one, other in zip(plain, kept):
+    plain, kept = scan(table, scan_date=DAY), scan(table, scan_date=DAY, keep=True)
+    for one, other in zip(plain[:3], kept[:3]):
         assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
 
 
 def test_order_of_files_does_not_matter(files):
     rows = [("p", f"d/f{i}.py", "eval(x)\nh = md5(b)\npassword = 'abcd1234'") for i in range(20)]
-    one = scan(files(*rows)).findings.collect()
-    other = scan(files(*reversed(rows))).findings.collect()
+    one = scan(files(*rows), scan_date=DAY).findings.collect()
+    other = scan(files(*reversed(rows)), scan_date=DAY).findings.collect()
     assert sorted(map(str, one)) == sorted(map(str, other))
 
 
@@ -110,8 +112,8 @@ def test_external_report_wins_within_a_line(spark, files):
 
 def test_per_package_keeps_every_package(files):
     table = files(("p", "requirements.txt", "flask==0.1\nrequests==1.0\nflask==0.2"))
-    assert scan(table).reports.first().total_findings == 1
-    rows = scan(table, per_package=True).findings.collect()
+    assert scan(table, scan_date=DAY).reports.first().total_findings == 1
+    rows = scan(table, scan_date=DAY, per_package=True).findings.collect()
     assert sorted(r.title for r in rows) == [
         "Vulnerable dependency: flask", "Vulnerable dependency: requests"]
 
@@ -139,3 +141,43 @@ def test_syntax_checks(files):
         ("short.py", 2, "Silent exception suppression"),
         ("two.py", 3, "Silent exception suppression"),
     ]
+
+
+def test_a_scan_needs_a_date(files):
+    with pytest.raises(ValueError):
+        scan(files(("p", "a.py", "eval(x)")))
+
+
+def test_refused_files_give_no_findings(files):
+    table = files(("p", "a.py", "eval(x)"), ("p", "node_modules/y.js", "el.innerHTML = x"), ("p", "b.exe", "eval(x)"))
+    result = scan(table, scan_date=DAY)
+    assert [r.file_path for r in result.findings.collect()] == ["a.py"]
+    assert result.scan_metadata.first().total_files == 1
+
+
+def test_equal_names_are_scans_of_their_own(spark):
+    one = ("same", [("x.py", "eval(1)")])
+    result = scan_payloads(spark.createDataFrame([one, one, ("bad", [("../x.py", "x")]), (" ", [("x.py", "x")])], schema.PAYLOAD),
+                           scan_date=DAY)
+    reports = result.reports.collect()
+    assert [r.project_name for r in reports] == ["same", "same"] and len({r.scan_id for r in reports}) == 2
+    assert result.findings.count() == 2
+    assert sorted((r.project_name, r.reason) for r in result.refusals.collect()) == [
+        ("", "project name missing"), ("bad", "unsafe path")]
+
+
+def test_a_status_belongs_to_one_scan(spark, files):
+    table = files(("p", "a.py", "eval(x)"))
+    first, second = (scan(table, scan_date=d).findings.first() for d in ("2024-01-01", "2024-02-01"))
+    assert first.finding_id != second.finding_id and first.fingerprint == second.fingerprint
+
+
+def test_all_given_replies_are_merged(files):
+    from faultline.plans.scan import scan_findings
+
+    table = files(("p", "a.py", "\n\n".join("eval(x)" for _ in range(40))))
+    ids = scan_findings(table).select("finding_id")
+    reply = ids.selectExpr("finding_id", """'{"explanation": "e", "impact": "i", "attack_path": ["a"], "recommendation": "r",
+        "example_fix": "f", "reasoning_summary": "s", "confidence": 50}' AS reply""")
+    assert scan_findings(table, replies=reply).filter("reply_usable").count() == 40
+    assert scan_findings(table, replies=reply, explain_limit=25).filter("reply_usable").count() == 25

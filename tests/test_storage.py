@@ -26,7 +26,9 @@ def test_read_trees(spark, tmp_path):
         path.write_bytes(data)
     rows = trees.read_trees(spark, str(tmp_path), max_file_bytes=100).collect()
     assert {(r.project_id, r.file_path): r.content for r in rows} == {
-        ("p", "a/b.py"): "x = 1\ny\nz", ("p", "A.PY"): "1", ("p", "Dockerfile"): "FROM x", ("q", "c.ts"): "let a"}
+        ("p", "a/b.py"): "x = 1\ny\nz", ("p", "A.PY"): "1", ("p", "Dockerfile"): "FROM x", ("q", "c.ts"): "let a",
+        (".", "top.py"): "no project"}
+    assert "big.py" in {r.file_path for r in trees.read_trees(spark, str(tmp_path)).collect()}  # no size is refused unasked
 
 
 def test_read_payloads_and_reports(spark, tmp_path):
@@ -100,20 +102,20 @@ def test_submissions_stream(spark, tmp_path, database):
 
     bad = {"project_name": "bad", "files": [{"filename": "../x.py", "source_code": "eval(1)"}]}
     one = {"project_name": " a ", "files": [{"filename": "w/x.py", "source_code": "eval(1)"}]}
-    land("1.json", one, bad)
+    land("1.json", one, bad, one)
     run()
     land("2.json", one, {"project_name": "b", "files": [{"filename": "y.py", "source_code": "x = 1"}]})
     run()
     stored = views.stored(spark, database)
-    assert sorted((r.project_name, r.overall_score) for r in stored.reports.collect()) == [("a", 24), ("a", 24), ("b", 100)]
-    assert stored.findings.count() == 2 and {r.file_path for r in stored.findings.collect()} == {"x.py"}
+    assert sorted((r.project_name, r.overall_score) for r in stored.reports.collect()) == [
+        ("a", 24), ("a", 24), ("a", 24), ("b", 100)]
+    refused = tables.read_table(spark, "refusals", database)
+    assert [(r.project_name, r.reason) for r in refused.collect()] == [("bad", "unsafe path")]
+    assert stored.findings.count() == 3 and {r.file_path for r in stored.findings.collect()} == {"x.py"}
 
     # a batch that is run again adds nothing
-    again = spark.read.schema(schema.PAYLOAD).json(str(inbox / "1.json")).select(
-        "project_name", "files", F.col("_metadata.file_path").alias("landed_as"),
-        F.col("_metadata.file_modification_time").alias("landed_at"))
-    arrivals.scan_batch(again, database)
-    assert stored.reports.count() == 3
+    arrivals.scan_batch(payloads.read_payloads(spark, str(inbox / "1.json")), database)
+    assert stored.reports.count() == 4 and refused.count() == 1
 
 
 def test_status_stream(spark, tmp_path, database):
