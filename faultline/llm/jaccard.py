@@ -4,14 +4,17 @@ A document is the set of its distinct shingles.  The number of shingles that onl
 documents has, D, is a metric, and two documents of Jaccard similarity ``t`` or more have
 ``D <= (|x| + |y|) * (1 - t) / (1 + t)``.  Text lies far from pivots that are documents (nearly all
 distances are close to 1), so the windows around such regions would copy every document into every
-one.  The pivots here are the sets of one shingle:
-
-1. The distance of a document to a pivot is |x| - 1 if it holds the shingle, else |x| + 1.  Its
-   nearest pivots are its own shingles; ties go by rank, popular shingles last, so the first one is
-   its home.  By the triangle inequality a linked document lacks at most |x| - ceil(t |x|) of
-   them, so both stand in the region of the first shingle they share if each is copied to that many
-   regions beyond its home, which are few.
-2. In a region, the first document is the pivot.  Documents linked to it are in one component
+one.  The join therefore makes its regions in three steps, each exact by the triangle inequality:
+
+1. The first pivot is the empty set, whose distance is the size of a document.  Rings of sizes
+   are the regions; a document near the upper border is copied to the next ring.
+2. In a ring where D can be at most r, the shingles are split by hash into r + 1 parts and a few
+   more.  D is the sum of the distances in the parts, so linked documents are at distance 0 in at
+   least one.  The pivots of a part are the sets that occur there; a document's region is the
+   pivot at distance 0, and the window that remains to the others is 0 wide.  Parts of at most one
+   shingle are weak: unrelated documents meet there.  A document whose weak parts are fewer than
+   the parts that any partner must share with it leaves them out.
+3. In a region, the first document is the pivot.  Documents linked to it are in one component
    and need no comparison with each other; the rest, if any, is compared.  Large regions are
    divided around more pivots, with windows of twice the reach, again and again, and where documents
    lie too close for that, in blocks.
@@ -24,7 +27,9 @@ one point from the start.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +41,9 @@ from faultline.llm.common import arrow_map, columns_of, cut, reachable
 from faultline.llm.components import components
 
 U = np.uint64
-POINTS = "doc_id long, n int, digest_a long, digest_b long, sketch binary, early array<long>"
+POINTS = "doc_id long, n int, digest_a long, digest_b long, sketch binary"
 #: Documents in a region that are compared directly, and pivots of a larger one.
 REGION, PIVOTS = 256, 16
-#: Shingles ranked last because they are popular: those of the largest counts, and least count.
-RANKED, POPULAR = 1 << 18, 16
 #: Rows up to which a list of ids is sent to every executor (16 MB); beyond it, it is shuffled.
 SENT_IDS = 1_000_000
 _WORDS = 400_000
@@ -86,10 +89,63 @@ def shingles(text: str, width: int) -> np.ndarray:
     return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
-def regions_of(n: int, percent: int) -> int:
-    """Regions that a set of ``n`` shingles stands in: none if only an equal set can link with it."""
-    n_lacking = n - -(-percent * n // 100)
-    return n_lacking + 1 if n_lacking or n * 100 // percent > n else 0
+@functools.cache
+class Rings:
+    """Rings of set sizes; the upper border of each is 1.3 times the lower."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        # Below this size only equal sets link.
+        starts = [next(n for n in range(1, 1000) if self.reach(n, n + 1))]
+        while starts[-1] < 2**31:
+            starts.append(starts[-1] * 13 // 10 + 1)
+        self.starts = np.array(starts)
+        self.largest = [self.reach(int(n) - 1, int(n) - 1) for n in starts[1:]]
+        self.parts = [r + 1 + self._spare(r + 1, int(n) - 1) for r, n in zip(self.largest, starts[1:], strict=True)]
+
+    def reach(self, m: int, n: int) -> int:
+        """The largest D between linked sets of ``m`` and ``n`` shingles."""
+        return (m + n) * (100 - self.percent) // (100 + self.percent)
+
+    @staticmethod
+    def _spare(parts: int, size: int) -> int:
+        """Parts to add so that nearly all sets of this size have fewer weak parts than that."""
+        for spare in range(0, parts + 1, max(1, parts // 200)):
+            each = size / (parts + spare)
+            weak = (parts + spare) * (1 + each) * math.exp(-each)
+            if spare >= weak + 3 * math.sqrt(weak):
+                return spare
+        return parts
+
+    def of(self, n: int) -> list[int]:
+        """The rings of a set of ``n`` shingles: its own, and the next if a partner can lie there."""
+        own = int(np.searchsorted(self.starts, n, "right")) - 1
+        far = int(np.searchsorted(self.starts, n * 100 // self.percent, "right")) - 1
+        return [ring for ring in range(own, far + 1) if ring >= 0]
+
+    def shared(self, ring: int, n: int) -> int:
+        """Parts of the ring in which a partner equals a set of ``n`` shingles, at least."""
+        partner = min(n * 100 // self.percent, int(self.starts[ring + 1]) - 1)
+        return self.parts[ring] - self.reach(n, partner)
+
+
+def parts_of(shingle_set: np.ndarray, rings) -> np.ndarray:
+    """A 64-bit name for the content of each part that the set stands in, over its rings.
+
+    Weak parts are left out if they are fewer than the parts shared with any partner: then one
+    of those is not weak.  A shared part is weak for both sets or for none, so they meet.
+    """
+    sums = np.concatenate((np.zeros(1, U), np.cumsum(mix(shingle_set ^ U(0x5851F42D4C957F2D)))))
+    out = []
+    for ring in rings.of(len(shingle_set)):
+        n = rings.parts[ring]
+        part = ((shingle_set >> U(32)) * U(n)) >> U(32)
+        at = np.searchsorted(part, np.arange(n + 1, dtype=U))
+        names = mix(sums[at[1:]] - sums[at[:-1]] + mix(np.arange(n, dtype=U) + U(ring << 40)))
+        strong = at[1:] - at[:-1] > 1
+        few = n - np.count_nonzero(strong) < rings.shared(ring, len(shingle_set))
+        out.append(names[strong] if few else names)
+    return np.concatenate(out) if out else np.empty(0, U)
 
 
 def sketch_of(shingle_set: np.ndarray) -> bytes:
@@ -111,82 +167,45 @@ def folded(sketches: list[bytes]) -> np.ndarray:
     return rows
 
 
-def _points(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Per document: set size, digests, sketch, and the shingles it would stand at by hash alone, and some more."""
+def _points(docs: DataFrame, width: int) -> DataFrame:
+    """Per document the size of its set, two digests and the sketch."""
     def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc_id, text in zip(*columns_of(batch, "doc_id", "text"), strict=True):
             s = shingles(text or "", width)
             a, b = (mix(s ^ U(c)).sum(dtype=U).astype(np.int64) for c in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93))
-            early = s[:regions_of(len(s), percent) * 3 // 2].astype(np.int64)
-            rows.append((doc_id, len(s), int(a), int(b), sketch_of(s) if len(s) else b"", early))
-        ids, n, a, b, sketches, early = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
-             pa.array(sketches, pa.binary()), pa.array(list(early), pa.list_(pa.int64()))],
-            ["doc_id", "n", "digest_a", "digest_b", "sketch", "early"])
+            rows.append((doc_id, len(s), int(a), int(b), sketch_of(s) if len(s) else b""))
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
+                                         ["doc_id", "n", "digest_a", "digest_b", "sketch"])
 
     return arrow_map(docs, make, POINTS)
 
 
-def _popular(points: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Popular shingles in hash order, and their counts over all documents.
-
-    The table has a fixed bound.  A shingle that it misses only makes a region larger.
-    """
-    counts = points.select(F.explode("early").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= POPULAR)
-    rows = counts.orderBy(F.desc("c"), "s").limit(RANKED).toPandas()
-    names = rows["s"].to_numpy(np.int64).astype(U)
-    order = np.argsort(names)
-    return names[order], rows["c"].to_numpy(np.int64)[order]
-
-
-def _standing(docs: DataFrame, width: int, percent: int, popular: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n and the shingles in whose regions each document stands."""
-    names, counts = popular
-
+def _regions(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(region, node) for the parts that at least two documents share; equal regions are one."""
     def stand(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, n, parts = [], [], []
+        rings, ids, parts = Rings(percent), [], []
         for doc_id, text in zip(*columns_of(batch, "doc_id", "text"), strict=True):
-            s = shingles(text or "", width)
-            size, k = len(s), regions_of(len(s), percent)
-            if doc_id is None or not k:
-                continue
-            if len(names):
-                at = np.minimum(np.searchsorted(names, s), len(names) - 1)
-                rank = np.where(names[at] == s, counts[at], 0)
-                s = s[np.argsort(rank, kind="stable")[:k]]
-            ids.append(doc_id)
-            n.append(size)
-            parts.append(s[:k].astype(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(parts, pa.list_(pa.int64()))],
-                                         ["doc_id", "n", "parts"])
-
-    return arrow_map(docs, stand, "doc_id long, n int, parts array<long>")
-
-
-def _regions(standing: DataFrame) -> DataFrame:
-    """(region, node, n) for the shingles at which at least two documents stand; equal regions are one."""
-    def flat(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        lists = batch.column(batch.schema.get_field_index("parts"))
-        each = lists.value_lengths().to_numpy()
-        yield pa.RecordBatch.from_arrays(
-            [lists.flatten(), *(pa.array(np.repeat(batch.column(batch.schema.get_field_index(c)).to_numpy(), each)) for c in ("doc_id", "n"))],
-            ["part", "node", "n"])
+            if doc_id is not None and text:
+                parts.append(parts_of(shingles(text, width), rings).astype(np.int64))
+                ids.append(np.full(len(parts[-1]), doc_id, np.int64))
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.concatenate(ids))], ["part", "node"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches([b for b in batches if b.num_rows], pa.schema([("part", pa.int64()), ("node", pa.int64()), ("n", pa.int32())]))
-        part, node, n = (rows.column(c).to_numpy() for c in ("part", "node", "n"))
+        rows = pa.Table.from_batches([b for b in batches if b.num_rows], pa.schema([("part", pa.int64()), ("node", pa.int64())]))
+        part, node = (rows.column(c).to_numpy() for c in ("part", "node"))
         order = np.lexsort((node, part))
-        part, node, n = part[order], node[order], n[order]
+        part, node = part[order], node[order]
         first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.empty(0, np.int64)
         size = np.diff(np.concatenate((first, [len(part)])))
         many = np.repeat(size, size) > 1
         name = np.repeat(np.add.reduceat(mix(node.astype(U)), first), size) if len(part) else part
-        yield pa.RecordBatch.from_arrays([pa.array(name[many].astype(np.int64)), pa.array(node[many]), pa.array(n[many])], ["region", "node", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(name[many].astype(np.int64)), pa.array(node[many])], ["region", "node"])
 
-    rows = arrow_map(standing, flat, "part long, node long, n int")
-    return rows.repartition("part").mapInArrow(shared, "region long, node long, n int").dropDuplicates(["region", "node"])
+    rows = arrow_map(docs, stand, "part long, node long")
+    return rows.repartition("part").mapInArrow(shared, "region long, node long").dropDuplicates(["region", "node"])
 
 
 def _near(a: np.ndarray, b: np.ndarray, reach: np.ndarray) -> np.ndarray:
@@ -269,10 +288,10 @@ def _compared(members: DataFrame, percent: int) -> DataFrame:
 def _rest(regions: DataFrame, points: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components in one region that sizes and sketches do not exclude."""
     named = regions.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-    named = named.select("region", "node", "n", F.coalesce("component", "node").alias("component"))
+    named = named.select("region", "node", F.coalesce("component", "node").alias("component"))
     sizes = named.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("_low"), F.max("component").alias("_high"))
     open_regions = named.join(sizes.filter("_low <> _high").select("region", "size"), "region")
-    sketch = points.select(F.col("doc_id").alias("node"), "sketch")
+    sketch = points.select(F.col("doc_id").alias("node"), "n", "sketch")
     left = cut(open_regions.join(sketch, "node").select("region", F.lit(0).alias("side"), "node", "n", "component", "sketch", "size"))
     bounded, level = [left.filter(F.col("size") <= REGION).withColumn("block", F.lit(0).cast("long"))], 0
     left = left.filter(F.col("size") > REGION)
@@ -328,14 +347,16 @@ def linked_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Dat
     """
     reachable(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    points = cut(_points(docs, width, percent))
+    points = cut(_points(docs, width))
     digests = ["digest_a", "digest_b", "n"]
     ours = points.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = cut(ours.groupBy(*digests).agg(F.min("doc_id").alias("node")))
     # One document of each class stands for all.
     first = ours.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", *digests], "left_semi")
-    standing = cut(_standing(docs, width, percent, _popular(points)))
-    regions = cut(_regions(standing.join(first.select("doc_id", "n").distinct(), ["doc_id", "n"], "left_semi")))
+    copies = cut(ours.select("doc_id").distinct().join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_anti"))
+    if copies.count() <= SENT_IDS:
+        copies = F.broadcast(copies)
+    regions = cut(_regions(docs.join(copies, "doc_id", "left_anti"), width, percent))
 
     pivots = regions.groupBy("region").agg(F.min("node").alias("a"))
     stars = regions.join(pivots, "region").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
