@@ -33,7 +33,7 @@ AROUND = 4
 MEMORY, LONGEST = 300_000, 40
 FEATURES = ("exact", "misspelled", "mentioned", "terms", "addressed")
 #: Means and precision of the prior of the weights, which carry what too few labels cannot teach.
-PRIOR = np.array([-3.0, 2.5, 1.5, 0.2, 0.5, 0.5])
+PRIOR = np.array([-3.0, 3.0, 1.5, 0.2, 0.5, 0.5])
 STRENGTH = 1.0
 
 
