@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from faultline import seeds
 from faultline.functions import paths
 from faultline.functions.severity import canonical_category
 from faultline.operators import admission
+from faultline.plans.scan import scan_payloads
 from faultline.queries import fixtures, oracle
+from faultline.session import shared_folder
+from faultline.sources.payloads import read_payloads
 
 # Limits low enough for the small tables to break them.
 TOTAL_BYTES, FILE_COUNT, FILE_BYTES = 25_000_000, 6, 5_000_000
@@ -142,6 +147,37 @@ INLINE_FILES_SQL = f"""WITH {payload_cte()} SELECT j.project_name AS project_id,
   CASE WHEN root IS NOT NULL THEN substr(file_path, length(root) + 2) ELSE file_path END AS file_path,
   CAST(length(content) AS INTEGER) AS n_chars FROM checked JOIN judged j USING (doc_id) WHERE kept AND reason IS NULL"""
 
+
+
+def stored_submissions(spark, sf_dir, project_name=None):
+    """The submissions written as JSON lines to the shared folder, and read back."""
+    given = payloads(spark, sf_dir)
+    if project_name is not None:
+        given = given.withColumn("project_name", project_name)
+    folder = f"{shared_folder(spark)}/submissions-{uuid.uuid4().hex}"
+    given.select(F.to_json(F.struct("project_name", "files")).alias("value")).write.text(folder)
+    return read_payloads(spark, folder)
+
+
+def stored_admission(spark, sf_dir):
+    judged = admission.judged_payloads(stored_submissions(spark, sf_dir), MAX_BYTES)
+    return judged.select("project_name", F.size("admitted").alias("admitted_files"), "admitted_bytes", "reason", "root")
+
+
+def submission_scans(spark, sf_dir):
+    """Reports and refusals of submissions whose project names repeat, counted by name."""
+    source = F.regexp_replace("project_name", "-[0-9]+ $", "")
+    result = scan_payloads(stored_submissions(spark, sf_dir, source), rule_set=())
+    rows = result.reports.select("project_name", F.lit(None).cast("string").alias("reason"), "scan_id").unionByName(
+        result.refusals.select("project_name", "reason", F.col("submission").alias("scan_id")))
+    return rows.groupBy("project_name", "reason").agg(
+        F.count("*").alias("submissions"), F.countDistinct("scan_id").alias("scans"))
+
+
+SUBMISSIONS_SQL = f"""WITH {payload_cte().replace(str(MAX_BYTES), str(seeds.MAX_UPLOAD_BYTES))}
+  SELECT regexp_replace(project_name, '-[0-9]+$', '') AS project_name, reason, count(*) AS submissions, count(*) AS scans
+  FROM judged GROUP BY ALL"""
+
 # ---------------------------------------------------------------------------
 # Paths and categories
 # ---------------------------------------------------------------------------
@@ -200,6 +236,7 @@ QUERIES = {
     "q_rejected_archives": rejected_archives, "q_running_limits": running_limits,
     "q_archive_totals": archive_totals, "q_project_root": project_root,
     "q_inline_admission": inline_admission, "q_inline_files": inline_files,
+    "q_stored_admission": stored_admission, "q_submission_scans": submission_scans,
     "q_paths": path_forms, "q_category_norm": category_norm,
 }
 ORACLES = {
@@ -213,5 +250,6 @@ ORACLES = {
     "q_archive_totals": f"WITH {judged_cte()} SELECT project_id, count(*) FILTER (wanted) AS admitted_files, "
                         "CAST(coalesce(sum(size) FILTER (wanted), 0) AS BIGINT) AS admitted_bytes FROM judged GROUP BY project_id",
     "q_project_root": PROJECT_ROOT_SQL, "q_inline_admission": INLINE_SQL,
+    "q_stored_admission": INLINE_SQL, "q_submission_scans": SUBMISSIONS_SQL,
     "q_inline_files": INLINE_FILES_SQL, "q_paths": PATHS_SQL, "q_category_norm": CATEGORY_SQL,
 }
