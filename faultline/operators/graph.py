@@ -69,7 +69,11 @@ def unclaimed(findings: DataFrame, area_table: Sequence[seeds.Area] = seeds.AREA
 
 
 def file_groups(members: DataFrame) -> DataFrame:
-    """Findings and worst severity per project, area and file."""
+    """Findings and worst severity per project, area and file.
+
+    Among severities of one rank (unknown ones) the alphabetically last is named,
+    so that the order of rows does not matter.
+    """
     name = F.upper("severity")
     return members.groupBy("project_id", "area", "full_path").agg(
         F.count("*").alias("finding_count"),

@@ -98,10 +98,10 @@ EXPLAIN_LIMIT = 25
 
 # Other spellings and tool ids of our categories.
 CATEGORY_ALIASES = {
-    "B602": "command-injection", "B603": "command-injection",
-    "B604": "command-injection", "B605": "command-injection",
+    "B605": "command-injection", "B602": "command-injection",
+    "B603": "command-injection", "B604": "command-injection",
     "B608": "sql-injection",
-    "B303": "weak-cryptography", "B324": "weak-cryptography",
+    "B324": "weak-cryptography", "B303": "weak-cryptography",
     "B105": "hardcoded-secrets", "B106": "hardcoded-secrets",
     "B107": "hardcoded-secrets",
     "B110": "security-misconfiguration",

@@ -169,3 +169,22 @@ def test_top_findings_and_requests(raw):
     assert sum(r.severity == "CRITICAL" for r in top) == 40
     request = explain.explanation_requests(table, limit=1).first().request
     assert '"additional_code_context":"s' in request and '"description":null' in request
+
+
+@pytest.mark.parametrize(("given", "canonical"), [
+    ("B605", "command-injection"), ("B602", "command-injection"), ("B608", "sql-injection"), ("B324", "weak-cryptography"),
+    ("B105", "hardcoded-secrets"), ("B110", "security-misconfiguration"), ("B310", "path-traversal"),
+    ("B501", "sensitive-data-exposure"), ("B506", "insecure-deserialization"), ("SQL_INJECTION", "sql-injection"),
+    ("Other-Thing", "other-thing")])
+def test_aliases_by_hand(spark, given, canonical):
+    from faultline.functions.severity import canonical_category
+
+    row = spark.createDataFrame([(given,)], "c string").select(canonical_category(F.col("c")).alias("x")).first()
+    assert row.x == canonical
+
+
+@pytest.mark.parametrize(("width", "fits"), [(64, True), (65, False)])
+def test_width_of_a_category(raw, width, fits):
+    from faultline.operators.reports import within_limits
+
+    assert within_limits(raw({"category": "c" * width, "source_tool": "t"})).first().fits is fits
