@@ -241,14 +241,18 @@ def _dealt(regions: DataFrame) -> DataFrame:
         .select("region", "block", "side", "node", "n", "component", "sketch"))
 
 
-def _divided(large: DataFrame, percent: int, level: int) -> DataFrame:
-    """Large regions, divided around pivots drawn from them by a keyed hash.
+def _pivots(large: DataFrame, level: int) -> DataFrame:
+    """Sketches of about PIVOTS members of each region, drawn by a keyed hash."""
+    lot = F.pmod(F.xxhash64("node", F.lit(level)), F.col("size"))
+    return large.filter(lot < PIVOTS).groupBy("region").agg(F.collect_list("sketch").alias("pivots"))
+
+
+def _divided(large: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """Large regions, divided around their pivots.
 
     Each member goes to its nearest pivot, and as a copy (side 1) to every pivot that is at most
     twice its reach further away: the nearest pivot of a partner cannot lie beyond.
     """
-    lot = F.pmod(F.xxhash64("node", F.lit(level)), F.col("size"))
-    pivots = large.filter(lot < PIVOTS).groupBy("region").agg(F.collect_list("sketch").alias("pivots"))
     names = ["region", "side", "node", "n", "component", "sketch", "before"]
 
     def assign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -296,9 +300,10 @@ def _rest(regions: DataFrame, points: DataFrame, found: DataFrame, percent: int)
     bounded, level = [left.filter(F.col("size") <= REGION).withColumn("block", F.lit(0).cast("long"))], 0
     left = left.filter(F.col("size") > REGION)
     while not left.isEmpty():
-        parts = cut(_divided(left, percent, level))
-        # A region without a pivot of its own is dealt into blocks.
-        bounded.append(_dealt(left.join(parts.select("node").distinct(), "node", "left_anti")))
+        pivots = cut(_pivots(left, level))
+        # A region that drew no pivot is dealt into blocks.
+        bounded.append(_dealt(left.join(pivots.select("region"), "region", "left_anti")))
+        parts = cut(_divided(left, pivots, percent))
         sizes = parts.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("_low"), F.max("component").alias("_high"))
         parts = cut(parts.join(sizes.filter("_low <> _high").select("region", "size"), "region"))
         bounded.append(parts.filter(F.col("size") <= REGION).withColumn("block", F.lit(0).cast("long")))
