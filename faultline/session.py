@@ -39,13 +39,32 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Tables that ``cut`` has written and nobody has removed yet.
+_tables: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, as a table in the shared folder, and go on from that table."""
     path = f"{shared_folder(df.sparkSession)}/faultline-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_so_far() -> list[str]:
+    """The tables written by ``cut`` in this program and not removed."""
+    return list(_tables)
+
+
+def remove_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables written by ``cut``, once no result that reads them is still to be computed."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        if path in _tables:
+            _tables.remove(path)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Use every core for a plain scan that has fewer splits than cores.
 
