@@ -44,8 +44,9 @@ def test_pipeline(spark):
     assert set(texts["packing"].doc_id) == set(texts["personal_data"].doc_id)
 
 
-def test_stages_take_an_empty_table(spark):
+def test_stages_take_an_empty_table(spark, tmp_path):
     docs = spark.read.parquet(f"{TABLES}/documents.parquet").limit(0)
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, str(TABLES))
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, str(TABLES)).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
         assert docs.count() == 0
