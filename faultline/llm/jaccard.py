@@ -43,7 +43,9 @@ from faultline.llm.components import components
 U = np.uint64
 POINTS = "doc_id long, n int, digest_a long, digest_b long, sketch binary"
 #: Documents in a region that are compared directly, and pivots of a larger one.
-REGION, PIVOTS = 256, 16
+REGION, PIVOTS = 4096, 16
+#: Shingles that count as one document, so that long ones do not fill a task (their sketches take 8 kB).
+AS_ONE = 32768
 #: Rows up to which a list of ids is sent to every executor (16 MB); beyond it, it is shuffled.
 SENT_IDS = 1_000_000
 _WORDS = 400_000
@@ -281,7 +283,8 @@ def _compared(members: DataFrame, percent: int) -> DataFrame:
             rest = slice(i + 1, len(node))
             other = (component[rest] != component[i]) & ((home[rest] != home[i]) | (home[i] == 0))
             other &= np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * percent
-            near = i + 1 + np.flatnonzero(other & _near(rows[rest], rows[i], (n[rest] + n[i]) * (100 - percent) // (100 + percent)))
+            near = i + 1 + np.flatnonzero(other)
+            near = near[_near(rows[near], rows[i], (n[near] + n[i]) * (100 - percent) // (100 + percent))]
             a.append(np.minimum(node[i], node[near]))
             b.append(np.maximum(node[i], node[near]))
         return pa.table({"a": pa.array(np.concatenate(a) if a else [], pa.int64()), "b": pa.array(np.concatenate(b) if b else [], pa.int64())})
@@ -289,14 +292,21 @@ def _compared(members: DataFrame, percent: int) -> DataFrame:
     return members.groupBy("region", "block").applyInArrow(compare, "a long, b long")
 
 
+def _sizes(members: DataFrame) -> DataFrame:
+    """Size of each region that holds more than one component."""
+    size = F.greatest(F.count(F.lit(1)), F.floor(F.sum("n") / AS_ONE)).alias("size")
+    sizes = members.groupBy("region").agg(size, F.min("component").alias("_low"), F.max("component").alias("_high"))
+    return sizes.filter("_low <> _high").select("region", "size")
+
+
 def _rest(regions: DataFrame, points: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components in one region that sizes and sketches do not exclude."""
     named = regions.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     named = named.select("region", "node", F.coalesce("component", "node").alias("component"))
-    sizes = named.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("_low"), F.max("component").alias("_high"))
-    open_regions = named.join(sizes.filter("_low <> _high").select("region", "size"), "region")
     sketch = points.select(F.col("doc_id").alias("node"), "n", "sketch")
-    left = cut(open_regions.join(sketch, "node").select("region", F.lit(0).alias("side"), "node", "n", "component", "sketch", "size"))
+    members = cut(named.join(points.select(F.col("doc_id").alias("node"), "n"), "node"))
+    left = members.select("region", "node", "component").join(_sizes(members), "region").join(sketch, "node")
+    left = cut(left.select("region", F.lit(0).alias("side"), "node", "n", "component", "sketch", "size"))
     bounded, level = [left.filter(F.col("size") <= REGION).withColumn("block", F.lit(0).cast("long"))], 0
     left = left.filter(F.col("size") > REGION)
     while not left.isEmpty():
@@ -304,8 +314,7 @@ def _rest(regions: DataFrame, points: DataFrame, found: DataFrame, percent: int)
         # A region that drew no pivot is dealt into blocks.
         bounded.append(_dealt(left.join(pivots.select("region"), "region", "left_anti")))
         parts = cut(_divided(left, pivots, percent))
-        sizes = parts.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("_low"), F.max("component").alias("_high"))
-        parts = cut(parts.join(sizes.filter("_low <> _high").select("region", "size"), "region"))
+        parts = cut(parts.join(_sizes(parts), "region"))
         bounded.append(parts.filter(F.col("size") <= REGION).withColumn("block", F.lit(0).cast("long")))
         large = parts.filter(F.col("size") > REGION)
         bounded.append(_dealt(large.filter(F.col("size") * 10 > F.col("before") * 7)))
@@ -368,14 +377,18 @@ def linked_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Dat
     kept = cut(first.select("doc_id", "n", "sketch"))
     stars = cut(_pairs_by_sketch(_with_sketches(stars, kept), percent))
     links = cut(_linked(stars, docs, width, percent))
-    rest = cut(_rest(regions, kept, components(links), percent).join(stars, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = links.union(cut(_linked(rest, docs, width, percent)))
+    named = components(links)
+    rest = cut(_rest(regions, kept, named, percent).join(stars, ["a", "b"], "left_anti"))
 
     rows = points.select("doc_id", *digests).join(classes, digests, "left")
     rows = rows.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")))
     shared = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 AND doc_id IS NOT NULL")
     same_id = rows.join(shared, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    named = components(links.union(same_id)).withColumnRenamed("node", "_node")
+    more = same_id if rest.isEmpty() else same_id.union(_linked(rest, docs, width, percent))
+    more = cut(more)
+    if not more.isEmpty():
+        # The stars found so far stand for the links they came from.
+        named = components(named.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    named = named.withColumnRenamed("node", "_node")
     return rows.join(named, F.col("node") == F.col("_node"), "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
