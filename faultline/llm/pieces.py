@@ -1,19 +1,24 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
-Merges are taken from an agenda, best score first, then leftmost.  Each candidate is skipped if
-a keyed hash of its stretch, its place and its piece falls below the dropout rate, so a seed
-fixes every choice.  A document draws one of a few variants of the key; words therefore take different
-segmentations in different documents, and each is computed once per worker and variant.
+Merges are taken from an agenda, best score first, then leftmost.  Each candidate is skipped with
+the dropout rate by itself; what is drawn is how many are taken before the next is skipped, by a
+hash keyed by the seed, the document and the place of the stretch in it, so a seed fixes every choice
+and a word takes its segmentation anew wherever it stands.  Workers remember what a stretch becomes
+under given skips, which does not depend on any key.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -23,6 +28,9 @@ SPACE = "▁"
 #: Stands for the space sign itself inside a text; no piece holds it.
 _LITERAL = "\0"
 MEMORY, LONGEST = 400_000, 48
+#: Lots end at so many candidates taken in a row; beyond, a further lot adds to the first.
+RUN = 4096
+_ONES = 2**64 - 1
 ENCODED = "doc_id long, ids array<int>"
 
 
@@ -47,14 +55,18 @@ class Model:
         if any(re.search(f"[^{SPACE}]{SPACE}|[\n\0]", piece) for piece in self.ids):
             raise ValueError(f"{path}: a piece holds a space or line end inside, so stretches cannot be encoded apart")
 
-    def encode(self, stretch: str, key: int = 0, rate: int = 0) -> bytes:
-        """Ids (little-endian, 32 bits) of a stretch; candidates are skipped with ``rate`` in 2**32."""
+    def encode(self, stretch: str, skips: Iterator[int] = iter(())) -> tuple[int, bytes]:
+        """Ids (little-endian, 32 bits) of a stretch, and the candidates taken since the last skip.
+
+        ``skips`` says how many candidates are taken before each that is skipped; after its end
+        all are taken.
+        """
         ids, scores = self.ids.get, self.scores
         signs = stretch.replace(SPACE, _LITERAL).replace(" ", SPACE)
         n = len(signs)
         # The symbol that begins at i ends at end[i] (0: none begins there); start is the inverse.
         end, start = list(range(1, n + 1)), list(range(-1, n))
-        key = (key + zlib.crc32(stretch.encode())) & 0xFFFFFFFF if rate else 0
+        run, taken = next(skips, -1), 0
         agenda = [(-scores[i], at, at + 1, at + 2, i) for at in range(n - 1) if (i := ids(signs[at:at + 2])) is not None]
         heapq.heapify(agenda)
         pop, push = heapq.heappop, heapq.heappush
@@ -62,10 +74,10 @@ class Model:
             _, left, middle, right, i = pop(agenda)
             if end[left] != middle or end[middle] != right:
                 continue
-            if rate:
-                lot = (i * 0x9E3779B1 + left * 0x85EBCA77 + key) * 0xC2B2AE3D
-                if ((lot ^ (lot >> 15)) * 0x27D4EB2F >> 8) & 0xFFFFFFFF < rate:
-                    continue
+            if taken == run:
+                run, taken = next(skips, -1), 0
+                continue
+            taken += 1
             end[left], end[middle], start[right] = right, 0, left
             if right < n and (i := ids(signs[left:end[right]])) is not None:
                 push(agenda, (-scores[i], left, right, end[right], i))
@@ -78,53 +90,123 @@ class Model:
             else:
                 out += [self.bytes[b] for b in stretch[at].encode()]
             at = end[at]
-        return struct.pack(f"<{len(out)}I", *out)
+        return taken, struct.pack(f"<{len(out)}I", *out)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids from ``Encoder``; the first space is the one that encoding put there."""
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
-class _Variant(dict):
-    def __init__(self, model: Model, key: int, rate: int):
-        super().__init__()
-        self.model, self.key, self.rate = model, key, rate
+class Lots:
+    """Runs of candidates taken before one is skipped, by document, place and turn."""
 
-    def __missing__(self, stretch: str) -> bytes:
-        packed = self.model.encode(stretch, self.key, self.rate)
-        if len(stretch) <= LONGEST:
-            if len(self) >= MEMORY:
-                self.clear()
-            self[stretch] = packed
-        return packed
+    def __init__(self, dropout: float, seed: int):
+        self.seed = seed
+        # A run is at least k long with (1 - dropout)**k: so many lots of 2**64 lie below.
+        below = [int((1 - dropout) ** k * 2**64) for k in range(1, RUN + 1)]
+        self.listed = sorted(min(b, _ONES) for b in below)
+        self.below = np.array(self.listed, np.uint64)
+
+    def key(self, document: str) -> int:
+        return int.from_bytes(hashlib.blake2b(b"%d:%s" % (self.seed, document.encode()), digest_size=8).digest(), "little")
+
+    def first(self, key: int, places: int) -> list[int]:
+        """The first run at each place."""
+        return self._runs(np.arange(places, dtype=np.uint64) << np.uint64(32), key).tolist()
+
+    def later(self, key: int, place: int, first: int) -> Iterator[int]:
+        """All runs at a place, of which the first is known."""
+        turn, run, last = 1, first, first
+        while True:
+            while last == RUN:
+                last = self._run(place << 32 | turn, key)
+                run, turn = run + last, turn + 1
+            yield run
+            run = last = self._run(place << 32 | turn, key)
+            turn += 1
+
+    def _run(self, at: int, key: int) -> int:
+        x = ((at + 1) * 0x9E3779B97F4A7C15 + key) & _ONES
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _ONES
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _ONES
+        return RUN - bisect_right(self.listed, x ^ (x >> 31))
+
+    def _runs(self, at: np.ndarray, key: int) -> np.ndarray:
+        x = (at + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return RUN - np.searchsorted(self.below, x ^ (x >> np.uint64(31)), side="right")
 
 
 class Encoder:
-    """Ids of whole texts under one seed, dropout and number of variants."""
+    """Ids of whole texts under one seed and dropout.
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int):
-        self.model, self.seed = Model(path), seed
-        rate = min(2**32, int(dropout * 2**32))
-        self.variants = [_Variant(self.model, zlib.crc32(b"%d:%d" % (seed, v)), rate) for v in range(variants)]
+    ``variants`` lets documents share so many keys; none gives each its own.
+    """
+
+    def __init__(self, path: str, dropout: float, seed: int, variants: int | None = None):
+        self.model, self.variants = Model(path), variants
+        self.lots = Lots(dropout, seed) if dropout > 0 else None
+        self.known: dict[tuple, tuple[int, bytes]] = {}
         self.line_end = struct.pack("<I", self.model.bytes[10])
 
     def __call__(self, text: str, doc_id: int | None) -> bytes:
         if not text:
             return b""
-        known = self.variants[zlib.crc32(b"%d:%s" % (self.seed, str(doc_id).encode())) % len(self.variants)].__getitem__
-        parts, lead = [], " "
+        lines, lead = [], " "
         for line in text.split("\n"):
             if "  " in line or line[:1] == " " or line[-1:] == " ":
-                parts += map(known, re.findall(" +[^ ]*|[^ ]+", lead + line))
+                lines.append(re.findall(" +[^ ]*|[^ ]+", lead + line))
             elif line or lead:
                 head, *rest = line.split(" ")
-                parts.append(known(lead + head))
-                parts += [known(" " + word) for word in rest]
-            parts.append(self.line_end)
+                lines.append([lead + head, *(" " + word for word in rest)])
+            else:
+                lines.append([])
             lead = ""
+        if self.lots is None:
+            runs, key = repeat(RUN), 0
+        else:
+            of = str(doc_id) if self.variants is None else str(zlib.crc32(str(doc_id).encode()) % self.variants)
+            key = self.lots.key(of)
+            runs = iter(self.lots.first(key, sum(map(len, lines))))
+        known, parts, place = self.known, [], 0
+        for stretches in lines:
+            # ``runs`` stands second, so that a line's end takes none.
+            for stretch, run in zip(stretches, runs):
+                found = known.get((stretch,))
+                if found is not None and (self.lots is None or run >= found[0] and run < RUN):
+                    parts.append(found[1])
+                else:
+                    parts.append(self._drawn(stretch, self.lots.later(key, place, run) if self.lots else iter(())))
+                place += 1
+            parts.append(self.line_end)
         parts.pop()
         return b"".join(parts)
 
+    def _drawn(self, stretch: str, runs: Iterator[int]) -> bytes:
+        """The ids under the drawn runs: as remembered for the skips they make, or computed once."""
+        at, used = (stretch,), []
+        while (found := self.known.get(at)) is not None:
+            used.append(next(runs))
+            if used[-1] >= found[0]:
+                return found[1]
+            at += (used[-1],)
+        drawn = list(used)
+
+        def noted() -> Iterator[int]:
+            yield from used
+            for run in runs:
+                drawn.append(run)
+                yield run
+
+        found = self.model.encode(stretch, noted())
+        if len(stretch) <= LONGEST:
+            if len(self.known) >= MEMORY:
+                self.known.clear()
+            # The last run drawn reached the end without a skip.
+            self.known[(stretch, *drawn[:-1])] = found
+        return found[1]
+
 
 _encoders: dict[tuple, Encoder] = {}
 
@@ -136,14 +218,12 @@ def _encoder(*settings) -> Encoder:
     return _encoders[settings]
 
 
-def encode(docs: DataFrame, model: str | None = None, dropout: float = 0.1, seed: int = 1, variants: int = 2) -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, dropout: float = 0.1, seed: int = 1, variants: int | None = None) -> DataFrame:
     """doc_id and ids of every whole text; a null or empty text has no ids.
 
     Repeated rows get equal ids.  A sign the model does not know is spelled in bytes, also the
     sign that stands for a space where a text holds it.  Extra columns are not read.
     """
-    import numpy as np
-
     path = model or default_tokenizer("piece_bpe_32k.model")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -168,7 +248,7 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     return arrow_map(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
-def checked(docs: DataFrame, model: str | None = None, dropout: float = 0.1, seed: int = 1, variants: int = 2) -> DataFrame:
+def checked(docs: DataFrame, model: str | None = None, dropout: float = 0.1, seed: int = 1, variants: int | None = None) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 and whether decoding gives the text again, without storing the ids."""
     path = model or default_tokenizer("piece_bpe_32k.model")
 

@@ -128,3 +128,30 @@ def test_pieces_decode_without_loss_and_vary(docs):
     ways = {pieces.Encoder(PIECE, 0.5, seed, 1)(text, 1) for seed in range(6)}
     assert len(ways) > 1 and pieces.Encoder(PIECE, 0.5, 3, 1)(text, 1) == pieces.Encoder(PIECE, 0.5, 3, 1)(text, 1)
     assert pieces.checked(docs()).count() == 0
+
+
+def test_a_word_takes_many_segmentations(docs):
+    encode, plain = pieces.Encoder(PIECE, 0.3, 1), pieces.Encoder(PIECE, 0.0, 1)
+    ways = {encode("segmentation", i) for i in range(300)}
+    assert len(ways) > 10 and {encode.model.decode(struct.unpack(f"<{len(w) // 4}I", w)) for w in ways} == {"segmentation"}
+    # Also within one document; and runs are as long as independent lots make them.
+    by_line = encode("\n".join(["segmentation"] * 200), 7).split(encode.line_end)
+    assert len({bytes(w) for w in by_line[1:]}) > 10
+    taken, _ = plain.model.encode(" segmentation")
+    share = sum(encode.lots.first(encode.lots.key(str(i)), 1)[0] >= taken for i in range(4000)) / 4000
+    assert taken > 3 and abs(share - 0.7 ** taken) < 0.02
+    table = docs(*[(i, "segmentation") for i in range(100)])
+    assert len({tuple(r.ids) for r in pieces.encode(table, dropout=0.3).collect()}) > 10
+
+
+def test_long_runs_and_long_stretches(monkeypatch):
+    whole = pieces.Encoder(PIECE, 0.3, 1)("segmentation " * 20 + "segmentation" * 9, 5)
+    monkeypatch.setattr(pieces, "LONGEST", 0)
+    assert pieces.Encoder(PIECE, 0.3, 1)("segmentation " * 20 + "segmentation" * 9, 5) == whole
+    text = "uncommon vocabulary " * 400
+    taken = [len(pieces.Encoder(PIECE, rate, 1)(text, 5)) for rate in (0.0, 1e-6, 0.1, 1.0)]
+    assert taken[0] == taken[1] < taken[2] < taken[3]
+    monkeypatch.setattr(pieces, "RUN", 2)
+    lots = pieces.Lots(0.1, 1)
+    runs = [next(lots.later(9, place, first)) for place, first in enumerate(lots.first(9, 4000))]
+    assert abs(sum(runs) / 4000 - 9) < 0.6
