@@ -4,7 +4,8 @@ Entities are found by patterns.  Numbers are turned by a keyed permutation of al
 so different ones stay different; addresses, secrets and names are drawn by a keyed hash, letter for
 letter of the same case and script, and names of the same gender.  An entity has one canonical form and so the
 same surrogate everywhere.  A check over all entities of the corpus finds surrogates that two
-entities share or that are themselves entities, and draws those again until there are none.
+entities share or that are themselves entities, and draws those again, longer each time, until there
+are none; how often stays in a Spark table and is joined to the texts.
 """
 
 from __future__ import annotations
@@ -53,7 +54,12 @@ PATTERNS = {
 }
 _PATTERNS = {kind: re.compile(p) for kind, p in PATTERNS.items()}
 _DIGIT = re.compile("[0-9]")
-FOUND = "kind string, canonical string, surrogate string"
+FOUND = "text_hash long, kind string, canonical string"
+DRAWN = "kind string, canonical string, surrogate string, attempt int"
+#: Draws after which also numbers, which are permuted, get longer.
+SAME_LENGTH = 4
+#: Rows of texts with attempts up to which they are sent to every executor; beyond, shuffled.
+SENT_TEXTS = 50_000
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
@@ -81,6 +87,8 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             if kind == "email":
                 value = value.rstrip(".-")
                 end = start + len(value)
+            if not any(map(str.isalnum, value)):
+                continue  # nothing to replace
             if not any(start < e and s < end for s, e, *_ in taken):
                 taken.append((start, end, kind, canonical(kind, value, gender)))
     return sorted(taken)
@@ -154,7 +162,8 @@ def surrogate(kind: str, form: str, key: bytes, attempt: int = 0) -> str:
     """The canonical form of the surrogate of a canonical form."""
     stream = Stream(key, kind, form, attempt)
     if kind in ("phone", "ssn"):
-        return form[: -len(form.lstrip("+")) or None] * (form[0] == "+") + _digits(form.lstrip("+"), key, kind, attempt)
+        more = "".join(str(stream.below(10)) for _ in range(attempt - SAME_LENGTH))
+        return "+" * (form[0] == "+") + _digits(form.lstrip("+"), key, kind, attempt) + more
     if kind == "card":
         if luhn(form[:-1]) == int(form[-1]):
             body = _digits(form[:-1], key, "card with check", attempt)
@@ -174,15 +183,15 @@ def surrogate(kind: str, form: str, key: bytes, attempt: int = 0) -> str:
         local, domain = form.split("@")
         labels = domain.split(".")
         of_domain = Stream(key, "domain", domain, attempt)
-        return _letters(local, stream) + "@" + ".".join([*(_letters(x, of_domain) for x in labels[:-1]), labels[-1]])
+        return _letters(local + "x" * attempt, stream) + "@" + ".".join([*(_letters(x, of_domain) for x in labels[:-1]), labels[-1]])
     if kind in ("secret", "key"):
         if re.fullmatch("[0-9a-fA-F]+", form):
             case = str.upper if form.upper() == form else str.lower
-            return case("".join("0123456789abcdef"[stream.below(16)] for _ in form))
+            return case("".join("0123456789abcdef"[stream.below(16)] for _ in range(len(form) + attempt)))
         prefix = re.match(r"AKIA|gh[pousr]_|sk-|xox[abp]-|", form)[0]
-        return prefix + _letters(form[len(prefix):], stream)
+        return prefix + _letters(form[len(prefix):] + "x" * attempt, stream)
     if kind == "iban":
-        return form[:2] + _letters(form[2:], stream)
+        return form[:2] + _letters(form[2:] + "0" * (attempt - SAME_LENGTH), stream)
     gender, name = form.split(":", 1)
     parts, out = name.split(" "), []
     for i, part in enumerate(parts):
@@ -191,7 +200,7 @@ def surrogate(kind: str, form: str, key: bytes, attempt: int = 0) -> str:
             gender = gender or "mf"[stream.below(2)]
             out.append(GIVEN[script, gender][stream.below(len(GIVEN[script, gender]))])
         else:
-            out.append("".join(SYLLABLES[script][stream.below(16)] for _ in range(4)).capitalize())
+            out.append("".join(SYLLABLES[script][stream.below(16)] for _ in range(4 + attempt)).capitalize())
     return f"{form.split(':', 1)[0]}:{' '.join(out)}"
 
 
@@ -199,48 +208,54 @@ def dressed(kind: str, form: str, like: str) -> str:
     """A canonical form in the format of the text it replaces."""
     if kind in ("card", "phone", "ssn", "iban"):
         signs = iter(form.lstrip("+"))
-        return "".join(next(signs) if c.isalnum() else c for c in like)
+        return "".join([*(next(signs) if c.isalnum() else c for c in like), *signs])
     if kind == "email":
         return "".join(c.upper() if like[i:i + 1].isupper() else c for i, c in enumerate(form)) if len(form) == len(like) else form
     return form.split(":", 1)[1] if kind == "name" else form
 
 
-def _entities(docs: DataFrame, key: bytes, attempts: dict[tuple[str, str], int]) -> DataFrame:
+def found_in(docs: DataFrame) -> DataFrame:
+    """The different entities of each text, by the text's hash."""
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        forms = {(kind, form) for text in columns_of(batch, "text")[0] if text for *_, kind, form in find(text)}
-        rows = [(k, f, surrogate(k, f, key, attempts.get((k, f), 0))) for k, f in sorted(forms)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else ([], [], []))],
-                                         ["kind", "canonical", "surrogate"])
+        rows = [(h, kind, form) for h, text in zip(*columns_of(batch, "text_hash", "text"), strict=True) if text
+                for kind, form in sorted({(kind, form) for *_, kind, form in find(text)})]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([], [], []), (pa.int64(), pa.string(), pa.string()), strict=True)],
+            ["text_hash", "kind", "canonical"])
 
-    return arrow_map(docs.select("text"), run, FOUND).distinct()
+    return arrow_map(docs.select(F.xxhash64("text").alias("text_hash"), "text"), run, FOUND)
 
 
 def collisions(entities: DataFrame) -> DataFrame:
-    """Entities whose surrogate another entity has too (all but the first), or is an entity itself."""
-    group = Window.partitionBy("kind", "surrogate").orderBy("canonical")
+    """Entities whose surrogate another entity has too (all but one), or is an entity itself."""
+    group = Window.partitionBy("kind", "surrogate").orderBy("attempt", "canonical")
     shared = entities.withColumn("_n", F.row_number().over(group)).filter("_n > 1").select("kind", "canonical")
     real = entities.select("kind", F.col("canonical").alias("surrogate"))
     return shared.union(entities.join(real, ["kind", "surrogate"], "left_semi").select("kind", "canonical")).distinct()
 
 
-def attempts_needed(docs: DataFrame, key: bytes) -> dict[tuple[str, str], int]:
-    """Draws beyond the first that entities need so that no two share a surrogate.
+def drawn(found: DataFrame, key: bytes) -> DataFrame:
+    """Every entity with its surrogate and the draws beyond the first it took, so that no two share one.
 
-    Permutations never collide and draws have at least 16**4 outcomes, so this holds few entries;
-    the entities themselves stay in Spark.
+    Draws get longer with each attempt, so a free one is always to be had; all stays in Spark.
     """
-    attempts: dict[tuple[str, str], int] = {}
-    entities = cut(_entities(docs, key, {}))
-    while again := cut(collisions(entities)).collect():
-        attempts = attempts | {(r["kind"], r["canonical"]): attempts.get((r["kind"], r["canonical"]), 0) + 1 for r in again}
+    def draw(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        kinds, forms, attempts = columns_of(batch, "kind", "canonical", "attempt")
+        new = [surrogate(k, f, key, n) for k, f, n in zip(kinds, forms, attempts, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((kinds, forms, new, attempts), (*[pa.string()] * 3, pa.int32()), strict=True)],
+                                         ["kind", "canonical", "surrogate", "attempt"])
+
+    entities = cut(arrow_map(found.select("kind", "canonical").distinct().withColumn("attempt", F.lit(0)), draw, DRAWN))
+    while (again := cut(collisions(entities))).count():
+        marked = entities.join(again.withColumn("_again", F.lit(1)), ["kind", "canonical"], "left")
+        moved = marked.filter("_again = 1").select("kind", "canonical", (F.col("attempt") + 1).alias("attempt"))
+        entities = cut(marked.filter("_again IS NULL").select("kind", "canonical", "surrogate", "attempt").union(arrow_map(moved, draw, DRAWN)))
+    return entities
 
-        def redrawn(batch: pa.RecordBatch, attempts: dict = attempts) -> Iterator[pa.RecordBatch]:
-            kinds, forms = columns_of(batch, "kind", "canonical")
-            drawn = [surrogate(k, f, key, attempts.get((k, f), 0)) for k, f in zip(kinds, forms, strict=True)]
-            yield batch.set_column(2, "surrogate", pa.array(drawn, pa.string()))
 
-        entities = cut(arrow_map(entities, redrawn, FOUND))
-    return attempts
+def attempts_needed(docs: DataFrame, key: bytes) -> dict[tuple[str, str], int]:
+    """The attempts beyond the first, brought to the driver: for small tables only."""
+    return {(r["kind"], r["canonical"]): r["attempt"] for r in drawn(found_in(docs), key).filter("attempt > 0").collect()}
 
 
 def replacer(key: bytes, attempts: dict[tuple[str, str], int]) -> Callable[[str], tuple[str, int]]:
@@ -262,16 +277,27 @@ def pseudonymised(docs: DataFrame, key: bytes = b"surrogates") -> DataFrame:
     results, other columns are carried along (one named n_entities is replaced).
     """
     docs = docs.drop("n_entities")
-    attempts = attempts_needed(docs, key)
     names = docs.columns
     place = names.index("text")
     schema = docs.withColumn("n_entities", F.lit(0).cast("long")).schema
+    found = cut(found_in(docs))
+    # One row per text with entities drawn again; two texts of one hash only get each other's too.
+    again = cut(found.join(drawn(found, key).filter("attempt > 0"), ["kind", "canonical"])
+                .groupBy("text_hash").agg(F.collect_set(F.struct("kind", "canonical", "attempt")).alias("_attempts")))
+    n = again.count()
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        replace = replacer(key, attempts)
-        rows = [(None, 0) if t is None else replace(t) for t in columns_of(batch, "text")[0]]
+        texts = columns_of(batch, "text")[0]
+        known = columns_of(batch, "_attempts")[0] if n else [None] * len(texts)
+        rows = [(None, 0) if t is None else replacer(key, {(a["kind"], a["canonical"]): a["attempt"] for a in of or ()})(t)
+                for t, of in zip(texts, known, strict=True)]
         new = pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.string()) if i == place else c for i, c in enumerate(batch.columns)], names)
+            [pa.array([r[0] for r in rows], pa.string()) if i == place else batch.column(i) for i in range(len(names))], names)
         yield new.append_column("n_entities", pa.array([r[1] for r in rows], pa.int64()))
 
+    if n:
+        hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
+        again = again.withColumnRenamed("text_hash", "_text_hash")
+        joined = hashed.join(F.broadcast(again) if n <= SENT_TEXTS else again, "_text_hash", "left")
+        docs = joined.select(*names, "_attempts")
     return arrow_map(docs, run, schema)

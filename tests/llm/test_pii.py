@@ -61,3 +61,23 @@ def test_collisions_are_drawn_again(docs, monkeypatch):
     attempts = pii.attempts_needed(rows, KEY)
     drawn = {pii.surrogate("email", f, KEY, attempts.get(("email", f), 0)) for f in ("a@b.org", "c@d.org", "x@y.org")}
     assert len(drawn) == 3 and not drawn & {"a@b.org", "c@d.org", "x@y.org"}
+
+
+def test_values_without_letters_or_digits_are_left(docs):
+    texts = ["Password: ________ and 1", "password=...... now", "at _@_._"]
+    assert [REPLACE(t) for t in texts] == [(t, 0) for t in texts]
+    assert [r.text for r in sorted(pii.pseudonymised(docs(*texts)).collect())] == texts
+
+
+def test_small_spaces_are_left_by_longer_draws(docs, monkeypatch):
+    # Every secret with one letter: 26 outcomes that all are entities themselves.
+    texts = ["at _@_.com"] + [f"password=-----{chr(97 + i)} x" for i in range(26)] + [f"Mr Name{chr(97 + i)}. x" for i in range(26)]
+    monkeypatch.setitem(pii.SYLLABLES, "latin", ("ba",) * 15 + ("do",))
+    want = None
+    for sent in (50_000, 0):
+        monkeypatch.setattr(pii, "SENT_TEXTS", sent)
+        got = [r.text for r in sorted(pii.pseudonymised(docs(*texts)).collect())]
+        assert len(set(got)) == 53 and not set(got) & set(texts) and got == (want or got)
+        want = got
+    longer = pii.surrogate("phone", "+1234567", KEY, 7)
+    assert len(longer) == 11 and pii.dressed("phone", longer, "+1 23 45 67").replace(" ", "") == longer
