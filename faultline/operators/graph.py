@@ -99,14 +99,14 @@ def placed_areas(groups: DataFrame, area_table: Sequence[seeds.Area] = seeds.ARE
         F.col("found.worst.name").alias("highest_severity"), F.col("found.file_count").alias("file_count"))
 
 
-def placed_files(groups: DataFrame, areas: DataFrame, large_group: int = 500_000) -> DataFrame:
+def placed_files(groups: DataFrame, areas: DataFrame, collation: str | None = None) -> DataFrame:
     """Files of each area by path, with their place on the circle around the area.
 
-    ``groups`` should be stored, as its group sizes are looked at.
+    Paths are ordered by their bytes, or by the named collation.
     """
     numbered = ordinals(
         groups.filter(F.col("full_path").isNotNull()), ["project_id", "area"], "full_path",
-        "ordinal", large_group)
+        "ordinal", collation)
     parents = areas.select(
         "project_id", "area", F.col("node_id").alias("parent_id"), F.col("x").alias("area_x"),
         F.col("y").alias("area_y"), "file_count")
@@ -147,7 +147,7 @@ def file_edges(files: DataFrame) -> DataFrame:
 
 
 def security_graph(findings: DataFrame, area_table: Sequence[seeds.Area] = seeds.AREAS,
-                   large_group: int = 500_000) -> Graph:
+                   collation: str | None = None) -> Graph:
     """Nodes and edges of all projects.
 
     The findings are classified once; everything else derives from the stored
@@ -155,7 +155,7 @@ def security_graph(findings: DataFrame, area_table: Sequence[seeds.Area] = seeds
     """
     groups = cut(file_groups(classified(findings, area_table)))
     areas = placed_areas(groups, area_table)
-    files = placed_files(groups, areas, large_group)
+    files = placed_files(groups, areas, collation)
     none = F.lit(None).cast("string")
     area_nodes = areas.select(
         "project_id", "node_id", F.lit("area").alias("node_type"), F.col("area").alias("label"),

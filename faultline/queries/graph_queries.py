@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from faultline import seeds
 from faultline.functions.areas import SEPARATORS, SHORT
-from faultline.operators import dashboard, graph
+from faultline.operators import dashboard, graph, ordered
 from faultline.plans.scan import scan, scan_findings
 from faultline.queries import fixtures, oracle
 from faultline.queries import rule_queries as rq
@@ -105,9 +105,16 @@ def area_nodes(spark, sf_dir):
 
 
 def file_nodes(spark, sf_dir):
-    """Groups over 20 files are numbered in slices here, to have both ways checked."""
     groups = cut(_groups(spark, sf_dir))
-    return graph.placed_files(groups, graph.placed_areas(groups), large_group=20).select(*FILE_NODE)
+    return graph.placed_files(groups, graph.placed_areas(groups)).select(*FILE_NODE)
+
+
+def file_order(spark, sf_dir):
+    """Files of each area in the order of the Unicode collation, case last."""
+    groups = cut(_groups(spark, sf_dir)).withColumn("full_path", F.when(
+        F.length("full_path") % 2 == 0, F.upper("full_path")).otherwise(F.col("full_path")))
+    return ordered.ordinals(groups, ["project_id", "area"], "full_path", "ordinal", "UNICODE").select(
+        "project_id", "area", "full_path", "ordinal")
 
 
 def edges(spark, sf_dir):
@@ -189,13 +196,16 @@ METRICS_SQL = f"""WITH {rq.scan_cte()}, {rq.score_cte()}, counters AS (SELECT pr
     critical_count AS critical, high_count AS high, '2s' AS duration FROM scores LEFT JOIN counters USING (project_id)"""
 
 QUERIES = {
-    "q_areas": areas, "q_unclaimed_areas": unclaimed, "q_area_nodes": area_nodes, "q_file_nodes": file_nodes,
+    "q_areas": areas, "q_unclaimed_areas": unclaimed, "q_area_nodes": area_nodes, "q_file_nodes": file_nodes, "q_file_order": file_order,
     "q_graph_nodes": graph_nodes, "q_edges": edges, "q_area_members": area_members,
     "q_dashboard": dashboard_rows, "q_risk": risk, "q_metrics": metrics,
 }
 ORACLES = {
     "q_areas": AREAS_SQL, "q_unclaimed_areas": UNCLAIMED_SQL,
     "q_area_nodes": f"WITH {GRAPH_CTE} SELECT {', '.join(AREA_NODE)} FROM area_nodes",
+    "q_file_order": f"""WITH {GRAPH_CTE}, cased AS (
+        SELECT project_id, area, CASE WHEN length(file_path) % 2 = 0 THEN upper(file_path) ELSE file_path END AS full_path FROM file_groups)
+      SELECT *, row_number() OVER (PARTITION BY project_id, area ORDER BY lower(full_path), full_path DESC) - 1 AS ordinal FROM cased""",
     "q_file_nodes": f"WITH {GRAPH_CTE} SELECT {', '.join(FILE_NODE)} FROM file_nodes",
     "q_graph_nodes": NODES_SQL, "q_edges": f"WITH {GRAPH_CTE} SELECT * FROM edges",
     "q_area_members": MEMBERS_SQL, "q_dashboard": DASHBOARD_SQL, "q_risk": RISK_SQL, "q_metrics": METRICS_SQL,

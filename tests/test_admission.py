@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from faultline import schema
 from faultline.functions import paths
 from faultline.operators import admission
-from faultline.operators.ordered import ordinals, running_totals
+from faultline.operators.ordered import ordinals, positions, running_totals
 
 ENTRY = "project_id string, entry_ord int, entry_path string, is_dir boolean, size long"
 
@@ -83,11 +83,31 @@ def test_running_totals_equal_plain_sums(spark):
         assert got[k, o] == sums[k]
 
 
-def test_sliced_ordinals_equal_plain_ones(spark):
-    rows = [("hot", f"src/{i * 7919 % 1000:04d}.py") for i in range(1000)] + [("cold", f"{i}") for i in range(9)]
-    table = spark.createDataFrame(rows, "k string, path string")
-    whole = ordinals(table, ["k"], "path", "n").collect()
-    sliced = ordinals(table, ["k"], "path", "n", large_group=50, slices=16).collect()
-    assert sorted(map(tuple, whole)) == sorted(map(tuple, sliced))
-    hot = sorted((r.path, r.n) for r in sliced if r.k == "hot")
-    assert [n for _, n in hot] == list(range(1000))
+def test_ordinals_equal_plain_ones(spark):
+    rows = [("hot", f"src/{i * 7919 % 1000:04d}.py", i) for i in range(1000)] + [("cold", f"{i}", i) for i in range(9)]
+    rows += [(None, f"{i}", i) for i in range(5)]
+    table = spark.createDataFrame(rows, "k string, path string, position int").repartition(7)
+    got = ordinals(table, ["k"], "path", "n").collect()
+    assert len(got) == len(rows) and got[0].asDict().keys() == {"k", "path", "position", "n"}
+    for key in ("hot", "cold", None):
+        found = sorted((r.n, r.path) for r in got if r.k == key)
+        assert found == list(enumerate(sorted(p for k, p, _ in rows if k == key)))
+
+
+def test_ordinals_by_collation(spark):
+    names = ["b", "A", "a", "B", "é", "f", "E", "_x", "Z", "10", "9"]
+    table = spark.createDataFrame([("p", n) for n in names], "k string, path string").repartition(5)
+    plain = [r.path for r in sorted(ordinals(table, ["k"], "path", "n").collect(), key=lambda r: r.n)]
+    assert plain == sorted(names)
+    read = [r.path for r in sorted(ordinals(table, ["k"], "path", "n", "UNICODE").collect(), key=lambda r: r.n)]
+    assert read == ["_x", "10", "9", "a", "A", "b", "B", "E", "é", "f", "Z"]
+
+
+def test_weighted_positions(spark):
+    rows = [(i * 37 % 101, i % 4) for i in range(101)]
+    got = positions(spark.createDataFrame(rows, "v long, row_at int").repartition(6), [F.col("v").desc()], "p", F.col("row_at")).collect()
+    before = 0
+    for r in sorted(got, key=lambda r: -r.v):
+        assert r.p == before
+        before += r.row_at
+    assert positions(spark.createDataFrame([], "v long"), [F.col("v")], "p").collect() == []

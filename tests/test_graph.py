@@ -63,11 +63,13 @@ def test_nodes_and_edges(table):
     assert edges.filter("is_hierarchy").count() == nodes.filter("node_type = 'file'").count()
 
 
-def test_large_groups_are_numbered_alike(spark):
+def test_file_ordinals_of_large_groups(spark):
     rows = [("p", str(i), "t", "other", "LOW", f"d{i % 50:02d}/f.py", i) for i in range(400)]
-    table = spark.createDataFrame(rows, FINDING)
-    plain, sliced = graph.security_graph(table).nodes, graph.security_graph(table, large_group=10).nodes
-    assert sorted(map(str, plain.collect())) == sorted(map(str, sliced.collect()))
+    groups = graph.file_groups(graph.classified(spark.createDataFrame(rows, FINDING)))
+    placed = graph.placed_files(groups, graph.placed_areas(groups)).collect()
+    for area in {r.area for r in placed}:
+        found = sorted((r.ordinal, r.full_path) for r in placed if r.area == area)
+        assert found == list(enumerate(sorted(r.full_path for r in placed if r.area == area)))
 
 
 def test_member_pages_lose_nothing(table):
