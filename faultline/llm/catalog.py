@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import audit, jaccard, language, neighbours, packing, pieces, pii, quality, token_counts, token_files, toxicity
+from faultline.llm import audit, jaccard, language, neighbours, packing, pieces, pii, quality, resampling, token_counts, token_files, toxicity
 from faultline.llm.common import shared_folder, table
 
 
@@ -63,6 +63,10 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text"))
+
+
 def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents", "doc_id", "text", "source"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
 
@@ -78,11 +82,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": op8_pieces,
     "op9_pii": op9_pii,
     "op10_neighbours": op10_neighbours,
+    "op11_resampling": op11_resampling,
     "op13_audit": op13_audit,
 }
 
 ORACLES: dict[str, str] = {
     "op5_quality": quality.sql(),
     "op10_neighbours": neighbours.sql(),
+    "op11_resampling": resampling.sql(),
     "op13_audit": audit.sql(),
 }
