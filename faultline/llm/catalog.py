@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import audit, jaccard, language, neighbours, packing, pieces, pii, quality, resampling, token_counts, token_files, toxicity
+from faultline.llm import audit, bpe, jaccard, language, neighbours, packing, pieces, pii, quality, resampling, token_counts, token_files, toxicity
 from faultline.llm.common import shared_folder, table
 
 
@@ -67,6 +67,11 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text"))
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return bpe.digests(docs, bpe.write_lexicon(docs))
+
+
 def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents", "doc_id", "text", "source"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
 
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_neighbours": op10_neighbours,
     "op11_resampling": op11_resampling,
+    "op12_bpe": op12_bpe,
     "op13_audit": op13_audit,
 }
 

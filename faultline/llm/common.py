@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from faultline.session import cut, shared_folder
 
-__all__ = ["arrow_map", "columns_of", "cut", "default_tokenizer", "reachable", "shared_folder", "table"]
+__all__ = ["arrow_map", "columns_of", "cut", "default_tokenizer", "held", "reachable", "shared_folder", "table"]
 
 #: Arrow batches end at so many rows or bytes, whichever comes first: texts can be long.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4096", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
@@ -55,6 +55,20 @@ def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[pa.Record
     return df.mapInArrow(each, schema)
 
 
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable[[], object]):
+    """What a worker keeps from task to task, made when first asked for.
+
+    A worker serves one operator after another and keeps the models and memories of the last one only.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def columns_of(batch: pa.RecordBatch, *names: str) -> list[list]:
     """Columns of a batch as Python lists."""
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]

@@ -50,7 +50,7 @@ def _byte_signs() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(hidden)}
 
 
-_SIGNS = _byte_signs()
+SIGNS = _byte_signs()
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -68,7 +68,7 @@ class Stretches(dict):
         self.tokenizer, self.before, self.lower, self.old = tokenizer, before, lower, {}
 
     def merged(self, pretoken: str) -> bytes:
-        signs = pretoken.encode().decode("latin-1").translate(_SIGNS)
+        signs = pretoken.encode().decode("latin-1").translate(SIGNS)
         return _packed([t.id for t in self.tokenizer.model.tokenize(signs)])
 
     def encode(self, stretch: str) -> bytes:
