@@ -3,7 +3,8 @@
 A text falls into pieces at places where no merge can cross, found for a whole batch at once: between
 visible signs and white space, and between letters, digits and signs.  The most frequent pieces of the corpus
 are compiled, with their ids, into a minimal acyclic transducer whose file every worker maps into memory.
-Pieces that it does not hold are merged exactly, by rank, after the vocabulary's own split into words.
+Pieces that it does not hold are merged exactly, by rank: words in rounds over a whole block, pieces of
+several words or unsure signs one by one after the vocabulary's own split.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm.common import arrow_map, default_tokenizer, held, reachable, shared_folder
+from faultline.llm.common import arrow_map, cut, default_tokenizer, held, reachable, shared_folder
 from faultline.llm.encoding import SIGNS, load
 from faultline.llm.lexicon import Transducer, compile_words
 
@@ -54,7 +55,16 @@ def _kinds() -> np.ndarray:
 _KIND = _kinds()
 
 
-def cut_places(signs: np.ndarray) -> np.ndarray:
+def kinds_of(signs: np.ndarray) -> np.ndarray:
+    """The kind of each byte; letters of Latin-1 are c3 and a byte other than those of the two signs of arithmetic."""
+    kind = _KIND[signs]
+    lead = np.flatnonzero(signs[:-1] == 0xC3)
+    lead = lead[(signs[lead + 1] != 0x97) & (signs[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = _LETTER
+    return kind
+
+
+def cut_places(signs: np.ndarray, kind: np.ndarray) -> np.ndarray:
     """Whether a piece begins at each byte.  Only sure ends of words count, so a piece may hold several words.
 
     White space begins a piece behind anything visible; the last of several white spaces begins one before
@@ -62,11 +72,6 @@ def cut_places(signs: np.ndarray) -> np.ndarray:
     signs end each other, but for an apostrophe before a letter, which may be a short form.  Bytes of
     signs beyond ASCII, other than the letters of Latin-1, are unsure and end nothing.
     """
-    kind = _KIND[signs]
-    # Letters of Latin-1 are c3 and a byte other than those of the two signs of arithmetic.
-    lead = np.flatnonzero(signs[:-1] == 0xC3)
-    lead = lead[(signs[lead + 1] != 0x97) & (signs[lead + 1] != 0xB7)]
-    kind[lead] = kind[lead + 1] = _LETTER
     before, here = kind[:-1], kind[1:]
     visible, space = kind >= _LETTER, kind == _SPACE
     begins = np.zeros(len(signs), bool)
@@ -77,6 +82,68 @@ def cut_places(signs: np.ndarray) -> np.ndarray:
     return begins
 
 
+class Ranks:
+    """Ranks of pairs of ids, and what they make, for whole arrays: a table with open places."""
+
+    NONE = np.iinfo(np.int32).max
+
+    def __init__(self, merges: dict[tuple[int, int], tuple[int, int]]):
+        keys = np.asarray([a << 32 | b for a, b in merges], np.int64)
+        self.made = np.asarray([made for _, made in merges.values()], np.int64)
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.rank = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, self.NONE, np.int32)
+        left, at = np.arange(len(keys)), self._place(keys)
+        while len(left):
+            # One key per open place; the others go on to the next.
+            taken, first = np.unique(at, return_index=True)
+            settled = np.zeros(len(left), bool)
+            settled[first[self.keys[taken] < 0]] = True
+            self.keys[at[settled]], self.rank[at[settled]] = keys[left[settled]], left[settled]
+            left, at = left[~settled], (at[~settled] + 1) & ((1 << self.bits) - 1)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The rank of each pair, NONE where nothing merges it."""
+        keys = first << 32 | second
+        at = self._place(keys)
+        found = self.keys[at]
+        rank = np.where(found == keys, self.rank[at], self.NONE)
+        on = np.flatnonzero((found != keys) & (found >= 0))
+        while len(on):
+            at[on] = (at[on] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[at[on]]
+            rank[on] = np.where(found == keys[on], self.rank[at[on]], self.NONE)
+            on = on[(found != keys[on]) & (found >= 0)]
+        return rank
+
+    def merge(self, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge all words, ``size`` ids each: in every round the best and then leftmost pair of each word."""
+        size, word = size.copy(), np.repeat(np.arange(len(size)), size)
+        inner = np.flatnonzero(word[:-1] == word[1:])
+        rank = np.full(len(ids), self.NONE, np.int32)
+        rank[inner] = self(ids[inner], ids[inner + 1])
+        while len(ids):
+            best = np.minimum.reduceat(rank, np.cumsum(size) - size)
+            at = np.flatnonzero((rank == best[word]) & (rank < self.NONE))
+            if not len(at):
+                break
+            at = at[np.append(True, word[at[1:]] != word[at[:-1]])]
+            ids[at] = self.made[rank[at]]
+            kept = np.ones(len(ids), bool)
+            kept[at + 1] = False
+            size[word[at]] -= 1
+            ids, word, rank = ids[kept], word[kept], rank[kept]
+            at = at - np.arange(len(at))
+            rank[at] = self.NONE
+            for left in (at, at - 1):
+                left = left[(left >= 0) & (left + 1 < len(ids))]
+                left = left[word[left] == word[left + 1]]
+                rank[left] = self(ids[left], ids[left + 1])
+        return ids, size
+
+
 class Vocabulary:
     """Words, ranks and special strings of a vocabulary file of the byte-level kind."""
 
@@ -89,6 +156,8 @@ class Vocabulary:
         self.ids: dict[str, int] = told["model"]["vocab"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in told["model"]["merges"]]
         self.merges = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.ranks = Ranks(self.merges)
+        self.first = np.asarray([self.ids[chr(SIGNS.get(b, b))] for b in range(256)], np.int64)
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
         if any(t[k] for t in told["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
             raise ValueError(f"{path}: special strings that take in what stands around them")
@@ -135,7 +204,7 @@ class Vocabulary:
         return [i for i in ids if i >= 0]
 
     def encode(self, piece: bytes) -> list[int]:
-        """Ids of a piece without special strings."""
+        """Ids of a piece without special strings, split into words as the vocabulary does."""
         return [i for word, _ in self.split(piece.decode()) for i in self.merged(word)]
 
     def decode(self, ids) -> bytes:
@@ -188,7 +257,8 @@ class Pieces:
     def __init__(self, parts: list[Part]):
         self.signs = np.frombuffer(b"".join(p.signs for p in parts), np.uint8)
         ends = np.cumsum(np.fromiter((len(p.signs) for p in parts), np.int64, len(parts)))
-        begins = cut_places(self.signs) if len(self.signs) else np.zeros(0, bool)
+        self.kind = kinds_of(self.signs)
+        begins = cut_places(self.signs, self.kind) if len(self.signs) else np.zeros(0, bool)
         # White space at the end of a part is one word, whatever the next part begins with.
         inner = ends[(ends > 1) & (ends < len(begins))]
         begins[inner[(_KIND[self.signs[inner - 1]] == _SPACE) & (_KIND[self.signs[inner - 2]] == _SPACE)] - 1] = False
@@ -198,6 +268,16 @@ class Pieces:
         self.length = np.diff(np.append(self.start, len(self.signs)))
         self.part = np.searchsorted(ends, self.start, side="right")
 
+    def single(self) -> np.ndarray:
+        """Whether each piece is surely one word: letters, digits, signs or white space only, behind a space or not."""
+        if not len(self.start):
+            return np.zeros(0, bool)
+        kind = np.where(self.kind == _QUOTE, _SIGN, self.kind)
+        spaced = self.start[(self.signs[self.start] == 32) & (self.length > 1)]
+        kind[spaced] = kind[spaced + 1]
+        least = np.minimum.reduceat(kind, self.start)
+        return (least == np.maximum.reduceat(kind, self.start)) & (least != _OTHER)
+
 
 class Encoder:
     """Ids of whole texts by the transducer of a file, and by merging for pieces that it does not hold."""
@@ -231,12 +311,15 @@ class Encoder:
         place = np.full(len(pieces.start), -1, np.int64)
         if self.lexicon:
             place = self.lexicon.places(pieces.signs, pieces.start, pieces.length)
-        unseen, seen = np.flatnonzero(place < 0), np.flatnonzero(place >= 0)
+        seen, alone = np.flatnonzero(place >= 0), pieces.single() & (pieces.length <= 2 * LONGEST)
+        words, unseen = np.flatnonzero((place < 0) & alone), np.flatnonzero((place < 0) & ~alone)
         signs = pieces.signs.tobytes()
         spans = zip(pieces.start[unseen].tolist(), (pieces.start + pieces.length)[unseen].tolist(), strict=True)
         merged = [self._unseen(signs[a:b]) for a, b in spans]
         size = np.zeros(len(place), np.int64)
         size[unseen] = np.fromiter(map(len, merged), np.int64, len(merged))
+        of_words, size[words] = self.vocabulary.ranks.merge(
+            self.vocabulary.first[pieces.signs[_spans(pieces.start[words], pieces.length[words])]], pieces.length[words])
         if len(seen):
             first = self.lexicon.id_start[place[seen]].astype(np.int64)
             size[seen] = self.lexicon.id_start[place[seen] + 1] - first
@@ -248,6 +331,7 @@ class Encoder:
         at = np.cumsum(size) - size + earlier[pieces.part]
         if len(seen):
             ids[_spans(at[seen], size[seen])] = self.lexicon.ids[_spans(first, size[seen])]
+        ids[_spans(at[words], size[words])] = of_words
         ids[_spans(at[unseen], size[unseen])] = np.fromiter((i for m in merged for i in m), np.int32)
         ids[(np.cumsum(by_part) + earlier)[behind]] = special[behind]
         return ids, np.fromiter((p.number for p in parts), np.int64, len(parts)), by_part + behind
@@ -295,13 +379,31 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def write_lexicon(docs: DataFrame, tokenizer: str | None = None, words: int = 1 << 16) -> str:
-    """Compile the ``words`` most frequent pieces of ``docs`` into a file of the shared folder; its place.
+def frequent_pieces(counts: DataFrame, most: int) -> list[bytes]:
+    """The pieces of the highest counts, ``most`` at most, sorted; pieces whose counts lie close together go in or stay out together.
 
-    The pieces brought to the driver are bounded by the parameters ``words`` and LONGEST: some MB.
+    The limit comes from a histogram of counts, in bins of an eighth of a doubling, so that only what is chosen is brought together.
+    """
+    counts = cut(counts.withColumn("bin", F.floor(F.log2("n") * 8)))
+    bins = sorted(((r["bin"], r["pieces"]) for r in counts.groupBy("bin").agg(F.count(F.lit(1)).alias("pieces")).collect()), reverse=True)
+    limit, total = None, 0
+    for number, pieces in bins:
+        total += pieces
+        if total > most:
+            break
+        limit = number
+    if limit is None:
+        return []
+    return sorted(bytes(r["piece"]) for r in counts.filter(F.col("bin") >= limit).select("piece").collect())
+
+
+def write_lexicon(docs: DataFrame, tokenizer: str | None = None, words: int = 1 << 17) -> str:
+    """Compile the most frequent pieces of ``docs``, ``words`` at most, into a file of the shared folder; its place.
+
+    What is brought to the driver is bounded by the parameters ``words`` and LONGEST: some MB.
     """
     path = tokenizer or default_tokenizer("byte_bpe_50k.json")
-    frequent = sorted(bytes(r["piece"]) for r in piece_counts(docs, path).orderBy(F.desc("n"), "piece").limit(words).collect())
+    frequent = frequent_pieces(piece_counts(docs, path), words)
     vocabulary = Vocabulary(path)
     spark = docs.sparkSession
     place = f"{shared_folder(spark)}/lexicon-{uuid.uuid4().hex}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 
@@ -12,6 +13,7 @@ from hypothesis import strategies as st
 
 from faultline.llm import bpe
 from faultline.llm.common import default_tokenizer
+from faultline.llm.encoding import SIGNS as SHOWN
 from faultline.llm.lexicon import Transducer, compile_words
 from tests.llm.conftest import ODD
 
@@ -84,6 +86,28 @@ def test_transducer_is_a_table(tmp_path_factory, words, others):
     assert [of.ids[a:b].tolist() for a, b in zip(of.id_start, of.id_start[1:])] == [list(w) for w in words]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aehinorstlé "), min_size=1, max_size=14), min_size=1, max_size=30))
+def test_merging_in_rounds_is_merging_one_by_one(words):
+    vocabulary = encoders_vocabulary()
+    coded = [w.encode() for w in words]
+    size = np.fromiter(map(len, coded), np.int64, len(coded))
+    ids, sizes = vocabulary.ranks.merge(vocabulary.first[np.frombuffer(b"".join(coded), np.uint8)], size)
+    want = [vocabulary.merged("".join(chr(SHOWN.get(b, b)) for b in w)) for w in coded]
+    assert [r.tolist() for r in np.split(ids, np.cumsum(sizes)[:-1])] == want
+
+
+@functools.cache
+def encoders_vocabulary():
+    return bpe.Vocabulary(PATH)
+
+
+def test_frequent_pieces(spark):
+    counts = spark.createDataFrame([(bytes([65 + i]), 2 ** i) for i in range(20)], "piece binary, n long")
+    assert bpe.frequent_pieces(counts, 5) == [bytes([65 + i]) for i in range(15, 20)]
+    assert bpe.frequent_pieces(counts, 0) == [] and len(bpe.frequent_pieces(counts, 99)) == 20
+
+
 def test_equal_suffixes_are_one(tmp_path):
     stems = [f"{a}{b}".encode() for a in "abcdefgh" for b in "abcdefgh"]
     words = sorted(s + e for s in stems for e in (b"ing", b"ed", b"s", b""))
