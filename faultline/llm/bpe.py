@@ -24,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm.common import arrow_map, cut, default_tokenizer, held, reachable, shared_folder
+from faultline.llm.common import arrow_map, cut, default_tokenizer, held, least_bin, reachable, shared_folder
 from faultline.llm.encoding import SIGNS, load
 from faultline.llm.lexicon import Transducer, compile_words
 
@@ -319,7 +319,7 @@ class Encoder:
         size = np.zeros(len(place), np.int64)
         size[unseen] = np.fromiter(map(len, merged), np.int64, len(merged))
         of_words, size[words] = self.vocabulary.ranks.merge(
-            self.vocabulary.first[pieces.signs[_spans(pieces.start[words], pieces.length[words])]], pieces.length[words])
+            self.vocabulary.first[pieces.signs[spans(pieces.start[words], pieces.length[words])]], pieces.length[words])
         if len(seen):
             first = self.lexicon.id_start[place[seen]].astype(np.int64)
             size[seen] = self.lexicon.id_start[place[seen] + 1] - first
@@ -330,9 +330,9 @@ class Encoder:
         ids = np.empty(int(by_part.sum() + behind.sum()), np.int32)
         at = np.cumsum(size) - size + earlier[pieces.part]
         if len(seen):
-            ids[_spans(at[seen], size[seen])] = self.lexicon.ids[_spans(first, size[seen])]
-        ids[_spans(at[words], size[words])] = of_words
-        ids[_spans(at[unseen], size[unseen])] = np.fromiter((i for m in merged for i in m), np.int32)
+            ids[spans(at[seen], size[seen])] = self.lexicon.ids[spans(first, size[seen])]
+        ids[spans(at[words], size[words])] = of_words
+        ids[spans(at[unseen], size[unseen])] = np.fromiter((i for m in merged for i in m), np.int32)
         ids[(np.cumsum(by_part) + earlier)[behind]] = special[behind]
         return ids, np.fromiter((p.number for p in parts), np.int64, len(parts)), by_part + behind
 
@@ -345,7 +345,7 @@ class Encoder:
         return np.concatenate(rows), counts
 
 
-def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start, start + 1, ... of each span, behind each other."""
     before = np.cumsum(size) - size
     return np.arange(int(size.sum())) + np.repeat(start - before, size)
@@ -385,15 +385,7 @@ def frequent_pieces(counts: DataFrame, most: int) -> list[bytes]:
     The limit comes from a histogram of counts, in bins of an eighth of a doubling, so that only what is chosen is brought together.
     """
     counts = cut(counts.withColumn("bin", F.floor(F.log2("n") * 8)))
-    bins = sorted(((r["bin"], r["pieces"]) for r in counts.groupBy("bin").agg(F.count(F.lit(1)).alias("pieces")).collect()), reverse=True)
-    limit, total = None, 0
-    for number, pieces in bins:
-        total += pieces
-        if total > most:
-            break
-        limit = number
-    if limit is None:
-        return []
+    limit = least_bin(counts, "bin", most)
     return sorted(bytes(r["piece"]) for r in counts.filter(F.col("bin") >= limit).select("piece").collect())
 
 

@@ -47,7 +47,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic").filter(~toxicity.held_out())
-    model = toxicity.train(docs.join(labels, "doc_id"))
+    model = toxicity.train(toxicity.labelled(docs, labels), seeds=())
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 

@@ -8,11 +8,12 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from faultline.session import cut, shared_folder
 
-__all__ = ["arrow_map", "columns_of", "cut", "default_tokenizer", "held", "reachable", "shared_folder", "table"]
+__all__ = ["arrow_map", "columns_of", "cut", "default_tokenizer", "held", "least_bin", "reachable", "shared_folder", "table"]
 
 #: Arrow batches end at so many rows or bytes, whichever comes first: texts can be long.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4096", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
@@ -69,6 +70,21 @@ def held(key: tuple, make: Callable[[], object]):
     return _held[key]
 
 
+def least_bin(df: DataFrame, bin: str, most: int) -> int:
+    """The least bin so that ``df`` has ``most`` rows at most in it and above; beyond the largest if even that one has more.
+
+    Only a count per bin is brought together, so ``bin`` should have few values; ``df`` should be stored.
+    """
+    counts = sorted(((r[0], r[1]) for r in df.groupBy(bin).agg(F.count(F.lit(1))).collect()), reverse=True)
+    least, total = (counts[0][0] + 1 if counts else 0), 0
+    for number, rows in counts:
+        total += rows
+        if total > most:
+            break
+        least = number
+    return least
+
+
 def columns_of(batch: pa.RecordBatch, *names: str) -> list[list]:
     """Columns of a batch as Python lists."""
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]

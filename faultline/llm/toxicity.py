@@ -1,24 +1,26 @@
 """Toxicity scores from a lexicon matched with misspellings, and the words around each match.
 
-A Levenshtein automaton of every term walks the trie of the lexicon at once: its states are sets of
-(trie node, edits so far), made when first reached and kept.  Each match is weighed by its
-surroundings: words of quotation or quotation marks near it make it a mention, words of address
-make it abuse.  A logistic model over a handful of sums per document gives the score; it and
-the learned part of the lexicon are fitted on a bounded sample of labelled documents.
+The lexicon is learned from all labelled documents: words, and beginnings of words that share a stem,
+whose share among toxic documents is far beyond chance.  Its terms are nodes of one trie.  A Levenshtein
+automaton of every term walks the trie at once: its states are sets of (trie node, edits so far), made when
+first reached and kept.  Each match is weighed by its surroundings: words of quotation or quotation marks
+near it make it a mention, words of address make it abuse.  A logistic model over a handful of sums per
+document gives the score; only its weights are fitted on a bounded sample.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import arrow_map, columns_of, cut, reachable
+from faultline.llm.common import arrow_map, columns_of, cut, least_bin, reachable
 
-#: Common English insults (plain words), before anything is learned.
+#: Common English insults (plain words), for use without labels.
 SEED_TERMS = ("bastard", "clown", "coward", "creep", "degenerate", "disgusting", "dumb", "fool", "freak", "garbage", "idiot", "imbecile",
               "jerk", "liar", "loser", "moron", "parasite", "pathetic", "pervert", "scum", "sleazy", "stupid", "trash", "vermin", "worthless")
 #: Words that report what others said, and words of address, in the languages of the corpus.
@@ -30,10 +32,22 @@ EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~“”«»„‘
 LEET = str.maketrans("013457@$", "oieastas")
 #: Words on each side of a match that are looked at.
 AROUND = 4
-MEMORY, LONGEST = 300_000, 40
-FEATURES = ("exact", "misspelled", "mentioned", "terms", "addressed")
+#: Bytes of words that a worker remembers, and entries of automaton states.
+MEMORY, ENTRIES = 24 << 20, 300_000
+#: Marks of documents (12 bytes each) that are sent to every executor.
+SENT_LABELS = 1_000_000
+#: Letters of a stem, least and most, and most of a whole term.
+STEM, LONGEST = (4, 24), 64
+#: A term stands in three toxic documents at least, at a share that is this many times that in others, and the
+#: likelihood ratio of its counts exceeds this value (about four standard deviations), whatever the size of the corpus.
+LEAST_TOXIC, RATIO, BEYOND_CHANCE = 3, 4, 16.0
+#: A node below another one is a term of its own if its log odds are higher by this much.
+CLEARER = 1.0
+#: Log odds of terms without counts.
+GIVEN = 3.0
+FEATURES = ("exact", "misspelled", "mentioned", "terms", "addressed", "evidence")
 #: Means and precision of the prior of the weights, which carry what too few labels cannot teach.
-PRIOR = np.array([-3.0, 3.0, 1.5, 0.2, 0.5, 0.5])
+PRIOR = np.array([-4.0, 0.8, 0.5, 0.0, 0.2, 0.3, 0.6])
 STRENGTH = 1.0
 
 
@@ -43,29 +57,46 @@ def edits_for(term: str) -> int:
 
 
 class Automaton:
-    """All terms with their misspellings, walked one sign at a time."""
+    """All terms with their misspellings, walked one sign at a time; stems match every word that begins with them.
 
-    def __init__(self, terms: list[str]):
-        self.terms = terms
+    ``limits`` are the edits allowed for each term; stems are matched as they are.  Indices of stems go on
+    behind those of the terms.
+    """
+
+    def __init__(self, terms: list[str], stems: list[str] = (), limits: list[int] | None = None):
+        self.limits = [edits_for(t) for t in terms] if limits is None else limits
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[int | None] = [None]
+        self.stems: list[int | None] = [None]
         self.allowed = [0]
-        for index, term in enumerate(terms):
-            node = 0
-            self.allowed[0] = max(self.allowed[0], edits_for(term))
-            for sign in term:
-                if sign not in self.children[node]:
-                    self.children[node][sign] = len(self.children)
-                    self.children.append({})
-                    self.ends.append(None)
-                    self.allowed.append(0)
-                node = self.children[node][sign]
-                self.allowed[node] = max(self.allowed[node], edits_for(term))
-            self.ends[node] = index
+        for index, (term, limit) in enumerate(zip(terms, self.limits, strict=True)):
+            self.ends[self._path(term, limit)] = index
+        for index, stem in enumerate(stems, len(terms)):
+            self.stems[self._path(stem, 0)] = index
+        self._forget()
+
+    def _path(self, term: str, limit: int) -> int:
+        node = 0
+        self.allowed[0] = max(self.allowed[0], limit)
+        for sign in term:
+            if sign not in self.children[node]:
+                self.children[node][sign] = len(self.children)
+                self.children.append({})
+                self.ends.append(None)
+                self.stems.append(None)
+                self.allowed.append(0)
+            node = self.children[node][sign]
+            self.allowed[node] = max(self.allowed[node], limit)
+        return node
+
+    def _forget(self) -> None:
+        """Begin without states."""
+        self.entries = 0
         self.numbers: dict[frozenset, int] = {}
         self.states: list[dict[int, int]] = []
         self.moves: list[dict[str, int]] = []
         self.found: list[tuple[int, int] | None] = []
+        self.begun: list[int | None] = []
         self.first = self._number(self._closed({0: 0}))
 
     def _closed(self, state: dict[int, int]) -> dict[int, int]:
@@ -86,9 +117,11 @@ class Automaton:
             self.numbers[key] = len(self.states)
             self.states.append(state)
             self.moves.append({})
-            hits = [(e, self.ends[n]) for n, e in state.items() if self.ends[n] is not None and e <= edits_for(self.terms[self.ends[n]])]
+            self.entries += 1 + len(state)
+            hits = [(e, self.ends[n]) for n, e in state.items() if self.ends[n] is not None and e <= self.limits[self.ends[n]]]
             best = min(hits, default=None)
             self.found.append(None if best is None else (best[1], best[0]))
+            self.begun.append(next((self.stems[n] for n, e in state.items() if not e and self.stems[n] is not None), None))
         return self.numbers[key]
 
     def _move(self, number: int, sign: str) -> int:
@@ -106,34 +139,72 @@ class Automaton:
         return target
 
     def match(self, word: str) -> tuple[int, int] | None:
-        """The nearest term within its edits, and the edits; ties to the first term."""
-        at, moves = self.first, self.moves
+        """The nearest term within its edits, and the edits; ties to the first term.
+
+        A word that begins with a stem matches the longest such stem, unless a whole term matches as it is.
+        """
+        if self.entries > ENTRIES:
+            self._forget()
+        at, moves, begun = self.first, self.moves, self.begun
+        stem = None
         for sign in word:
             after = moves[at].get(sign)
             at = self._move(at, sign) if after is None else after
             if at < 0:
-                return None
-        return self.found[at]
+                break
+            if begun[at] is not None:
+                stem = begun[at]
+        found = self.found[at] if at >= 0 else None
+        if stem is not None and (found is None or found[1]):
+            return stem, 0
+        return found
+
+
+class Counts(NamedTuple):
+    """Documents of each label, and how often each term stands in them."""
+
+    toxic: int
+    others: int
+    terms: tuple[tuple[int, int] | None, ...]
+
+    def evidence(self, term: int, label: int | None = None) -> float:
+        """Log odds of a term; ``label`` is that of the document it is asked for, which then does not count itself."""
+        counts = self.terms[term]
+        if counts is None:
+            return GIVEN
+        bad, good = counts
+        toxic, others = self.toxic, self.others
+        if label is not None:
+            bad, toxic, good, others = (bad - label, toxic - label, good - (1 - label), others - (1 - label))
+        return float(np.log((max(bad, 0) + 0.5) / (toxic + 1)) - np.log((max(good, 0) + 0.5) / (others + 1)))
 
 
 class Lexicon(dict):
     """word -> (term, edits) or None, remembering words; ``ordinary`` are words that only look like terms."""
 
-    def __init__(self, terms: list[str], ordinary: frozenset[str] = frozenset()):
+    def __init__(self, terms: list[str], ordinary: frozenset[str] = frozenset(), stems: list[str] = (), limits: list[int] | None = None,
+                 counts: Counts | None = None):
         super().__init__()
-        self.automaton, self.ordinary = Automaton(terms), ordinary
+        self.automaton, self.ordinary, self.size = Automaton(terms, stems, limits), ordinary, 0
+        self.counts = counts or Counts(0, 0, (None,) * (len(terms) + len(stems)))
 
     def __missing__(self, word: str) -> tuple[int, int] | None:
         core = word.strip(EDGES)
         found = None
-        if core and core not in self.ordinary and len(core) <= 64:
+        if core:
             found = self.automaton.match(core)
             if found is None and not core.isalpha():
                 found = self.automaton.match(core.translate(LEET))
                 found = found and (found[0], max(1, found[1]))
-        if len(word) <= LONGEST:
-            if len(self) >= MEMORY:
+            if found and found[1] and core in self.ordinary:
+                found = None
+        # The sizes of the objects, roughly.
+        size = 160 + 2 * len(word)
+        if size < 1000:
+            if self.size > MEMORY:
                 self.clear()
+                self.size = 0
+            self.size += size
             self[word] = found
         return found
 
@@ -146,8 +217,8 @@ def mentioned(words: list[str], at: int) -> bool:
     return any(w in REPORTING for w in near) and not any(w in ADDRESS for w in near)
 
 
-def features(text: str | None, lexicon: Lexicon) -> tuple[float, ...]:
-    """The sums of FEATURES over a whole text, damped by logarithms."""
+def features(text: str | None, lexicon: Lexicon, label: int | None = None) -> tuple[float, ...]:
+    """The sums of FEATURES over a whole text; counts are damped by logarithms, the terms' log odds are added up."""
     words = (text or "").lower().split()
     hits = [(i, m) for i, w in enumerate(words) if (m := lexicon[w])]
     sums, terms = [0, 0, 0, 0, 0], set()
@@ -159,73 +230,164 @@ def features(text: str | None, lexicon: Lexicon) -> tuple[float, ...]:
         terms.add(term)
         sums[4] += any(w.strip(EDGES) in ADDRESS for w in words[max(0, i - AROUND):i + AROUND + 1])
     sums[3] = len(terms)
-    return tuple(float(np.log1p(x)) for x in sums)
+    return (*(float(np.log1p(x)) for x in sums), sum(lexicon.counts.evidence(t, label) for t in sorted(terms)))
 
 
-def fit(rows: np.ndarray, labels: np.ndarray, steps: int = 30) -> np.ndarray:
-    """Weights of the most likely logistic model under the prior, by Newton's method."""
+def fit(rows: np.ndarray, labels: np.ndarray, shares: np.ndarray | None = None, steps: int = 60) -> np.ndarray:
+    """Weights of the most likely logistic model under the prior, by Newton's method; rows count by their ``shares``."""
     x = np.column_stack((np.ones(len(rows)), rows)) if len(rows) else np.zeros((0, len(PRIOR)))
+    shares = np.ones(len(rows)) if shares is None else shares
     weights = PRIOR.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        slope = x.T @ (p - labels) + STRENGTH * (weights - PRIOR)
-        curve = (x * (p * (1 - p))[:, None]).T @ x + STRENGTH * np.eye(len(PRIOR))
+        slope = x.T @ (shares * (p - labels)) + STRENGTH * (weights - PRIOR)
+        curve = (x * (shares * p * (1 - p))[:, None]).T @ x + STRENGTH * np.eye(len(PRIOR))
         move = np.linalg.solve(curve, slope)
-        weights -= move
+        # Halved steps far from the goal keep the method from leaping past it.
+        weights -= move * min(1.0, 2.0 / np.abs(move).max(initial=1e-30))
         if np.abs(move).max() < 1e-10:
             break
     return weights
 
 
-class ToxicityModel:
-    def __init__(self, terms: list[str], ordinary: frozenset[str], weights: np.ndarray):
-        self.terms, self.ordinary, self.weights = terms, ordinary, weights
+class ToxicityModel(NamedTuple):
+    terms: list[str]
+    ordinary: frozenset[str]
+    stems: list[str]
+    limits: list[int]
+    counts: Counts
+    weights: np.ndarray
+
+    def lexicon(self) -> Lexicon:
+        return Lexicon(self.terms, self.ordinary, self.stems, self.limits, self.counts)
 
 
-def _features(docs: DataFrame, terms: list[str], ordinary: frozenset[str]) -> DataFrame:
-    memory: list[Lexicon] = []
+def _features(docs: DataFrame, model: ToxicityModel, label: str | None = None) -> DataFrame:
+    """The features of each text; with ``label``, those of a document that does not count itself, and its label."""
+    kept = ["doc_id", *([label] if label else [])]
+    made: list[Lexicon] = []
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if not memory:
-            memory.append(Lexicon(terms, ordinary))
-        rows = [features(t, memory[0]) for t in columns_of(batch, "text")[0]]
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")),
-                                          *(pa.array(c, pa.float64()) for c in zip(*rows, strict=True))], ["doc_id", *FEATURES])
+        if not made:
+            made.append(model.lexicon())
+        columns = columns_of(batch, "text", *([label] if label else []))
+        rows = [features(*((r[0], made[0], *r[1:]))) for r in zip(*columns, strict=True)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept),
+                                          *(pa.array(c, pa.float64()) for c in zip(*rows, strict=True))], [*kept, *FEATURES])
+
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*kept).schema] + [f"{n} double" for n in FEATURES]
+    return arrow_map(docs.select(*kept, "text"), run, ", ".join(fields))
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) marks, stored.
+
+    Up to SENT_LABELS marks are sent to the texts; of more, the texts are sent to their marks, once.
+    """
+    marks = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select("doc_id", "toxic")
+    few = marks.count() <= SENT_LABELS
+    return cut(docs.select("doc_id", "text").join(F.broadcast(marks) if few else marks, "doc_id"))
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, " + ", ".join(f"{n} double" for n in FEATURES))
 
+def word_counts(rows: DataFrame) -> DataFrame:
+    """word, and the toxic (bad) and other (good) documents of ``rows`` that hold it."""
+    words = F.array_distinct(F.transform(F.split(F.lower("text"), "\\s+"), lambda w: F.btrim(w, F.lit(EDGES))))
+    return (rows.select("toxic", F.explode(words).alias("word")).filter("word <> ''").groupBy("word")
+            .agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")))
 
-def train(labelled: DataFrame, most_rows: int = 4000, most_terms: int = 200) -> ToxicityModel:
-    """A model from about ``most_rows`` labelled rows (doc_id, text, toxic), or all if there are fewer.
 
-    Rows are chosen by a hash of the id, before texts are read or moved.
+def telling_nodes(counts: DataFrame, toxic: int, others: int, most: int) -> list:
+    """Words and beginnings of words (node, whole, bad, good) that tell toxic documents from others, ``most`` at most.
 
-    A word becomes a term if it stands in far more toxic documents than chance and seldom in
-    others; a word that only resembles a term but stands in other documents is ordinary.
-    Without labels the seed terms and the prior alone decide.
+    The counts of a beginning are those of the words that it begins.  Of more nodes than ``most`` those of the
+    highest likelihood ratio are taken.
+    """
+    word, (least, longest) = F.col("word"), STEM
+    begins = F.when(F.length(word) >= least, F.transform(
+        F.sequence(F.lit(least), F.least(F.length(word), F.lit(longest))), lambda k: F.struct(word.substr(F.lit(1), k).alias("node"), F.lit(False).alias("whole"))))
+    whole = F.array(F.struct(word.alias("node"), F.lit(True).alias("whole")))
+    worded = counts.filter((F.length(word) <= LONGEST) & word.rlike("^\\p{L}{3,}$"))
+    nodes = (worded.select("bad", "good", F.explode(F.concat(whole, F.coalesce(begins, F.array()))).alias("x")).groupBy("x.node", "x.whole")
+             .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
+    bad, good, share = F.col("bad"), F.col("good"), toxic / max(1, toxic + others)
+
+    def part(n, of: float):
+        return F.when(n > 0, n * F.log(n / ((bad + good) * of))).otherwise(0.0)
+
+    beyond = 2 * (part(bad, max(share, 1e-12)) + part(good, max(1 - share, 1e-12)))
+    passed = nodes.filter((bad >= LEAST_TOXIC) & (bad * F.lit(others) >= F.lit(RATIO * toxic) * good)).withColumn("beyond", beyond)
+    passed = cut(passed.filter(F.col("beyond") > BEYOND_CHANCE).withColumn("bin", F.floor(F.log2("beyond") * 16)))
+    return passed.filter(F.col("bin") >= least_bin(passed, "bin", most)).select("node", "whole", "bad", "good").collect()
+
+
+def chosen(nodes: list, toxic: int, others: int) -> tuple[dict[str, tuple[int, int]], dict[str, tuple[int, int]]]:
+    """Terms and stems with their counts: of a chain of equal counts the longest, below a term only what is clearer."""
+    counts = {(r["node"], r["whole"]): (r["bad"], r["good"]) for r in nodes}
+
+    def odds(at: tuple[int, int]) -> float:
+        return Counts(toxic, others, (at,)).evidence(0)
+
+    by_parent = {(n if w else n[:-1], c) for (n, w), c in counts.items()}
+    terms, stems = {}, {}
+    for (node, whole), c in sorted(counts.items(), key=lambda x: (len(x[0][0]), x[0])):
+        if not whole and (node, c) in by_parent:
+            continue
+        above = [odds(stems[node[:k]]) for k in range(STEM[0], len(node) + whole) if node[:k] in stems]
+        if not above or odds(c) > max(above) + CLEARER:
+            (terms if whole else stems)[node] = c
+    return terms, stems
+
+
+def train(labelled: DataFrame, most_rows: int = 4000, most_terms: int = 8000, most_ordinary: int = 20_000,
+          seeds: tuple[str, ...] = SEED_TERMS) -> ToxicityModel:
+    """A model from labelled rows (doc_id, text, toxic; read several times, so they should be stored): the lexicon from all, the weights from about ``most_rows``.
+
+    Terms are the words and stems of :func:`telling_nodes` (``most_terms`` nodes at most) and ``seeds``.  Words that
+    match a term only with edits but stand in other documents are ordinary: the ``most_ordinary`` most
+    frequent are listed, and a term near any further one is matched with fewer edits.  Rows of the sample are
+    chosen by a hash of the id, as many of each label, and weighed to stand for all.  Without labels the
+    seeds and the prior alone decide.  Rows with a null label or id teach nothing.
     """
     reachable(labelled.sparkSession)
-    rows = labelled.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-    rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(rows.count(), 1))) < most_rows)
-    sample = cut(rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic"))
-    words = F.array_distinct(F.transform(F.split(F.lower("text"), "\\s+"), lambda w: F.btrim(w, F.lit(EDGES))))
-    counts = (sample.select("toxic", F.explode(words).alias("word")).filter("word <> ''").groupBy("word")
-              .agg(F.sum(F.col("toxic").cast("long")).alias("bad"), F.sum(1 - F.col("toxic").cast("long")).alias("good")))
-    counts = cut(counts)
-    both = F.col("bad") + F.col("good")
-    learned = (counts.filter((F.length("word").between(3, 24)) & (F.col("bad") >= 4 * F.col("good")) & ((F.col("bad") - F.col("good")) ** 2 >= 25 * both))
-               .filter(F.col("word").rlike("^\\p{L}+$")).orderBy(F.desc("bad"), "word").limit(most_terms).collect())
-    terms = sorted({*SEED_TERMS, *(r["word"] for r in learned)})
-    lookup = Lexicon(terms)
+    rows = labelled.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(
+        "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("long").alias("toxic"))
+    of_label = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    toxic, others = of_label.get(1, 0), of_label.get(0, 0)
+    counts = cut(word_counts(rows))
+    told, stems = chosen(telling_nodes(counts, toxic, others, most_terms) if toxic and others else [], toxic, others)
+    terms = sorted({*told, *seeds})
+    known = Counts(toxic, others, (*(told.get(t) for t in terms), *stems.values()))
+    model = ToxicityModel(terms, frozenset(), list(stems), [edits_for(t) for t in terms], known, PRIOR)
+    model = _without_ordinary(model, counts, most_ordinary)
+    half = max(1, most_rows // 2)
+    chance = F.pmod(F.xxhash64("doc_id"), F.when(F.col("toxic") == 1, max(toxic, 1)).otherwise(max(others, 1)))
+    sample = _features(rows.filter(chance < half), model, "toxic").orderBy("doc_id", *FEATURES).toPandas()
+    labels = sample["toxic"].to_numpy(float)
+    kept = {1: max(1, (labels == 1).sum()), 0: max(1, (labels == 0).sum())}
+    shares = np.where(labels == 1, toxic / kept[1], others / kept[0]) * (len(sample) / max(1, toxic + others))
+    return model._replace(weights=fit(sample[list(FEATURES)].to_numpy(float), labels, shares))
+
+
+def _without_ordinary(model: ToxicityModel, counts: DataFrame, most: int) -> ToxicityModel:
+    """The model with its ordinary words, and with fewer edits for terms near ordinary words that are not listed."""
+    lookup = model.lexicon()
 
     def resembling(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        yield batch.filter(pa.array([lookup[w] is not None for w in columns_of(batch, "word")[0]], pa.bool_()))
+        words, bad, good = columns_of(batch, "word", "bad", "good")
+        near = [(w, m[0], m[1], g) for w, b, g in zip(words, bad, good, strict=True)
+                if b * model.counts.others < RATIO * g * model.counts.toxic and (m := lookup[w]) and m[1]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*near)) or [[]] * 4, NEAR.values(), strict=True)], list(NEAR))
+
+    near = cut(arrow_map(counts, resembling, "word string, term int, edits int, good long").withColumn("bin", F.floor(F.log2("good") * 8)))
+    least = least_bin(near, "bin", most)
+    listed = frozenset(r["word"] for r in near.filter(F.col("bin") >= least).select("word").collect())
+    limits = list(model.limits)
+    for term, edits in near.filter(F.col("bin") < least).select("term", "edits").distinct().collect():
+        limits[term] = min(limits[term], edits - 1)
+    return model._replace(ordinary=listed - {*model.terms}, limits=limits)
+
 
-    alike = arrow_map(counts.filter(F.col("bad") < 4 * F.col("good")).select("word"), resembling, "word string")
-    # At most the misspellings of the terms, of which a sample of bounded size holds a bounded number.
-    ordinary = frozenset(r["word"] for r in alike.collect()) - set(SEED_TERMS)
-    found = _features(sample, terms, ordinary).join(sample.select("doc_id", "toxic"), "doc_id").orderBy("doc_id").toPandas()
-    return ToxicityModel(terms, ordinary, fit(found[list(FEATURES)].to_numpy(float), found["toxic"].to_numpy(float)))
+NEAR = {"word": pa.string(), "term": pa.int32(), "edits": pa.int32(), "good": pa.int64()}
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -238,7 +400,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     total = F.lit(weights[0])
     for name, weight in zip(FEATURES, weights[1:], strict=True):
         total = total + F.col(name) * weight
-    scored = _features(docs, model.terms, model.ordinary).select("doc_id", (1 / (1 + F.exp(-total))).alias("score"))
+    scored = _features(docs, model).select("doc_id", (1 / (1 + F.exp(-total))).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -155,3 +156,62 @@ def test_long_runs_and_long_stretches(monkeypatch):
     lots = pieces.Lots(0.1, 1)
     runs = [next(lots.later(9, place, first)) for place, first in enumerate(lots.first(9, 4000))]
     assert abs(sum(runs) / 4000 - 9) < 0.6
+
+
+def stretches_of(text: str) -> list[str]:
+    """Words with the spaces before them, and line ends, in order; a space is put before the text."""
+    if not text:
+        return []
+    out, lead = [], " "
+    for line in text.split("\n"):
+        if "  " in line or line[:1] == " " or line[-1:] == " ":
+            out += re.findall(" +[^ ]*|[^ ]+", lead + line)
+        elif line or lead:
+            head, *rest = line.split(" ")
+            out.append(lead + head)
+            out += [" " + word for word in rest]
+        out.append("\n")
+        lead = ""
+    out.pop()
+    return out
+
+
+@pytest.mark.parametrize(("dropout", "block"), [(0.1, 1 << 20), (0.5, 7), (0.9, 40)])
+def test_rounds_take_the_choices_of_a_plain_agenda(monkeypatch, dropout, block):
+    monkeypatch.setattr(pieces, "BLOCK", block)
+    encoder = pieces.Encoder(PIECE, dropout, 11)
+    signs = st.sampled_from(["the", "cat", " ", " ", "  ", "\n", "segment", "ation", "é", "ß", "日", "🙂", "▁", "\0", "a", "tion", "1", "word" * 20])
+
+    @settings(max_examples=100, deadline=None)
+    @given(st.lists(st.lists(signs, max_size=25).map("".join), min_size=1, max_size=6))
+    def check(texts):
+        got = encoder.batch(texts, list(range(len(texts))))
+        for doc_id, (text, coded) in enumerate(zip(texts, got, strict=True)):
+            key, place, want = encoder.key(doc_id), 0, b""
+            for part in stretches_of(text):
+                if part == "\n":
+                    want += encoder.line_end[4:]
+                else:
+                    runs = encoder.lots.later(key, place, int(encoder.lots.first(key, place + 1)[place]))
+                    want += encoder.model.encode(part, runs)[1]
+                    place += 1
+            assert coded == want
+
+    check()
+
+
+def test_distinct_stretches():
+    text = "the cat and the dog and a cat"
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    start = np.array([0, *(i for i, c in enumerate(text) if c == " ")])
+    of, first = pieces._distinct(text, points, start, np.diff(np.append(start, len(text))))
+    words = [text[a:b] for a, b in zip(start, [*start[1:], len(text)])]
+    assert [words[i] for i in first[of]] == words and len(first) == len(set(words))
+
+
+def test_pieces_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(pieces, "MEMORY", 20_000)
+    encoder, plain = pieces.Encoder(PIECE, 0.2, 1), pieces.Encoder(PIECE, 0.2, 1)
+    texts = [" ".join(f"w{i * k}" for k in range(200)) for i in range(20)]
+    got = [encoder(t, i) for i, t in enumerate(texts)]
+    assert len(encoder.known) < 400 and got == plain.batch(texts, list(range(20)))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -52,3 +55,61 @@ def test_learning(spark, docs):
     assert "blorpface" in model.terms and "bloopface" in model.ordinary
     got = {r.doc_id: r.predicted for r in toxicity.score(docs("a blorpface", "a bloopface"), model).collect()}
     assert got == {0: 1, 1: 0}
+
+
+STEMMED = toxicity.Automaton(["idiot", "scummy"], ["scum", "idio", "blorp"])
+
+
+def test_stems_match_words_that_begin_with_them():
+    matches = {w: STEMMED.match(w) for w in ("scum", "scums", "scummy", "scumny", "idiot", "idiotic", "idjot", "blorpxyz", "blor", "blirpx", "scu")}
+    assert matches == {"scum": (2, 0), "scums": (2, 0), "scummy": (1, 0), "scumny": (2, 0), "idiot": (0, 0), "idiotic": (3, 0), "idjot": (0, 1),
+                       "blorpxyz": (4, 0), "blor": None, "blirpx": None, "scu": None}
+    assert STEMMED.match("blorp" + "x" * 1_000_000) == (4, 0) and STEMMED.match("y" * 1_000_000) is None
+
+
+def test_forgotten_states_change_nothing(monkeypatch):
+    words = [a + b for a in ("idi", "mor", "wor", "scu", "stu", "x") for b in ("ot", "on", "m", "pid", "thless", "thles", "")]
+    want = [toxicity.Automaton(TERMS).match(w) for w in words]
+    monkeypatch.setattr(toxicity, "ENTRIES", 0)
+    small = toxicity.Automaton(TERMS)
+    assert [small.match(w) for w in words] == want
+
+
+def test_stems_are_learned_from_few_labels(spark, docs):
+    """One toxic document in a hundred, each with other endings of one stem, in no known language."""
+    endings = ["a", "es", "isch", "ona", "uk", "ere", "iff", "olt", "arg", "ip", "onk", "ett"]
+    bad = [f"das hier ist gnarv{e} und text {i}" for i, e in enumerate(endings)]
+    good = [f"das hier ist {'gnar' * (i % 2)}gut und text {i}" for i in range(1200)]
+    table = docs(*bad, *good).selectExpr("*", "CAST(doc_id < 12 AS INT) AS toxic")
+    model = toxicity.train(table, seeds=())
+    assert model.stems == ["gnarv"] and not model.terms
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs("noch ein gnarvolo", "ein gnarr", "ein gnar"), model).collect()}
+    assert got == {0: 1, 1: 0, 2: 0}
+
+
+def test_unlisted_ordinary_words_lower_the_edits(docs):
+    bad = [f"a blorpface {i}" for i in range(60)]
+    good = [f"a bloopface and glorpface {i}" for i in range(120)]
+    table = docs(*bad, *good).selectExpr("*", "CAST(doc_id < 60 AS INT) AS toxic")
+    model = toxicity.train(table, most_ordinary=0, seeds=())
+    assert model.terms == ["blorpface"] and model.limits == [0] and not model.ordinary
+    assert toxicity.train(table, seeds=()).limits == [2]
+
+
+def test_labels_and_ids_may_be_null(spark):
+    rows = [(None, "bad word", 1), (1, "bad word", None), (2, None, 1), (3, "fine", 0), (3, "fine", 0)]
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), seeds=())
+    assert not model.terms and model.counts[:2] == (1, 2)
+
+
+GIVEN = Path("/root/testdata/sf0.1")
+
+
+@pytest.mark.skipif(not GIVEN.exists(), reason="no test tables")
+def test_held_out_labels(spark):
+    from faultline.llm import catalog
+
+    labels = spark.read.parquet(f"{GIVEN}/labels.parquet")
+    rows = catalog.op7_toxicity(spark, str(GIVEN)).filter("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r.toxic, r.predicted): r["count"] for r in rows}
+    assert n[1, 1] >= 0.85 * (n[1, 1] + n[1, 0]) and n.get((0, 1), 0) <= 0.01 * n[0, 0]
