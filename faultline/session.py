@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,30 +42,35 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-#: Tables that ``cut`` has written and nobody has removed yet.
-_tables: list[str] = []
+#: Where the tables that ``cut`` writes are noted, if anybody asks for that.
+_notes: ContextVar[list[str] | None] = ContextVar("notes", default=None)
+
+
+@contextmanager
+def noted_tables() -> Iterator[list[str]]:
+    """The tables that ``cut`` writes for the caller inside the block; those of other threads are not among them."""
+    paths: list[str] = []
+    before = _notes.set(paths)
+    try:
+        yield paths
+    finally:
+        _notes.reset(before)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, as a table in the shared folder, and go on from that table."""
     path = f"{shared_folder(df.sparkSession)}/faultline-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _tables.append(path)
+    if (notes := _notes.get()) is not None:
+        notes.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut_so_far() -> list[str]:
-    """The tables written by ``cut`` in this program and not removed."""
-    return list(_tables)
-
-
-def remove_tables(spark: SparkSession, paths: list[str]) -> None:
+def remove_tables(spark: SparkSession, paths: Iterable[str]) -> None:
     """Delete tables written by ``cut``, once no result that reads them is still to be computed."""
     for path in paths:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-        if path in _tables:
-            _tables.remove(path)
 
 
 def spread(scan: DataFrame) -> DataFrame:
