@@ -9,13 +9,14 @@ from __future__ import annotations
 import functools
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm import jaccard, language, packing, pii, quality
 from faultline.llm.common import cut, reachable, shared_folder, table
-from faultline.session import cut_so_far, remove_tables
+from faultline.session import noted_tables, remove_tables
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Below this mean probability no language is accepted.
@@ -24,18 +25,18 @@ LEAST_LANGUAGE_SCORE = 0.35
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
-#: Intermediate tables of the stage before.
-_passed: list[str] = []
+#: Intermediate tables of the stage that this thread ran before.
+_passed: ContextVar[tuple[str, ...]] = ContextVar("passed", default=())
 
 
 def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     """A stage that first removes the intermediate tables of the one before, whose result is stored by then."""
     @functools.wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        remove_tables(spark, _passed)
-        before = set(cut_so_far())
-        result = work(spark, docs, sf_dir)
-        _passed[:] = [path for path in cut_so_far() if path not in before]
+        remove_tables(spark, _passed.get())
+        with noted_tables() as written:
+            result = work(spark, docs, sf_dir)
+        _passed.set(tuple(written))
         return result
 
     return run_stage
