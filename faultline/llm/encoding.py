@@ -16,8 +16,10 @@ import struct
 
 import numpy as np
 
-#: Stretches in a worker's memory, and as many in its old one.
-MEMORY = 500_000
+from faultline.llm.common import held
+
+#: Bytes of stretches and ids in a worker's memory, and as many in its old one.
+MEMORY = 64 << 20
 #: Longer stretches are encoded each time.
 LONGEST = 48
 
@@ -65,7 +67,7 @@ class Stretches(dict):
 
     def __init__(self, tokenizer, before: str = "", lower: bool = False):
         super().__init__()
-        self.tokenizer, self.before, self.lower, self.old = tokenizer, before, lower, {}
+        self.tokenizer, self.before, self.lower, self.old, self.size = tokenizer, before, lower, {}, 0
 
     def merged(self, pretoken: str) -> bytes:
         signs = pretoken.encode().decode("latin-1").translate(SIGNS)
@@ -84,8 +86,10 @@ class Stretches(dict):
         if packed is None:
             packed = self.encode(stretch)
         if len(stretch) <= LONGEST:
-            if len(self) >= MEMORY:
-                self.old = dict(self)
+            # The sizes of the objects, roughly.
+            self.size += 200 + len(stretch) + len(packed)
+            if self.size > MEMORY:
+                self.old, self.size = dict(self), 0
                 self.clear()
             self[stretch] = packed
         return packed
@@ -138,11 +142,6 @@ class WordLevel:
         return np.cumsum(size + 1) - 1, np.cumsum(ids) // 4
 
 
-_encoders: dict[tuple[type, str], object] = {}
-
-
 def encoder(kind: type, path: str):
     """The worker's encoder of a file."""
-    if (kind, path) not in _encoders:
-        _encoders[kind, path] = kind(path)
-    return _encoders[kind, path]
+    return held((kind, path), lambda: kind(path))

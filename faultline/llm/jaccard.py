@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import arrow_map, columns_of, cut, reachable
+from faultline.llm.common import arrow_map, columns_of, cut, held, reachable
 from faultline.llm.components import components
 
 U = np.uint64
@@ -48,7 +48,7 @@ REGION, PIVOTS = 4096, 16
 AS_ONE = 32768
 #: Rows up to which a list of ids is sent to every executor (16 MB); beyond it, it is shuffled.
 SENT_IDS = 1_000_000
-_WORDS = 400_000
+_WORDS = 200_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -68,9 +68,6 @@ class _Hashes(dict):
         return value
 
 
-_hashes = _Hashes()
-
-
 def shingles(text: str, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the ``width``-word shingles of a text.
 
@@ -80,7 +77,7 @@ def shingles(text: str, width: int) -> np.ndarray:
     words = text.encode().lower().split()
     if not words:
         return np.empty(0, U)
-    known = np.fromiter(map(_hashes.__getitem__, words), U, len(words))
+    known = np.fromiter(map(held((_Hashes,), _Hashes).__getitem__, words), U, len(words))
     span = min(width, len(words))
     out = np.full(len(words) - span + 1, span, U)
     for j in range(span):

@@ -20,7 +20,7 @@ from faultline.llm.common import arrow_map, columns_of, reachable
 #: Bytes in a window; byte 0 fills the last one of a text and counts for nothing.
 SPAN = 128
 #: Windows computed side by side.
-LANES = 4096
+LANES = 2048
 UNKNOWN = "und"
 PREDICTED = "doc_id long, lang_pred string, score double"
 
@@ -133,19 +133,24 @@ def windows_of(text: str) -> np.ndarray:
 def train(labelled: DataFrame, per_language: int = 300, excerpt: int = 1024, **settings) -> ByteNetwork | None:
     """A network trained on excerpts of at most ``per_language`` documents of each language.
 
-    ``labelled`` has doc_id, text and lang.  Documents are chosen by a hash of their id, and an
-    excerpt of ``excerpt`` characters by the same hash.  None if nothing is labelled.
+    ``labelled`` has doc_id, text and lang.  Documents are chosen by a hash of their id and text, equal
+    ones once, and an excerpt of ``excerpt`` characters by the same hash.  The hash is first held against the
+    rows of the language, so about four times as many as are wanted are sorted, however many there are.
+    None if nothing is labelled.
     """
     key = F.xxhash64("doc_id", "text")
     start = F.pmod(key, F.greatest(F.length("text") - excerpt, F.lit(0)) + 1) + 1
     order = Window.partitionBy("lang").orderBy("_key", "_text")
+    usable = labelled.filter(F.col("lang").isNotNull() & (F.length("text") > 0))
+    # One number per label of the network.
+    rows = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not rows:
+        return None
+    of_lang = F.create_map(*[F.lit(x) for pair in rows.items() for x in pair])[F.col("lang")]
     sample = (
-        labelled.filter(F.col("lang").isNotNull() & (F.length("text") > 0))
-        .select("lang", key.alias("_key"), F.col("text").substr(start.cast("int"), F.lit(excerpt)).alias("_text"))
-        .withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language)
+        usable.filter(F.pmod(key, of_lang) < 4 * per_language).select("lang", key.alias("_key"), F.col("text").substr(start.cast("int"), F.lit(excerpt)).alias("_text"))
+        .dropDuplicates(["lang", "_key"]).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language)
         .orderBy("lang", "_key", "_text").collect())
-    if not sample:
-        return None
     labels = sorted({r["lang"] for r in sample})
     windows = [windows_of(r["_text"]) for r in sample]
     target = np.repeat([labels.index(r["lang"]) for r in sample], [len(w) for w in windows])
