@@ -38,7 +38,7 @@ def rule_lines(files: DataFrame, rules: Sequence[Rule] = seeds.PATTERN_RULES) ->
     """One row per file, rule and line with the number of matches that start there.
 
     What is looked at more than once - the lower-cased text, the mark, the
-    finds, the names of request values - is a column of its own, so that it is
+    finds, the noted statements - is a column of its own, so that it is
     computed once and inside generated code; all steps stay in the task that
     reads the file.
     """
@@ -47,26 +47,25 @@ def rule_lines(files: DataFrame, rules: Sequence[Rule] = seeds.PATTERN_RULES) ->
     texts = texts.select(
         "*", F.when(lang.isNotNull(), F.lower("content")).alias("lowered"),
         matching.mark_of(content).alias("mark"))
-    with_taint = syntax.TAINT in rules
-    if with_taint:
-        texts = texts.select("*", F.when(lang == "py", syntax.request_names(content)).alias("names"))
+    with_syntax = [r for r in SYNTAX_RULES if r in rules]
+    if with_syntax:
+        texts = texts.select("*", F.when(lang == "py", syntax.statements(content)).alias("noted"))
 
     def of_language(name: str) -> Column:
         return F.array(*[
             matching.find_all(content, F.col("lowered"), mark, r, i) for i, r in enumerate(rules)
-            if r.lang == name and r != syntax.TAINT])
+            if r.lang == name and r not in SYNTAX_RULES])
 
     routed = F.when(lang == "py", of_language("py")).when(lang == "js", of_language("js"))
     finds = F.array_compact(F.concat(
         F.coalesce(routed, F.array()).cast(matching.FINDS), of_language("any").cast(matching.FINDS)))
     columns = [finds.alias("finds")]
-    if with_taint:
-        returned = syntax.returned_texts(content, F.col("names"), mark, rules.index(syntax.TAINT))
-        columns += [returned.alias("returned"), F.col("names")]
+    if with_syntax:
+        columns.append(syntax.statement_hits(F.col("noted"), content, rules).alias("noted_hits"))
     found = texts.select("project_id", "file_path", "mark", *columns)
     hits = matching.line_hits(F.col("finds"), mark)
-    if with_taint:
-        hits = F.concat(hits, syntax.reflected_values(F.col("returned"), F.col("names"), mark))
+    if with_syntax:
+        hits = F.concat(hits, F.col("noted_hits"))
     return found.select("project_id", "file_path", F.inline(hits))
 
 

@@ -58,15 +58,20 @@ def silent_except(spark, sf_dir):
     return rules.rule_matches(fixtures.files(spark, sf_dir), (syntax.SUPPRESSION,)).select(*PLACE)
 
 
+# Patterns of the check's own, one per line of text.
+REQUEST_LINE = (r"(?m)^[ \t]*([A-Za-z_]\w*)[ \t]*=[ \t]*request\.(?:args|form|values|json)"
+                r"\.\w+\([^()\n]*\)[ \t]*(?:#[^\n]*)?$")
+PLACED = r"\{[ \t]*([A-Za-z_]\w*)[ \t]*=?[ \t]*(?:![rsa])?(?::[^{}]*)?\}"
+
 # Line by line here: the check only needs one-line literals, which is all the texts hold.
 TAINT_CTE = f"""py_files AS (SELECT * FROM files WHERE ({oracle.language('file_path')}) = 'py'),
   sources AS (SELECT project_id, file_path,
-      unnest(regexp_extract_all(content, {oracle.quoted(syntax.REQUEST_VALUE)}, 1)) AS var FROM py_files),
+      unnest(regexp_extract_all(content, {oracle.quoted(REQUEST_LINE)}, 1)) AS var FROM py_files),
   py_lines AS (SELECT project_id, file_path, unnest(generate_series(1, len(ls))) AS line_number, ls
       FROM (SELECT *, string_split(content, chr(10)) AS ls FROM py_files WHERE contains(content, 'return'))),
   sinks AS (SELECT project_id, file_path, line_number, ls[line_number] AS line,
       unnest(regexp_extract_all(regexp_replace(ls[line_number], '\\{{\\{{|\\}}\\}}', '', 'g'),
-        {oracle.quoted(syntax.PLACED_NAME)}, 1)) AS var
+        {oracle.quoted(PLACED)}, 1)) AS var
       FROM py_lines WHERE regexp_matches(ls[line_number], '^[ \t]*return[ \t]+[fF]["'']')),
   tainted AS (SELECT DISTINCT project_id, file_path, CAST(line_number AS INTEGER) AS line_number,
       {oracle.strip('line')} AS code_snippet
@@ -90,6 +95,51 @@ SILENT_CTE = f"""code_lines AS (
         AND len(regexp_extract(next_line, '^[ \t]*')) > indent
         AND (third_line IS NULL OR len(regexp_extract(third_line, '^[ \t]*')) <= indent)))"""
 
+# Statements of many forms, each before the documents' own texts in a string, and the rule and line that hold.
+STATEMENTS = (
+    ('name = request.args.get("n")\nreturn f"<b>{name}</b>"', "ast01", 2),
+    ('# name = request.args.get("n")\nname = 1\nreturn f"{name}"', None, None),
+    ("s = \'\'\'\nname = request.args.get(1)\nexcept:\n    pass\n\'\'\'\nreturn f\"{name}\"", None, None),
+    ('n = request.form.get(key(a(1), [2]), default=(3))\nreturn f"{n!r:>{w}}"', "ast01", 2),
+    ('a = b = request.json.get("x")\nif b: return f"<p>{b}</p>"', "ast01", 2),
+    ('a, b = request.args.get("x")\nreturn f"{a}{b}"', None, None),
+    ('a = request.args.get("x").strip()\nreturn f"{a}"', None, None),
+    ('a = (\n  request.values.get(  # note (\n    "x")\n)\nreturn (\n  "<b>"\n  f"{a}"\n)', "ast01", 5),
+    ('a: str = request.args.get("x")\nreturn f"{a}"', None, None),
+    ("try:\n    run()\nexcept:\n    # quiet\n    pass\n    pass", "ast02", 3),
+    ("try: run()\nexcept: pass; pass", "ast02", 2),
+    ("try:\n    run()\nexcept:\n    pass\n    log()", None, None),
+    ("try:\n    run()\nexcept ValueError:\n    pass", None, None),
+    ("try:\n  a()\nexcept:\n  try:\n    b()\n  except:\n    pass", "ast02", 6),
+    ('x = "abc\ntry: a()\nexcept:\n    pass', None, None),
+    ("f(1\ntry: a()\nexcept:\n    pass", None, None),
+    ('a = request.args.get("x")\nreturn f"{{a}} {a.b}"', None, None),
+    ('a = request.args.get("x")\nreturn f"{a}" + x', None, None),
+    ('a = request.args.get("x")\nreturn f"""\n<p>{\na}</p>"""', "ast01", 2),
+    ('a \\\n = request.args.get("x"); b = 1\nreturn "%" f"{a}"', "ast01", 3),
+)
+
+
+def statement_files(spark, sf_dir):
+    case = F.element_at(F.lit([text for text, *_ in STATEMENTS]), (F.col("doc_id") % len(STATEMENTS) + 1).cast("int"))
+    own = F.translate("text", '"\\', "  ")
+    return fixtures.read(spark, sf_dir, "documents").select(
+        F.col("source").alias("project_id"), F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file_path"),
+        F.concat(case, F.lit('\nx = """'), own, F.lit('"""')).alias("content"))
+
+
+def statement_rules(spark, sf_dir):
+    return rules.rule_matches(statement_files(spark, sf_dir), (syntax.TAINT, syntax.SUPPRESSION)).select(
+        "project_id", "file_path", "rule_id", "line_number", "code_snippet")
+
+
+STATEMENT_SQL = (
+    "WITH expected (k, rule_id, line_number, code_snippet) AS (VALUES "
+    + ", ".join(f"({k}, '{rule}', {line}, {oracle.quoted(text.split(chr(10))[line - 1].strip())})"
+                for k, (text, rule, line) in enumerate(STATEMENTS) if rule)
+    + f""") SELECT source AS project_id, 'f' || doc_id || '.py' AS file_path, rule_id, CAST(line_number AS INTEGER) AS line_number, code_snippet
+      FROM documents JOIN expected ON doc_id % {len(STATEMENTS)} = k WHERE text IS NOT NULL""")
+
 # ---------------------------------------------------------------------------
 # Findings
 # ---------------------------------------------------------------------------
@@ -323,6 +373,7 @@ QUERIES = {
     "q_credential_scan": credential_scan,
     "q_taint_xss": taint_xss,
     "q_silent_except": silent_except,
+    "q_statement_rules": statement_rules,
     "q_exact_dedupe": exact_dedupe,
     "q_near_dedupe": near_dedupe,
     "q_finding_scores": finding_scores,
@@ -340,6 +391,7 @@ ORACLES = {
     "q_js_findings": _matches_sql(JS),
     "q_credential_scan": CREDENTIAL_SQL,
     "q_taint_xss": f"WITH {fixtures.files_sql()}, {TAINT_CTE} SELECT {', '.join(PLACE)} FROM tainted",
+    "q_statement_rules": STATEMENT_SQL,
     "q_silent_except": f"WITH {fixtures.files_sql()}, {SILENT_CTE} SELECT {', '.join(PLACE)} FROM silent",
     "q_exact_dedupe": EXACT_SQL,
     "q_near_dedupe": NEAR_SQL,

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ast
 import random
 import re
+import textwrap
 from collections import Counter
+from random import Random
 
 from faultline import seeds
 from faultline.operators.rules import rule_matches, secret_findings
@@ -61,3 +64,71 @@ def test_secrets_are_masked(files):
     shown = {r.title: r.code_snippet for r in secret_findings(table).collect()}
     assert shown["Cloud access key id"] == "id AKIA************9XYZ end"
     assert "Private key in source" in shown
+
+
+def by_parser(text):
+    """What Python's own parser says: the rule and line of each hit, none if the text does not parse."""
+    try:
+        nodes = list(ast.walk(ast.parse(text)))
+    except (SyntaxError, ValueError):
+        return []
+    values = {
+        target.id for n in nodes if isinstance(n, ast.Assign)
+        and re.fullmatch(r"request\.(args|form|values|json)\.\w+\(.*\)", ast.unparse(n.value), re.S) and isinstance(n.value, ast.Call)
+        and isinstance(n.value.func, ast.Attribute) and ast.unparse(n.value.func).count(".") == 2 and "(" not in ast.unparse(n.value.func)
+        for target in n.targets if isinstance(target, ast.Name)}
+    hits = [("ast02", n.lineno) for n in nodes
+            if isinstance(n, ast.ExceptHandler) and n.type is None and {type(x) for x in n.body} == {ast.Pass}]
+    for n in nodes:
+        if isinstance(n, ast.Return) and isinstance(n.value, ast.JoinedStr):
+            names = {v.value.id for v in n.value.values if isinstance(v, ast.FormattedValue) and isinstance(v.value, ast.Name)}
+            hits += [("ast01", n.lineno)] * bool(names & values)
+    return sorted(hits)
+
+
+PROGRAM_LINES = (
+    'a = request.args.get("x")', "b = a = request.form.get(f(1, [2]))", "a, b = request.json.get(1)", 'a = request.args["x"]',
+    'a = (request.values.get(\n    "x"))', "a: str = request.args.get(1)", 'a = request.args.get("x") or 1', "# a = request.args.get(1)",
+    "s = '''\na = request.args.get(1)\nexcept:\n  pass\n'''", "b = request.args.get(1).strip()", "x = 1; b = request.args.getlist('k')", "a += 1",
+    "c = {1: [2, (3)]}", "a \\\n  = request.json.get(0)", "b = flask.request.args.get(1)", "a = lambda: request.args.get(1)", "request.args.get(1)")
+RETURNS = (
+    'return f"{a}"', "return f'{b!r:>{w}}'", 'return ("x"\n   f"{a}" # end\n  )', 'return f"{{a}}"', 'return f"{a.b}"', 'return f"{a}", 1', 'return f"{a}" + b',
+    'return f"""\n{a}\n"""', 'return "{a}"', "return rf'{ b }'", "return", "pass; return f'{a=}'", "if a: return f'{b}'", 'return (f"{a}")', "return a", "return f'{a}'.x()")
+HANDLERS = (
+    "try:\n  a()\nexcept:\n  pass", "try: a()\nexcept: pass", "try:\n  a()\nexcept:  # why\n\n  # because\n  pass\n  pass", "try:\n  a()\nexcept:\n  pass\n  b()",
+    "try:\n  a()\nexcept ValueError:\n  pass", "try:\n  a()\nexcept: pass; pass", "try:\n  a()\nexcept: pass; b()", "try:\n  a()\nexcept:\n  b()\n  pass",
+    "try:\n  a()\nexcept:\n  try:\n    b()\n  except:\n    pass", "try:\n  a()\nexcept:\n  if a:\n    pass", "try:\n  a()\nexcept:\n  pass\nelse:\n  pass",
+    "try:\n  a()\nexcept:\n  pass\nfinally:\n  b()", "try:\n  a()\nexcept:\n  'quiet'", "x = 'try'\ny = 'except: pass'")
+
+
+def test_statements_are_those_of_the_parser(spark, files):
+    from faultline.functions import syntax
+    from faultline.operators import rules
+
+    random = Random(7)
+    texts = []
+    for _ in range(300):
+        lines = random.choices(PROGRAM_LINES, k=2) + random.choices(RETURNS + HANDLERS, k=3)
+        random.shuffle(lines)
+        body = "def f():\n" + "\n".join(textwrap.indent(x, "    ") for x in lines) + random.choice(("", "\n", "\n\nf()\n"))
+        texts.append(body)
+    texts += ["", "except:\n  pass\n", 'x = "abc\ntry: a()\nexcept: pass', "f(1\ntry: a()\nexcept: pass", ")\ntry: a()\nexcept: pass", "é = request.args.get(1)\nx",
+              "def f():\n\tä = request.args.get(1)\n\treturn f'{ä}'", "try: a()\nexcept: pass  " + "x = 1\n" * 3000]
+    # Texts that only a full parser refuses are judged all the same.
+    parsed = {i: by_parser(t) for i, t in enumerate(texts)}
+    judged = {i for i, t in enumerate(texts) if t and parsed[i] is not None and _parses(t)} | {302, 303, 304}
+    table = files(*[("p", f"{i}.py", t) for i, t in enumerate(texts)])
+    got = {}
+    for r in rules.rule_lines(table, (syntax.TAINT, syntax.SUPPRESSION)).collect():
+        got.setdefault(int(r.file_path[:-3]), []).extend([(r.rule_id, r.line)] * r.hits)
+    assert sum(map(len, parsed.values())) > 100
+    for i in judged:
+        assert sorted(got.get(i, [])) == parsed[i], texts[i]
+
+
+def _parses(text):
+    try:
+        ast.parse(text)
+    except (SyntaxError, ValueError):
+        return False
+    return True
