@@ -19,20 +19,24 @@ def advisory_table(spark: SparkSession, advisories: Sequence[seeds.Advisory] = s
 
 
 def affected_packages(packages: DataFrame, advisories: DataFrame | None = None) -> DataFrame:
-    """Declared packages below the bound of an advisory.
+    """Declared packages whose version an advisory's specifier covers.
 
-    The join carries no hint: the built-in table is a local relation and is
-    broadcast, a table of any size is joined by its measured size.
+    An advisory has a ``specifier`` of any clauses, or a ``bound`` below which versions are affected; the
+    bound is taken where there is no specifier.  Clauses are parsed once per advisory and versions once per
+    package.  The join carries no hint: the built-in table is a local relation and is broadcast, a table of any
+    size is joined by its measured size.
     """
     if advisories is None:
         advisories = advisory_table(packages.sparkSession)
-    known = advisories.withColumn("bound_key", versions.release_key(F.col("bound")))
-    usable = packages.withColumn("version_key", versions.release_key(F.col("version"))).filter(
+    below = F.concat(F.lit("<"), F.col("bound")) if "bound" in advisories.columns else F.lit(None).cast("string")
+    specifier = F.coalesce(F.col("specifier"), below) if "specifier" in advisories.columns else below
+    known = advisories.withColumn("clauses", versions.clauses(specifier)).filter(F.col("clauses").isNotNull())
+    usable = packages.withColumn("version_key", versions.version_key(F.col("version"))).filter(
         F.col("version_key").isNotNull())
     return (
         usable.join(known, "package")
-        .filter(F.col("version_key") < F.col("bound_key"))
-        .drop("version_key", "bound_key"))
+        .filter(versions.satisfies(F.col("version_key"), F.col("clauses")))
+        .drop("version_key", "clauses"))
 
 
 def dependency_findings(packages: DataFrame, advisories: DataFrame | None = None) -> DataFrame:

@@ -149,15 +149,17 @@ def scan_payloads(payloads: DataFrame, *, scan_date=None, **options) -> ScanResu
     """Scan inline submissions, each as a project of its own; refused ones are returned with their reason.
 
     ``landed_as`` and ``position`` (where the submission stood) name a submission,
-    ``landed_at`` dates it.  Rows without them are numbered as they come and
-    dated by ``scan_date``.  The judged submissions are stored once.
+    ``landed_at``, or its own ``scan_date``, dates it.  Rows without them are numbered as they come and
+    dated by the ``scan_date`` given, without which there is an error.  The judged submissions are stored once.
     """
+    dates = [F.col(c).cast("timestamp_ntz") for c in ("landed_at", "scan_date") if c in payloads.columns]
+    if not dates and scan_date is None:
+        raise ValueError("a scan needs a date: pass scan_date, or submissions with landed_at or scan_date")
     if "position" not in payloads.columns:
         payloads = payloads.withColumn("position", F.monotonically_increasing_id())
     place = [c for c in ("landed_as", "position") if c in payloads.columns]
-    when = F.col("landed_at") if "landed_at" in payloads.columns else F.lit(scan_date)
     named = payloads.withColumn("submission", F.sha2(F.to_json(F.struct(*place, "project_name")), 256))
-    judged = cut(admission.judged_payloads(named.withColumn("scan_date", when.cast("timestamp_ntz"))))
+    judged = cut(admission.judged_payloads(named.withColumn("scan_date", F.coalesce(*dates, F.lit(scan_date).cast("timestamp_ntz")))))
     accepted = judged.filter(F.col("reason").isNull()).select(
         F.col("submission").alias("project_id"), "project_name", "scan_date")
     refused = judged.filter(F.col("reason").isNotNull()).select(*schema.names(schema.REFUSALS))

@@ -134,10 +134,33 @@ VERSION_SQL = f"""WITH v AS (SELECT p_partkey, {VERSION} AS version FROM part),
   SELECT p_partkey, version, comparable,
     comparable AND {key_sql('version')} < [3, 2, 18]::HUGEINT[] AS below, version AS npm FROM g"""
 
+SPECIFIERS = (">=3.2.10, <3.2.20", "!=3.2.5", "~=3.2.17", "==3.2.*", ">3.2.12", "===3.2.7")
+
+
+def specifiers(spark, sf_dir):
+    """Every made version against a specifier of another form."""
+    table = fixtures.select(fixtures.read(spark, sf_dir, "part"), {"p_partkey": "p_partkey", "version": VERSION})
+    named = table.withColumn("specifier", F.element_at(F.lit(list(SPECIFIERS)), (F.col("p_partkey") % len(SPECIFIERS) + 1).cast("int")))
+    v = F.col("version")
+    return named.select("p_partkey", "version", "specifier", versions.satisfies(
+        versions.version_key(v), versions.clauses(F.col("specifier"))).alias("affected"))
+
+
+SPECIFIERS_SQL = f"""WITH v AS (SELECT p_partkey, {VERSION} AS version FROM part),
+  k AS (SELECT *, {key_sql('version')} AS k, version NOT LIKE '%.x' AND version NOT LIKE '%rc1' AS final,
+    version LIKE '%.post2' AS post FROM v)
+  SELECT p_partkey, version, {oracle.quoted('|'.join(SPECIFIERS))}.string_split('|')[p_partkey % 6 + 1] AS specifier,
+    final AND CASE p_partkey % 6 WHEN 0 THEN k >= [3, 2, 10]::HUGEINT[] AND k < [3, 2, 20]::HUGEINT[]
+      WHEN 1 THEN post OR k <> [3, 2, 5]::HUGEINT[]
+      WHEN 2 THEN k >= [3, 2, 17]::HUGEINT[] AND k[1] = 3 AND k[2] = 2
+      WHEN 3 THEN k[1] = 3 AND coalesce(k[2], 0) = 2
+      WHEN 4 THEN k > [3, 2, 12]::HUGEINT[]
+      ELSE version = '3.2.7' END AS affected FROM k"""
+
 FILES = fixtures.files_sql()
 QUERIES = {
     "q_requirements": requirements, "q_npm_deps": npm_packages, "q_advisories": advisories,
-    "q_frameworks": frameworks, "q_file_counters": file_counters, "q_versions": version_order,
+    "q_frameworks": frameworks, "q_file_counters": file_counters, "q_versions": version_order, "q_specifiers": specifiers,
 }
 ORACLES = {
     "q_requirements": f"WITH {FILES}, {packages_cte()} SELECT {', '.join(PACKAGE)} FROM requirements",
@@ -146,4 +169,5 @@ ORACLES = {
     "q_frameworks": f"WITH {fixtures.files_sql(fixtures.BY_BATCH)}, {frameworks_cte(True)} SELECT * FROM frameworks",
     "q_file_counters": f"WITH {FILES} {counters_select()}",
     "q_versions": VERSION_SQL,
+    "q_specifiers": SPECIFIERS_SQL,
 }

@@ -23,8 +23,13 @@ def create_tables(spark: SparkSession, database: str = "default") -> None:
                   f"PARTITIONED BY ({day.split()[0]})")
 
 
-def _days(rows: DataFrame) -> Row:
-    return rows.agg(F.min("scan_day").alias("first"), F.max("scan_day").alias("last")).first()
+def _days(rows: DataFrame, what: str) -> Row:
+    """The first and the last day; every row must have one."""
+    days = rows.agg(F.min("scan_day").alias("first"), F.max("scan_day").alias("last"),
+                    F.count_if(F.col("scan_day").isNull()).alias("undated")).first()
+    if days["undated"]:
+        raise ValueError(f"{days['undated']} rows of a {what} without a date cannot be stored")
+    return days
 
 
 def _append_new(rows: DataFrame, table: str, days: Row, key: str = "scan_id") -> None:
@@ -35,14 +40,17 @@ def _append_new(rows: DataFrame, table: str, days: Row, key: str = "scan_id") ->
 
 
 def append_scan(result: ScanResult, database: str = "default") -> None:
-    """Append a finished scan.  Each table is written as one commit, reports last."""
+    """Append a finished scan.  Each table is written as one commit, reports last.
+
+    Scans and refusals without a date belong to no day and are not stored: that is an error.
+    """
     if result.refusals is not None:
         refused = result.refusals.withColumn("scan_day", F.to_date("scan_date"))
-        if (days := _days(refused))["first"] is not None:
+        if (days := _days(refused, "refusal"))["first"] is not None:
             _append_new(refused, f"{database}.refusals", days, "submission")
     dated = result.reports.withColumn("scan_day", F.to_date("scan_date"))
     keys = dated.select("scan_id", "scan_day")
-    days = _days(keys)
+    days = _days(keys, "scan")
     if days["first"] is None:
         return
     findings = result.findings.withColumn("scan_day", F.to_date("created_at"))

@@ -188,3 +188,48 @@ def test_width_of_a_category(raw, width, fits):
     from faultline.operators.reports import within_limits
 
     assert within_limits(raw({"category": "c" * width, "source_tool": "t"})).first().fits is fits
+
+
+VERSIONS = ("1.0", "1", "1.0.0", "v1.2", "1.2.post1", "1.2-3", "1.2.dev4", "1.2a1", "1.2b2.dev1", "1.2rc1", "1.2c1.post2", "1.2+local.1", "1.2+local.a", "1.10",
+            "0.9", "2!0.1", "1!1.2", "2.0", "2.0.0.1", "1.2.3.4", "latest", "1.x", "", "1.2.post", "1.2_alpha", "01.02", "1.2.0+7", "3.2.18", "3.2.17.post9")
+SPECIFIERS = ("<1.2", "<=1.2", ">1.2", ">=1.2", "==1.2", "!=1.2", "~=1.2", "~=1.2.0", "==1.*", "!=1.2.*", "==1.2+local.1", "===1.2", ">=1.0,<2", ">=1,!=1.2,<1.3",
+              ">=1.2a1", "==1.2rc1", "<=1.2b2", "~=1.2rc1", "==2!0.*", ">=1!0", "", "~=1", "nonsense", ">=1,bad", "<3.2.18", ">1.2.post1", "!=1.2+local.a", "==1.0.*")
+
+
+def test_specifiers_are_those_of_the_packaging_rules(spark):
+    packaging = pytest.importorskip("packaging.specifiers")
+    from packaging.version import InvalidVersion, Version
+
+    def expected(version, specifier):
+        try:
+            wanted = packaging.SpecifierSet(specifier)
+            # Pre-releases are left out unless a clause names one, whatever the version of that library makes of it.
+            return wanted.contains(Version(version), prereleases=bool(wanted.prereleases))
+        except (InvalidVersion, packaging.InvalidSpecifier):
+            return False
+
+    from faultline.functions import versions
+
+    table = spark.createDataFrame([(v, s) for v in VERSIONS for s in SPECIFIERS], "v string, s string")
+    got = table.select("v", "s", versions.satisfies(versions.version_key(F.col("v")), versions.clauses(F.col("s"))).alias("x")).collect()
+    assert {(r.v, r.s): r.x for r in got} == {(v, s): expected(v, s) for v in VERSIONS for s in SPECIFIERS}
+
+
+def test_version_order_is_total(spark):
+    ordered = ["0.9", "1.0.dev1", "1.0a1.dev1", "1.0a1", "1.0a2", "1.0b1", "1.0rc1.dev2", "1.0rc1", "1.0", "1.0+a", "1.0+a.b", "1.0+2", "1.0.post1.dev3", "1.0.post1",
+               "1.0.1", "1.2", "1.10", "1!0.1"]
+    from faultline.functions import versions
+
+    table = spark.createDataFrame([(v,) for v in reversed(ordered)], "v string")
+    assert [r.v for r in table.orderBy(versions.order_of(versions.version_key(F.col("v")))).collect()] == ordered
+
+
+def test_advisories_with_specifiers(spark):
+    from faultline.operators import dependencies
+
+    packages = spark.createDataFrame([("p", "m", i, "lib", v) for i, v in enumerate(("1.4", "1.5", "1.9", "2.0", "2.0rc1", "x", None))],
+                                     "project_id string, manifest_path string, position int, package string, version string")
+    known = spark.createDataFrame([("lib", None, ">=1.5,<2,!=1.9", "A"), ("lib", "1.5", None, "B"), ("lib", None, None, "C"), ("lib", "1", "oops", "D")],
+                                  "package string, bound string, specifier string, advisory_id string")
+    got = {(r.version, r.advisory_id) for r in dependencies.affected_packages(packages, known).collect()}
+    assert got == {("1.5", "A"), ("1.4", "B")}

@@ -130,3 +130,34 @@ def test_status_stream(spark, tmp_path, database):
     assert query.exception() is None
     log = tables.read_table(spark, "status_changes", database).collect()
     assert sorted((r.status, r.change_id) for r in log) == [("FIXED", 1), ("OPEN", 2)]
+
+
+def test_roots_of_any_form(spark, tmp_path):
+    for name in ("g1/p/a/b.py", "g1/p/top.py", "g2/q/c.py", "g2/loose.py"):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("x = 1")
+
+    def found(root):
+        return {(r.project_id, r.file_path) for r in trees.read_trees(spark, root).collect()}
+
+    one = {("p", "a/b.py"), ("p", "top.py")}
+    here = spark._jvm.java.lang.System.getProperty("user.dir")
+    assert found(f"{tmp_path}/g1/") == found(f"file://{tmp_path}/g1") == found(os.path.relpath(tmp_path / "g1", here)) == one
+    assert found(f"{tmp_path}/g*") == one | {("q", "c.py"), (".", "loose.py")}
+    with pytest.raises(FileNotFoundError):
+        trees.read_trees(spark, f"{tmp_path}/none")
+    with pytest.raises(ValueError, match="depths"):
+        trees.read_trees(spark, f"{tmp_path}/{{g1,g2/q}}")
+
+
+def test_scans_without_a_date_are_refused(spark, database):
+    from faultline.plans.scan import scan_payloads
+
+    given = spark.createDataFrame([("a", [("x.py", "eval(1)")])], "project_name string, files array<struct<filename:string,source_code:string>>")
+    with pytest.raises(ValueError, match="date"):
+        scan_payloads(given)
+    with pytest.raises(ValueError, match="without a date"):
+        tables.append_scan(scan_payloads(given.selectExpr("*", "CAST(NULL AS TIMESTAMP) AS landed_at")), database)
+    tables.append_scan(scan_payloads(given.selectExpr("*", "TIMESTAMP'2025-01-02 03:04:05' AS scan_date")), database)
+    assert [str(r.scan_day) for r in tables.read_table(spark, "reports", database).collect()] == ["2025-01-02"]
