@@ -27,10 +27,17 @@ FOUND = "query_id long, vec_id long, score double"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """The rows that take part: an id and a finite vector that is not zero, as doubles."""
+    """The rows that take part, equal ones once: an id and a finite vector that is not zero, as doubles.
+
+    A vector is multiplied by the power of two that brings its largest component near 1, which changes no
+    cosine and keeps squares from overflowing or vanishing.
+    """
     values = F.col("embedding").cast("array<double>")
     fine = F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(values, lambda x: x != 0)
-    return vectors.select("vec_id", values.alias("embedding")).filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine)
+    rows = vectors.select("vec_id", values.alias("embedding")).filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine)
+    power = F.greatest(F.lit(-1000), F.least(F.lit(1000), F.floor(F.log2(F.array_max(F.transform("embedding", F.abs)))))).cast("double")
+    scaled = rows.withColumn("_scale", F.pow(F.lit(2.0), -power))
+    return scaled.select("vec_id", F.transform("embedding", lambda x: x * F.col("_scale")).alias("embedding")).distinct()
 
 
 def rotation(dims: int, seed: int) -> np.ndarray:
@@ -106,7 +113,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, seed: int = 7) ->
 
     Rows whose vector is null, empty, zero or not finite, and rows without an id, take no part;
     vectors are compared only with those of as many dimensions.  Rows of the query's own id are
-    not its candidates; of other rows with one id each counts.  Extra columns are not read.
+    not its candidates; equal rows count once, and of rows with one id and different vectors the nearest
+    pair.  Extra columns are not read.
     """
     reachable(vectors.sparkSession)
     rows = usable(vectors).withColumn("_dims", F.size("embedding"))
@@ -137,6 +145,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, seed: int = 7) ->
 
     keys = ["_dims", "_v", "_q"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, FOUND)
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
@@ -145,12 +154,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, seed: int = 7) ->
 def sql(k: int = 5) -> str:
     """The exact search in DuckDB's SQL."""
     return f"""
-WITH v AS (
-  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+WITH given AS (
+  SELECT DISTINCT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings),
+v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x * pow(2.0, -greatest(-1000, least(1000, floor(log2(list_max(list_transform(embedding, lambda y: abs(y))))))))) AS e
+  FROM given
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 pairs AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(c.e, c.e)) AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+best AS (SELECT query_id, vec_id, max(score) AS score FROM pairs GROUP BY query_id, vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM best)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= {k}"""

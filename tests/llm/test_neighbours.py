@@ -48,3 +48,10 @@ def test_odd_vectors(spark):
     got = neighbours.nearest(frame, F.col("vec_id") % 10 == 0).collect()
     assert [(r.query_id, r["rank"], r.vec_id) for r in sorted(got, key=lambda r: r["rank"])] == [(0, 1, 1), (0, 2, 11), (0, 3, 2)]
     assert neighbours.nearest(frame.limit(0), F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_repeated_rows_and_extreme_sizes(spark):
+    rows = [(0, [1.0, 0.1]), (0, [1.0, 0.1]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (2, [1e200, 1e200]), (3, [1e-200, 3e-200]), (4, [5e-324, 0.0]), (5, [-1.7e308, 1e308])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    assert [(r["rank"], r.vec_id) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1), (2, 4), (3, 2), (4, 3), (5, 5)]
+    assert all(abs(r.score) <= 1.0000001 for r in got)
