@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from faultline import seeds
+from faultline.functions.literals import owners_in
 
 # Separators that count as blanks, and the longest pattern that
 # must stand alone instead of being contained.
@@ -21,35 +22,27 @@ def plain_words(text):
     return F.regexp_replace(text, SEPARATORS, " ") if isinstance(text, Column) else re.sub(SEPARATORS, " ", text)
 
 
-def names_any(text: Column, plain: Column, patterns: Sequence[str]) -> Column:
-    """Whether a lower-cased text, also given as plain words, names one of the patterns.
-
-    Short patterns must not touch a letter or digit; longer ones are looked
-    for with separators read as blanks.
-    """
-    short = [p for p in patterns if len(p) <= SHORT]
-    found = [F.contains(plain, F.lit(p))
-             for p in dict.fromkeys(plain_words(p) for p in patterns if len(p) > SHORT)]
-    if short:
-        alone = "|".join(f"\\Q{p}\\E" for p in short)
-        found.append(F.regexp_like(text, F.lit(f"(?:^|[^a-z0-9])(?:{alone})(?:$|[^a-z0-9])")))
-    return reduce(lambda a, b: a | b, found)
-
-
 def claimed_areas(areas: Sequence[seeds.Area] = seeds.AREAS) -> Column:
-    """Names of the areas that claim a finding by category, title or path.
+    """Names of the areas that claim a finding by category, title or path, in any number.
 
     Reads the lower-cased columns ``category``, ``title`` and ``path`` and the
-    plain words of the first two, ``plain_category`` and ``plain_title``.
+    plain words of the first two, ``plain_category`` and ``plain_title``.  Short
+    patterns must not touch a letter or digit; longer ones are looked for with
+    separators read as blanks.
     """
-    claims = []
+    by_path, short, long = defaultdict(list), defaultdict(list), defaultdict(list)
     for area in areas:
-        tests = [F.contains("path", F.lit(p)) for p in area.path_patterns]
-        if area.text_patterns:
-            tests += [names_any(F.col(t), F.col(f"plain_{t}"), area.text_patterns)
-                      for t in ("category", "title")]
-        claims.append(F.when(reduce(lambda a, b: a | b, tests), area.name))
-    return F.array_compact(F.array(*claims))
+        for p in area.path_patterns:
+            by_path[p].append(area.name)
+        for p in area.text_patterns:
+            if len(p) <= SHORT:
+                short[p].append(area.name)
+            else:
+                long[plain_words(p)].append(area.name)
+    claims = [owners_in(F.col("path"), by_path)]
+    for t in ("category", "title"):
+        claims += [owners_in(F.col(t), short, alone=True), owners_in(F.col(f"plain_{t}"), long)]
+    return F.array_distinct(F.concat(*claims))
 
 
 def fallback_area(path: Column) -> Column:

@@ -8,12 +8,16 @@ the text, so no text can contain its own mark.
 
 from __future__ import annotations
 
+import json
 import re
+from collections import defaultdict
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from faultline.functions.literals import owners_in
 from faultline.functions.text import strip
 from faultline.seeds import Rule
 
@@ -32,7 +36,6 @@ IGNORE_CASE = "(?iu)"
 ODD_CASES = ("\u017f", "\u0130", "\u0131")
 
 HITS = "array<struct<rule_id:string,rule_ord:int,line:int,hits:int,snippet:string>>"
-FINDS = "array<struct<rule_id:string,rule_ord:int,marked:string>>"
 
 
 def java_regex(rule: Rule) -> str:
@@ -55,17 +58,28 @@ def java_regex(rule: Rule) -> str:
     return flags + regex
 
 
-def contains_any(text: Column, literals) -> Column:
-    if not literals:
-        return F.lit(True)
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in literals])
+def rule_book(rules: Sequence[Rule]) -> Column:
+    """All rules as one constant; a rule's place in it is its ordinal."""
+    rows = [{"rule_id": r.rule_id, "rule_ord": i, "lang": r.lang, "regex": java_regex(r)} for i, r in enumerate(rules)]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<rule_id:string,rule_ord:int,lang:string,regex:string>>")
 
 
-def worth_searching(text: Column, lowered: Column, rule: Rule) -> Column:
-    """False only for texts the rule cannot match.  ``lowered`` is the text in lower case."""
-    if not rule.ignore_case or not rule.hints:
-        return contains_any(text, rule.hints)
-    return contains_any(lowered, rule.hints) | contains_any(text, ODD_CASES)
+def worth_searching(text: Column, lowered: Column, rules: Mapping[int, Rule]) -> Column:
+    """Ordinals of all rules but those the text cannot match.  ``lowered`` is the text in lower case.
+
+    All hints are looked for in one pass over the text and one over its lower-cased form.
+    """
+    hinted = {False: defaultdict(list), True: defaultdict(list)}
+    for i, rule in rules.items():
+        for hint in rule.hints:
+            hinted[rule.ignore_case][hint].append(i)
+    always = [i for i, rule in rules.items() if not rule.hints]
+    ordinals = [F.lit(always).cast("array<int>"), owners_in(text, hinted[False], "int")]
+    if hinted[True]:
+        odd = reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in ODD_CASES])
+        every = F.lit(sorted({i for found in hinted[True].values() for i in found})).cast("array<int>")
+        ordinals.append(F.when(odd, every).otherwise(owners_in(lowered, hinted[True], "int")))
+    return F.array_distinct(F.concat(*ordinals))
 
 
 def mark_of(text: Column) -> Column:
@@ -73,31 +87,24 @@ def mark_of(text: Column) -> Column:
     return F.concat(F.lit("\uffff"), F.substring(F.sha2(text, 256), 1, 24))
 
 
-def marked(text: Column, mark: Column, rule: Rule) -> Column:
-    """The text with the mark before every match."""
-    return F.regexp_replace(text, F.lit(java_regex(rule)), F.concat(mark, F.lit("$0")))
-
-
-def find_all(text: Column, lowered: Column, mark: Column, rule: Rule, ordinal: int) -> Column:
-    """The text marked by one rule; null for texts without any of the rule's hints."""
-    found = F.struct(
-        F.lit(rule.rule_id).alias("rule_id"), F.lit(ordinal).alias("rule_ord"),
-        marked(text, mark, rule).alias("marked"))
-    return F.when(worth_searching(text, lowered, rule), found)
-
-
-def line_hits(finds: Column, mark: Column) -> Column:
-    """Lines in which matches start, with their number and the stripped line.
+def line_hits(text: Column, mark: Column, rules: Column) -> Column:
+    """Lines in which matches of the ``rules`` (entries of the book) start, with their number and the stripped line.
 
-    The work is linear in the text for each rule found, whatever the number of
-    matches.  ``mark`` should be a computed column, as every line looks at it.
+    The work is linear in the text for each rule, whatever the number of matches, and
+    only one marked copy of the text is held at a time.  ``mark`` should be a computed column,
+    as every line looks at it.
     """
-    def of_find(find: Column) -> Column:
-        lines = F.transform(F.split(find["marked"], "\n", -1), lambda text, i: F.struct(
-            (i + 1).alias("line"), text.alias("text")))
+    def of_rule(rule: Column) -> Column:
+        found = F.regexp_replace(text, rule["regex"], F.concat(mark, F.lit("$0")))
+        return F.flatten(F.transform(F.array(found), lambda marked: F.when(
+            F.contains(marked, mark), of_marked(rule, marked)).otherwise(F.array().cast(HITS))))
+
+    def of_marked(rule: Column, marked: Column) -> Column:
+        lines = F.transform(F.split(marked, "\n", -1), lambda line, i: F.struct(
+            (i + 1).alias("line"), line.alias("text")))
         return F.transform(F.filter(lines, lambda x: F.contains(x["text"], mark)), lambda x: F.struct(
-            find["rule_id"].alias("rule_id"), find["rule_ord"].alias("rule_ord"), x["line"].alias("line"),
+            rule["rule_id"].alias("rule_id"), rule["rule_ord"].alias("rule_ord"), x["line"].alias("line"),
             (F.size(F.split(x["text"], mark, -1)) - 1).alias("hits"),
             strip(F.replace(x["text"], mark, F.lit(""))).alias("snippet")))
 
-    return F.flatten(F.transform(F.filter(finds, lambda f: F.contains(f["marked"], mark)), of_find))
+    return F.flatten(F.transform(rules, of_rule))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline import seeds
 from faultline.functions import paths, versions
+from faultline.functions.literals import owners_in
 from faultline.session import dimension
 from faultline.sources import manifests
 
@@ -61,11 +63,6 @@ def dependency_findings(packages: DataFrame, advisories: DataFrame | None = None
         F.array().cast("array<string>").alias("attack_path"))
 
 
-def _present(markers: Mapping[str, str], holds) -> Column:
-    return F.array_compact(F.array(*[
-        F.when(holds(marker), label) for marker, label in markers.items()]))
-
-
 def framework_labels(files: DataFrame, python_markers: Mapping[str, str] = seeds.PYTHON_MARKERS,
                      npm_markers: Mapping[str, str] = seeds.NPM_MARKERS) -> DataFrame:
     """One row per project and framework found in its manifests.
@@ -78,12 +75,12 @@ def framework_labels(files: DataFrame, python_markers: Mapping[str, str] = seeds
         "project_id", F.lower("content").alias("lowered"), (name == manifests.PACKAGE_JSON).alias("is_npm"),
         F.when(name == manifests.PACKAGE_JSON, manifests.npm_maps(F.col("content"))).alias("maps"))
 
-    def declared(marker: str) -> Column:
-        return (F.coalesce(F.map_contains_key("maps.dependencies", marker), F.lit(False))
-                | F.coalesce(F.map_contains_key("maps.devDependencies", marker), F.lit(False)))
-
-    in_text = _present(python_markers, lambda m: F.contains(F.col("lowered"), F.lit(m)))
-    labels = F.when(F.col("is_npm"), _present(npm_markers, declared)).otherwise(in_text)
+    none = F.array().cast("array<string>")
+    names = F.concat(*[F.coalesce(F.map_keys(f"maps.{m}"), none) for m in ("dependencies", "devDependencies")])
+    label_of = F.from_json(F.lit(json.dumps(dict(npm_markers))), "map<string,string>")
+    declared = F.array_compact(F.transform(names, lambda name: label_of[name]))
+    in_text = owners_in(F.col("lowered"), {marker: [label] for marker, label in python_markers.items()})
+    labels = F.when(F.col("is_npm"), declared).otherwise(in_text)
     return read.select("project_id", F.explode(labels).alias("label")).distinct()
 
 

@@ -88,21 +88,19 @@ def by_severity(findings: DataFrame) -> DataFrame:
 def fill_snippets(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Give findings without a snippet the stripped source line they point to.
 
-    The findings are stored first, so that whatever makes them runs once.  Only
-    files that such a finding names are split into lines, and only the wanted
-    lines meet the findings; complete findings do not take part.
+    The findings are stored first, so that whatever makes them runs once.  The
+    wanted line numbers go to their file as one array and only those lines come
+    out of it; complete findings do not take part.
     """
     findings = cut(findings)
     empty = F.coalesce(F.col("code_snippet"), F.lit("")) == ""
     lacking = findings.filter(empty & (F.col("line_number") > 0))
-    named = lacking.select("project_id", "file_path").distinct()
-    lines = (
-        files.select("project_id", "file_path", "content")
-        .join(named, ["project_id", "file_path"], "left_semi")
-        .select("project_id", "file_path",
-                F.posexplode(F.split("content", "\n")).alias("position", "source"))
-        .select("project_id", "file_path", (F.col("position") + 1).alias("line_number"),
-                strip(F.col("source")).alias("source_line")))
+    wanted = lacking.groupBy("project_id", "file_path").agg(F.collect_set("line_number").alias("wanted"))
+    given = files.select("project_id", "file_path", "content").join(wanted, ["project_id", "file_path"])
+    # The lines are an argument of the outer lambda, so a text is split once.
+    of_file = F.flatten(F.transform(F.array(F.split("content", "\n")), lambda lines: F.transform(
+        "wanted", lambda n: F.struct(n.alias("line_number"), strip(F.get(lines, n - 1)).alias("source_line")))))
+    lines = given.select("project_id", "file_path", F.inline(of_file))
     filled = (
         lacking.join(lines, ["project_id", "file_path", "line_number"], "left")
         .withColumn("code_snippet", F.col("source_line")).select(*findings.columns))

@@ -8,6 +8,7 @@ come as pages of a bounded size.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -19,6 +20,7 @@ from faultline.functions import areas as a
 from faultline.functions import paths, severity
 from faultline.operators.ordered import ordinals
 from faultline.session import cut
+from faultline.sources.rulebooks import adjacent_in, areas_in
 
 SERIOUS = ("CRITICAL", "HIGH")
 
@@ -28,7 +30,7 @@ class Graph(NamedTuple):
     edges: DataFrame
 
 
-def _with_claims(findings: DataFrame, kept: dict[str, Column], area_table: Sequence[seeds.Area]) -> DataFrame:
+def _with_claims(findings: DataFrame, kept: dict[str, Column], area_table: Sequence[seeds.Area] | DataFrame) -> DataFrame:
     """Findings with the areas that claim them and the area their path would give them."""
     def lowered(column: str) -> Column:
         return F.lower(F.coalesce(F.col(column), F.lit("")))
@@ -40,11 +42,11 @@ def _with_claims(findings: DataFrame, kept: dict[str, Column], area_table: Seque
     plain = words.select(
         "*", *[a.plain_words(F.col(t)).alias(f"plain_{t}") for t in ("category", "title")])
     return plain.select(
-        *[F.col(f"kept_{n}").alias(n) for n in kept], a.claimed_areas(area_table).alias("claimed"),
+        *[F.col(f"kept_{n}").alias(n) for n in kept], a.claimed_areas(areas_in(area_table)).alias("claimed"),
         a.fallback_area(F.col("path")).alias("otherwise"))
 
 
-def classified(findings: DataFrame, area_table: Sequence[seeds.Area] = seeds.AREAS,
+def classified(findings: DataFrame, area_table: Sequence[seeds.Area] | DataFrame = seeds.AREAS,
                marker: str = paths.WORK_MARKER) -> DataFrame:
     """One row per finding and area it belongs to."""
     has_path = F.coalesce(F.col("file_path"), F.lit("")) != ""
@@ -61,7 +63,7 @@ def classified(findings: DataFrame, area_table: Sequence[seeds.Area] = seeds.ARE
         .alias("area"))
 
 
-def unclaimed(findings: DataFrame, area_table: Sequence[seeds.Area] = seeds.AREAS) -> DataFrame:
+def unclaimed(findings: DataFrame, area_table: Sequence[seeds.Area] | DataFrame = seeds.AREAS) -> DataFrame:
     """Findings that no area claims, with the area their path ending gives them."""
     kept = {c: F.col(c) for c in ("project_id", "finding_id", "file_path")}
     return _with_claims(findings, kept, area_table).filter(F.size("claimed") == 0).select(
@@ -118,10 +120,10 @@ def placed_files(groups: DataFrame, areas: DataFrame, collation: str | None = No
         F.col("worst.name").alias("highest_severity"))
 
 
-def area_edges(areas: DataFrame) -> DataFrame:
+def area_edges(areas: DataFrame, adjacent: Sequence[tuple[str, str]] | DataFrame = seeds.ADJACENT_AREAS) -> DataFrame:
     """Edges between adjacent areas of which both are present."""
-    pairs = F.array(*[F.struct(F.lit(p).alias("start"), F.lit(q).alias("end"))
-                      for p, q in seeds.ADJACENT_AREAS])
+    pairs = F.from_json(F.lit(json.dumps([{"start": p, "end": q} for p, q in adjacent_in(adjacent)])),
+                        "array<struct<start:string,end:string>>")
     present = areas.groupBy("project_id").agg(F.map_from_entries(F.collect_list(
         F.struct("area", "highest_severity"))).alias("worst"))
     worst = F.col("worst")
@@ -146,13 +148,16 @@ def file_edges(files: DataFrame) -> DataFrame:
         F.lit(True).alias("is_hierarchy"))
 
 
-def security_graph(findings: DataFrame, area_table: Sequence[seeds.Area] = seeds.AREAS,
-                   collation: str | None = None) -> Graph:
+def security_graph(findings: DataFrame, area_table: Sequence[seeds.Area] | DataFrame = seeds.AREAS,
+                   collation: str | None = None,
+                   adjacent: Sequence[tuple[str, str]] | DataFrame = seeds.ADJACENT_AREAS) -> Graph:
     """Nodes and edges of all projects.
 
+    Areas and their adjacency may be tables (:mod:`faultline.sources.rulebooks`).
     The findings are classified once; everything else derives from the stored
     counts per area and file.
     """
+    area_table = areas_in(area_table)
     groups = cut(file_groups(classified(findings, area_table)))
     areas = placed_areas(groups, area_table)
     files = placed_files(groups, areas, collation)
@@ -165,7 +170,7 @@ def security_graph(findings: DataFrame, area_table: Sequence[seeds.Area] = seeds
         "project_id", "node_id", F.lit("file").alias("node_type"), "label",
         F.lit("FILE").alias("kind"), "x", "y", "finding_count", "highest_severity", "parent_id",
         "full_path")
-    return Graph(area_nodes.unionByName(file_nodes), file_edges(files).unionByName(area_edges(areas)))
+    return Graph(area_nodes.unionByName(file_nodes), file_edges(files).unionByName(area_edges(areas, adjacent)))
 
 
 def member_pages(members: DataFrame, keys: Sequence[str] = ("project_id", "area"),

@@ -38,32 +38,28 @@ def rule_lines(files: DataFrame, rules: Sequence[Rule] = seeds.PATTERN_RULES) ->
     """One row per file, rule and line with the number of matches that start there.
 
     What is looked at more than once - the lower-cased text, the mark, the
-    finds, the noted statements - is a column of its own, so that it is
-    computed once and inside generated code; all steps stay in the task that
-    reads the file.
+    noted statements - is a column of its own, so that it is computed once; all
+    steps stay in the task that reads the file.  The rules are one constant, so
+    the plan is the same for ten of them and for thousands.
     """
     content, lang, mark = F.col("content"), F.col("lang"), F.col("mark")
+    of_text = {i: r for i, r in enumerate(rules) if r not in SYNTAX_RULES}
+    everywhere = any(r.lang == "any" and r.ignore_case for r in of_text.values())
     texts = files.select("project_id", "file_path", "content", paths.language(F.col("file_path")).alias("lang"))
     texts = texts.select(
-        "*", F.when(lang.isNotNull(), F.lower("content")).alias("lowered"),
+        "*", F.when(F.lit(everywhere) | lang.isNotNull(), F.lower("content")).alias("lowered"),
         matching.mark_of(content).alias("mark"))
     with_syntax = [r for r in SYNTAX_RULES if r in rules]
+    columns = ["project_id", "file_path", "content", "mark"]
     if with_syntax:
         texts = texts.select("*", F.when(lang == "py", syntax.statements(content)).alias("noted"))
-
-    def of_language(name: str) -> Column:
-        return F.array(*[
-            matching.find_all(content, F.col("lowered"), mark, r, i) for i, r in enumerate(rules)
-            if r.lang == name and r not in SYNTAX_RULES])
-
-    routed = F.when(lang == "py", of_language("py")).when(lang == "js", of_language("js"))
-    finds = F.array_compact(F.concat(
-        F.coalesce(routed, F.array()).cast(matching.FINDS), of_language("any").cast(matching.FINDS)))
-    columns = [finds.alias("finds")]
-    if with_syntax:
         columns.append(syntax.statement_hits(F.col("noted"), content, rules).alias("noted_hits"))
-    found = texts.select("project_id", "file_path", "mark", *columns)
-    hits = matching.line_hits(F.col("finds"), mark)
+    book = matching.rule_book(rules)
+    wanted = F.filter(
+        F.transform(matching.worth_searching(content, F.col("lowered"), of_text), lambda i: F.get(book, i)),
+        lambda rule: (rule["lang"] == "any") | F.coalesce(rule["lang"] == lang, F.lit(False)))
+    found = texts.select(*columns, wanted.alias("wanted"))
+    hits = matching.line_hits(content, mark, F.col("wanted"))
     if with_syntax:
         hits = F.concat(hits, F.col("noted_hits"))
     return found.select("project_id", "file_path", F.inline(hits))

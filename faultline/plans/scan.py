@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from faultline import schema, seeds
 from faultline.operators import admission, dependencies, explain, findings, rules, score
+from faultline.operators.ordered import ordinals
 from faultline.session import cut
-from faultline.sources import manifests
+from faultline.sources import manifests, rulebooks
 
 STATIC_RULES = seeds.PATTERN_RULES + rules.SYNTAX_RULES
 
@@ -42,8 +43,8 @@ def _merged_findings(files: DataFrame, packages: DataFrame, rule_set, secret_rul
     return rules.with_rule_texts(best, every_rule)
 
 
-def scan_findings(files: DataFrame, *, rule_set: Sequence[seeds.Rule] = STATIC_RULES,
-                  secret_rules: Sequence[seeds.Rule] = seeds.SECRET_RULES,
+def scan_findings(files: DataFrame, *, rule_set: Sequence[seeds.Rule] | DataFrame = STATIC_RULES,
+                  secret_rules: Sequence[seeds.Rule] | DataFrame = seeds.SECRET_RULES,
                   advisories: DataFrame | None = None, semgrep: DataFrame | None = None,
                   bandit: DataFrame | None = None, roots: DataFrame | None = None,
                   replies: DataFrame | None = None, explain_limit: int | None = None,
@@ -54,9 +55,13 @@ def scan_findings(files: DataFrame, *, rule_set: Sequence[seeds.Rule] = STATIC_R
     Files that admission refuses by their path take no part.  ``roots`` are wrapper
     directories to take off finding paths, so that texts need not be joined with
     them.  ``replies`` are merged for the findings they name; ``explain_limit``
-    restricts that to so many top findings of each project.
+    restricts that to so many top findings of each project.  Rules may be tables
+    (:mod:`faultline.sources.rulebooks`); the checks of statements go on beside a table.
     """
     files = admission.admit_files(files)
+    if isinstance(rule_set, DataFrame):
+        rule_set = (*rulebooks.rules_in(rule_set), *rules.SYNTAX_RULES)
+    secret_rules = rulebooks.rules_in(secret_rules)
     manifest_files = manifests.manifest_files(files) if manifest_files is None else manifest_files
     best = _merged_findings(
         files, manifests.declared_packages(manifest_files), rule_set, secret_rules, advisories,
@@ -73,7 +78,7 @@ def scan_findings(files: DataFrame, *, rule_set: Sequence[seeds.Rule] = STATIC_R
 
 
 def scan(files: DataFrame, projects: DataFrame | None = None, *, scan_date=None,
-         duration: float | None = None, keep: bool = False, **options) -> ScanResult:
+         duration: float | None = None, keep: bool = False, markers: DataFrame | None = None, **options) -> ScanResult:
     """Scan all projects of ``files`` and describe them as three tables.
 
     ``projects`` (``project_id`` and optionally ``project_name``, ``scan_date``)
@@ -81,7 +86,8 @@ def scan(files: DataFrame, projects: DataFrame | None = None, *, scan_date=None,
     is scanned.  A date must be given, there or as ``scan_date``: it tells one scan
     of a project from the next.  ``keep`` stores the manifests and the findings in the shared
     folder first: the texts are then read twice in all, once for the manifests
-    and once for all rules, whatever is derived.  The other options are those
+    and once for all rules, whatever is derived.  ``markers`` is a table of framework
+    markers instead of the known ones.  The other options are those
     of :func:`scan_findings`.
     """
     if projects is None:
@@ -104,7 +110,7 @@ def scan(files: DataFrame, projects: DataFrame | None = None, *, scan_date=None,
         best = cut(best)
     return ScanResult(
         dated_findings(best, projects), report_rows(best, projects),
-        metadata_rows(files, manifest_files, projects, duration))
+        metadata_rows(files, manifest_files, projects, duration, markers))
 
 
 def dated_findings(best: DataFrame, projects: DataFrame) -> DataFrame:
@@ -125,11 +131,11 @@ def report_rows(best: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def metadata_rows(files: DataFrame, manifest_files: DataFrame, projects: DataFrame,
-                  duration: float | None = None) -> DataFrame:
+                  duration: float | None = None, markers: DataFrame | None = None) -> DataFrame:
     zero = F.lit(0).cast("long")
     return (
         projects.join(score.file_counters(files), "project_id", "left")
-        .join(dependencies.detected_frameworks(manifest_files), "project_id", "left")
+        .join(dependencies.detected_frameworks(manifest_files, **rulebooks.markers_in(markers)), "project_id", "left")
         .select("scan_id",
                 *[F.coalesce(c, zero).alias(c) for c in
                   ("total_files", "python_files", "javascript_files", "config_files")],
@@ -145,21 +151,41 @@ def explained(best: DataFrame, replies: DataFrame, limit: int | None = None) ->
     return explain.merge_replies(best, replies.join(chosen, "finding_id", "left_semi"))
 
 
+def _apart(judged: DataFrame) -> DataFrame:
+    """Equal submissions under names of their own: the n-th of them bears n in its name.
+
+    Only names travel; the submissions themselves meet the numbers of those that have equals.
+    Which of them gets which number does not matter, as they are equal.
+    """
+    equals = judged.groupBy("submission").agg(F.count("*").alias("n")).filter("n > 1").select("submission")
+    if equals.isEmpty():
+        return judged
+    tagged = cut(judged.withColumn("_tag", F.monotonically_increasing_id()))
+    numbered = ordinals(
+        tagged.select("submission", "_tag").join(equals, "submission", "left_semi"), ["submission"], "_tag", "_nth")
+    nth = F.when(F.col("_nth") > 0, F.sha2(F.concat_ws("#", "submission", F.col("_nth").cast("string")), 256))
+    named = tagged.join(numbered.select("_tag", "_nth"), "_tag", "left")
+    return cut(named.withColumn("submission", F.coalesce(nth, F.col("submission"))).drop("_tag", "_nth"))
+
+
 def scan_payloads(payloads: DataFrame, *, scan_date=None, **options) -> ScanResult:
     """Scan inline submissions, each as a project of its own; refused ones are returned with their reason.
 
-    ``landed_as`` and ``position`` (where the submission stood) name a submission,
-    ``landed_at``, or its own ``scan_date``, dates it.  Rows without them are numbered as they come and
-    dated by the ``scan_date`` given, without which there is an error.  The judged submissions are stored once.
+    A submission is named by ``landed_as`` (where it stood, if given), what it says (``content_hash``, or
+    its name and files) and which of its equals it is, however the rows are dealt out;
+    ``landed_at``, its own ``scan_date``, or the ``scan_date`` given dates it, without which there is an error.
+    The judged submissions are stored once.
     """
     dates = [F.col(c).cast("timestamp_ntz") for c in ("landed_at", "scan_date") if c in payloads.columns]
     if not dates and scan_date is None:
         raise ValueError("a scan needs a date: pass scan_date, or submissions with landed_at or scan_date")
-    if "position" not in payloads.columns:
-        payloads = payloads.withColumn("position", F.monotonically_increasing_id())
-    place = [c for c in ("landed_as", "position") if c in payloads.columns]
-    named = payloads.withColumn("submission", F.sha2(F.to_json(F.struct(*place, "project_name")), 256))
-    judged = cut(admission.judged_payloads(named.withColumn("scan_date", F.coalesce(*dates, F.lit(scan_date).cast("timestamp_ntz")))))
+    content = "content_hash" if "content_hash" in payloads.columns else F.sha2(F.to_json(F.struct("project_name", "files")), 256)
+    when = F.coalesce(*dates, F.lit(scan_date).cast("timestamp_ntz"))
+    place = F.col("landed_as") if "landed_as" in payloads.columns else when
+    alike = F.sha2(F.to_json(F.struct(place.alias("place"), F.coalesce(content, F.lit("")).alias("content"))), 256)
+    named = payloads.select(
+        "*", alike.alias("submission"), when.alias("dated")).drop("scan_date").withColumnRenamed("dated", "scan_date")
+    judged = _apart(cut(admission.judged_payloads(named)))
     accepted = judged.filter(F.col("reason").isNull()).select(
         F.col("submission").alias("project_id"), "project_name", "scan_date")
     refused = judged.filter(F.col("reason").isNotNull()).select(*schema.names(schema.REFUSALS))

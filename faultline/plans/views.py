@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.operators import dashboard, graph, reports
-from faultline.sources.tables import read_table
+from faultline.sources.tables import read_table, scan_places
 
 
 class Stored(NamedTuple):
@@ -18,11 +18,12 @@ class Stored(NamedTuple):
     findings: DataFrame
     scan_metadata: DataFrame
     status_changes: DataFrame
+    database: str = "default"
 
 
 def stored(spark: SparkSession, database: str = "default", days: tuple | None = None) -> Stored:
-    return Stored(*[read_table(spark, t, database, days if t != "status_changes" else None)
-                    for t in Stored._fields])
+    tables = [read_table(spark, t, database, days if t != "status_changes" else None) for t in Stored._fields[:-1]]
+    return Stored(*tables, database)
 
 
 def list_reports(tables: Stored) -> DataFrame:
@@ -34,6 +35,12 @@ def _of(report: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.join(report.select("scan_id", "scan_day"), ["scan_id", "scan_day"], "left_semi")
 
 
+def _report(tables: Stored, scan_id: str) -> DataFrame:
+    """One report; the scan index names its day, so that other days are not read."""
+    place = scan_places(tables.reports.sparkSession, scan_id, tables.database)
+    return tables.reports.filter(F.col("scan_id") == scan_id).join(place, ["scan_id", "scan_day"], "left_semi")
+
+
 def _detail(tables: Stored, report: DataFrame) -> DataFrame:
     return reports.report_detail(
         report, _of(report, tables.findings), _of(report, tables.scan_metadata))
@@ -41,12 +48,12 @@ def _detail(tables: Stored, report: DataFrame) -> DataFrame:
 
 def get_report(tables: Stored, scan_id: str) -> DataFrame:
     """Report, metadata and findings of one scan; empty when it does not exist."""
-    return _detail(tables, tables.reports.filter(F.col("scan_id") == scan_id))
+    return _detail(tables, _report(tables, scan_id))
 
 
 def get_findings(tables: Stored, scan_id: str) -> DataFrame:
     """Findings of one existing scan with their present status, worst first."""
-    report = tables.reports.filter(F.col("scan_id") == scan_id)
+    report = _report(tables, scan_id)
     current = reports.current_status(_of(report, tables.findings), tables.status_changes)
     return reports.report_findings(report, current)
 

@@ -6,14 +6,16 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from faultline import seeds
+from faultline import schema, seeds
 from faultline.functions import paths
 from faultline.functions.severity import canonical_category
 from faultline.operators import admission
 from faultline.plans.scan import scan_payloads
 from faultline.queries import fixtures, oracle
 from faultline.session import shared_folder
+from faultline.sources import tables
 from faultline.sources.payloads import read_payloads
+from faultline.streaming import arrivals
 
 # Limits low enough for the small tables to break them.
 TOTAL_BYTES, FILE_COUNT, FILE_BYTES = 25_000_000, 6, 5_000_000
@@ -149,14 +151,19 @@ INLINE_FILES_SQL = f"""WITH {payload_cte()} SELECT j.project_name AS project_id,
 
 
 
-def stored_submissions(spark, sf_dir, project_name=None):
-    """The submissions written as JSON lines to the shared folder, and read back."""
+def written_submissions(spark, sf_dir, project_name=None):
+    """The folder in which the submissions stand as JSON lines."""
     given = payloads(spark, sf_dir)
     if project_name is not None:
         given = given.withColumn("project_name", project_name)
     folder = f"{shared_folder(spark)}/submissions-{uuid.uuid4().hex}"
     given.select(F.to_json(F.struct("project_name", "files")).alias("value")).write.text(folder)
-    return read_payloads(spark, folder)
+    return folder
+
+
+def stored_submissions(spark, sf_dir, project_name=None):
+    """The submissions written as JSON lines to the shared folder, and read back."""
+    return read_payloads(spark, written_submissions(spark, sf_dir, project_name))
 
 
 def stored_admission(spark, sf_dir):
@@ -168,12 +175,60 @@ def submission_scans(spark, sf_dir):
     """Reports and refusals of submissions whose project names repeat, counted by name."""
     source = F.regexp_replace("project_name", "-[0-9]+ $", "")
     result = scan_payloads(stored_submissions(spark, sf_dir, source), rule_set=())
-    rows = result.reports.select("project_name", F.lit(None).cast("string").alias("reason"), "scan_id").unionByName(
-        result.refusals.select("project_name", "reason", F.col("submission").alias("scan_id")))
+    return _by_name(result.reports, result.refusals)
+
+
+def _by_name(reports, refusals):
+    rows = reports.select("project_name", F.lit(None).cast("string").alias("reason"), "scan_id").unionByName(
+        refusals.select("project_name", "reason", F.col("submission").alias("scan_id")))
     return rows.groupBy("project_name", "reason").agg(
         F.count("*").alias("submissions"), F.countDistinct("scan_id").alias("scans"))
 
 
+def _database(spark):
+    """A new database in the shared folder."""
+    name = f"scans_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{shared_folder(spark)}/{name}'")
+    tables.create_tables(spark, name)
+    return name
+
+
+def stored_scans(spark, sf_dir):
+    """Submissions scanned with all rules, appended twice and read back, counted by name."""
+    result = scan_payloads(stored_submissions(spark, sf_dir, F.regexp_replace("project_name", "-[0-9]+ $", "")), keep=True)
+    name = _database(spark)
+    for _ in range(2):
+        tables.append_scan(result, name)
+    return _by_name(tables.read_table(spark, "reports", name), tables.read_table(spark, "refusals", name))
+
+
+def arrived_scans(spark, sf_dir):
+    """The same submissions scanned as a stream of files that have landed."""
+    source, name = F.regexp_replace("project_name", "-[0-9]+ $", ""), _database(spark)
+    folder = written_submissions(spark, sf_dir, source)
+    arrivals.scan_arrivals(spark, folder, f"{folder}-progress", name, once=True).awaitTermination()
+    return _by_name(tables.read_table(spark, "reports", name), tables.read_table(spark, "refusals", name))
+
+
+def status_log(spark, sf_dir):
+    """Order states logged as a stream, every change delivered twice, and the last one of each finding."""
+    changes = fixtures.read(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("finding_id"),
+        F.when(F.col("o_orderstatus") == "O", "OPEN").when(F.col("o_orderstatus") == "F", "FIXED").otherwise("IGNORED").alias("status"),
+        F.timestamp_seconds(F.unix_date(F.col("o_orderdate").cast("date")) * 86400).alias("changed_at"), F.col("o_orderkey").cast("long").alias("change_id"))
+    name = _database(spark)
+    folder = f"{shared_folder(spark)}/changes-{uuid.uuid4().hex}"
+    changes.union(changes).write.parquet(folder)
+    stream = spark.readStream.schema(schema.STATUS_CHANGES).parquet(folder)
+    arrivals.log_status_changes(stream, f"{folder}-progress", name, late_by="36500 days", once=True).awaitTermination()
+    log = tables.read_table(spark, "status_changes", name)
+    return log.groupBy("finding_id").agg(
+        F.count("*").alias("changes"), F.max_by("status", F.struct("changed_at", "change_id")).alias("status"))
+
+
+STATUS_SQL = """SELECT CAST(o_custkey AS VARCHAR) AS finding_id, count(*) AS changes,
+  max_by(CASE o_orderstatus WHEN 'O' THEN 'OPEN' WHEN 'F' THEN 'FIXED' ELSE 'IGNORED' END,
+    {'d': CAST(o_orderdate AS DATE), 'k': o_orderkey}) AS status FROM orders GROUP BY ALL"""
 SUBMISSIONS_SQL = f"""WITH {payload_cte().replace(str(MAX_BYTES), str(seeds.MAX_UPLOAD_BYTES))}
   SELECT regexp_replace(project_name, '-[0-9]+$', '') AS project_name, reason, count(*) AS submissions, count(*) AS scans
   FROM judged GROUP BY ALL"""
@@ -237,6 +292,7 @@ QUERIES = {
     "q_archive_totals": archive_totals, "q_project_root": project_root,
     "q_inline_admission": inline_admission, "q_inline_files": inline_files,
     "q_stored_admission": stored_admission, "q_submission_scans": submission_scans,
+    "q_stored_scans": stored_scans, "q_arrived_scans": arrived_scans, "q_status_log": status_log,
     "q_paths": path_forms, "q_category_norm": category_norm,
 }
 ORACLES = {
@@ -251,5 +307,6 @@ ORACLES = {
                         "CAST(coalesce(sum(size) FILTER (wanted), 0) AS BIGINT) AS admitted_bytes FROM judged GROUP BY project_id",
     "q_project_root": PROJECT_ROOT_SQL, "q_inline_admission": INLINE_SQL,
     "q_stored_admission": INLINE_SQL, "q_submission_scans": SUBMISSIONS_SQL,
+    "q_stored_scans": SUBMISSIONS_SQL, "q_arrived_scans": SUBMISSIONS_SQL, "q_status_log": STATUS_SQL,
     "q_inline_files": INLINE_FILES_SQL, "q_paths": PATHS_SQL, "q_category_norm": CATEGORY_SQL,
 }

@@ -44,6 +44,10 @@ SCAN_METADATA = (
 # Submissions that were not scanned, and why.
 REFUSALS = "submission string, project_name string, scan_date timestamp_ntz, reason string"
 
+# What was appended: one row per finished append, and the place of every scan and refusal.
+COMMITS = "commit_id string, scans bigint, refusals bigint"
+SCAN_INDEX = "scan_id string, commit_id string, scan_day date"
+
 STATUS_CHANGES = "finding_id string, status string, changed_at timestamp, change_id bigint"
 
 

@@ -13,15 +13,15 @@ from faultline.sources.tables import append_scan, append_status_changes
 
 def submissions(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
     """Submissions as their files land; the landing time of the file dates the scan."""
-    files = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder, wholetext=True)
+    files = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder, lineSep="\n")
     return submissions_in(files)
 
 
 def scan_batch(batch: DataFrame, database: str) -> None:
     """Scan the submissions of one batch and append the results and the refusals.
 
-    Every submission is a scan of its own, named by its file and its line, so a
-    batch that is run again adds nothing and equal submissions stay apart.
+    Every submission is a scan of its own, named by its file, what it says and which of its
+    equals it is, so a batch that is run again adds nothing and equal submissions stay apart.
     """
     append_scan(scan_payloads(batch, keep=True), database)
 

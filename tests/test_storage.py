@@ -118,6 +118,68 @@ def test_submissions_stream(spark, tmp_path, database):
     assert stored.reports.count() == 4 and refused.count() == 1
 
 
+def test_an_append_shows_all_its_tables_or_none(spark, files, database, monkeypatch):
+    result = scan(files(("p", "a.py", "eval(x)"), ("q", "b.py", "x = 1")), scan_date="2024-01-02 03:04:05", keep=True)
+    insert = tables._insert
+    for broken in ("scan_metadata", "reports", "scan_index", "commits"):
+        def stop(rows, table, broken=broken):
+            if table.endswith(broken):
+                raise OSError("lost")
+            insert(rows, table)
+
+        monkeypatch.setattr(tables, "_insert", stop)
+        with pytest.raises(OSError, match="lost"):
+            tables.append_scan(result, database)
+        stored = views.stored(spark, database)
+        assert [t.count() for t in (stored.reports, stored.findings, stored.scan_metadata)] == [0, 0, 0]
+    assert spark.read.table(f"{database}.findings").count() == 4  # what the broken appends left
+    monkeypatch.setattr(tables, "_insert", insert)
+    for _ in range(2):
+        tables.append_scan(result, database)
+        stored = views.stored(spark, database)
+        assert [t.count() for t in (stored.reports, stored.findings, stored.scan_metadata)] == [2, 1, 2]
+    assert spark.read.table(f"{database}.commits").count() == 1
+
+
+def test_a_report_is_found_by_the_index(spark, files, database):
+    table = files(("p", "a.py", "eval(x)"))
+    for day in range(1, 6):
+        tables.append_scan(scan(table, scan_date=f"2024-01-0{day} 00:00:00", keep=True), database)
+    scan_id = spark.read.table(f"{database}.reports").filter("scan_day = DATE'2024-01-03'").first().scan_id
+    found = views.get_findings(views.stored(spark, database), scan_id)
+    assert [r.scan_id for r in found.collect()] == [scan_id]
+    part = tables.index_part(F.lit(scan_id))
+    assert tables.scan_places(spark, scan_id, database).count() == 1
+    # Only one part of the index is listed, and only the day it names of the large tables.
+    plan = tables.scan_places(spark, scan_id, database)._jdf.queryExecution().executedPlan().toString()
+    number = spark.range(1).select(part).first()[0]
+    assert f"= {number})" in plan.split("PartitionFilters: ")[1].split("]")[0]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    for name in ("findings", "reports"):
+        scanned = next(line for line in plan.split("\n") if f"{database}.{name}[" in line)
+        assert "dynamicpruning" in scanned and "scan_day" in scanned, scanned
+
+
+def test_large_files_of_submissions_are_split_and_equal_ones_stay_apart(spark, tmp_path):
+    from faultline.plans.scan import scan_payloads
+
+    one = {"project_name": "a", "files": [{"filename": "w/x.py", "source_code": "eval(1) # " + "x" * 2000}]}
+    two = {"project_name": "b", "files": [{"filename": "y.py", "source_code": "x = 1"}]}
+    path = tmp_path / "in.json"
+    path.write_bytes(b"\r\n".join(json.dumps(s).encode() for s in [*[one] * 300, two, {"project_name": "", "files": []}]) + b"\n\r\n")
+    names = set()
+    for size in ("64k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        given = payloads.read_payloads(spark, str(path))
+        assert (given.rdd.getNumPartitions() > 4) == (size == "64k")
+        result = scan_payloads(given)
+        ids = [r.scan_id for r in result.reports.collect()]
+        assert len(ids) == len(set(ids)) == 301 and result.refusals.count() == 1
+        names.add(frozenset(ids))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(names) == 1  # the same names however the file was split
+
+
 def test_status_stream(spark, tmp_path, database):
     folder = tmp_path / "changes"
     rows = [("f", "FIXED", 10, 1), ("f", "FIXED", 10, 1), ("f", "OPEN", 20, 2)]
