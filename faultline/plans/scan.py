@@ -168,13 +168,12 @@ def _apart(judged: DataFrame) -> DataFrame:
     return cut(named.withColumn("submission", F.coalesce(nth, F.col("submission"))).drop("_tag", "_nth"))
 
 
-def scan_payloads(payloads: DataFrame, *, scan_date=None, **options) -> ScanResult:
-    """Scan inline submissions, each as a project of its own; refused ones are returned with their reason.
+def judged_submissions(payloads: DataFrame, scan_date=None) -> DataFrame:
+    """Submissions under names of their own, dated and judged, stored once.
 
     A submission is named by ``landed_as`` (where it stood, if given), what it says (``content_hash``, or
     its name and files) and which of its equals it is, however the rows are dealt out;
     ``landed_at``, its own ``scan_date``, or the ``scan_date`` given dates it, without which there is an error.
-    The judged submissions are stored once.
     """
     dates = [F.col(c).cast("timestamp_ntz") for c in ("landed_at", "scan_date") if c in payloads.columns]
     if not dates and scan_date is None:
@@ -185,7 +184,15 @@ def scan_payloads(payloads: DataFrame, *, scan_date=None, **options) -> ScanResu
     alike = F.sha2(F.to_json(F.struct(place.alias("place"), F.coalesce(content, F.lit("")).alias("content"))), 256)
     named = payloads.select(
         "*", alike.alias("submission"), when.alias("dated")).drop("scan_date").withColumnRenamed("dated", "scan_date")
-    judged = _apart(cut(admission.judged_payloads(named)))
+    return _apart(cut(admission.judged_payloads(named)))
+
+
+def scan_payloads(payloads: DataFrame, *, scan_date=None, **options) -> ScanResult:
+    """Scan inline submissions, each as a project of its own; refused ones are returned with their reason.
+
+    How they are named and dated, see :func:`judged_submissions`.
+    """
+    judged = judged_submissions(payloads, scan_date)
     accepted = judged.filter(F.col("reason").isNull()).select(
         F.col("submission").alias("project_id"), "project_name", "scan_date")
     refused = judged.filter(F.col("reason").isNotNull()).select(*schema.names(schema.REFUSALS))

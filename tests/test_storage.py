@@ -161,22 +161,22 @@ def test_a_report_is_found_by_the_index(spark, files, database):
 
 
 def test_large_files_of_submissions_are_split_and_equal_ones_stay_apart(spark, tmp_path):
-    from faultline.plans.scan import scan_payloads
+    from faultline.plans.scan import judged_submissions
 
     one = {"project_name": "a", "files": [{"filename": "w/x.py", "source_code": "eval(1) # " + "x" * 2000}]}
     two = {"project_name": "b", "files": [{"filename": "y.py", "source_code": "x = 1"}]}
     path = tmp_path / "in.json"
-    path.write_bytes(b"\r\n".join(json.dumps(s).encode() for s in [*[one] * 300, two, {"project_name": "", "files": []}]) + b"\n\r\n")
+    path.write_bytes(b"\r\n".join(json.dumps(s).encode() for s in [*[one] * 60, two, {"project_name": "", "files": []}]) + b"\n\r\n")
     names = set()
-    for size in ("64k", "128m"):
+    for size in ("16k", "128m"):
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
         given = payloads.read_payloads(spark, str(path))
-        assert (given.rdd.getNumPartitions() > 4) == (size == "64k")
-        result = scan_payloads(given)
-        ids = [r.scan_id for r in result.reports.collect()]
-        assert len(ids) == len(set(ids)) == 301 and result.refusals.count() == 1
-        names.add(frozenset(ids))
-    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert (given.rdd.getNumPartitions() > 4) == (size == "16k")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        rows = judged_submissions(given).select("submission", "project_name", "reason").collect()
+        assert len({r.submission for r in rows}) == len(rows) == 62
+        assert sorted(r.project_name for r in rows if r.reason is None) == ["a"] * 60 + ["b"]
+        names.add(frozenset(r.submission for r in rows))
     assert len(names) == 1  # the same names however the file was split
 
 
