@@ -88,3 +88,11 @@ def least_bin(df: DataFrame, bin: str, most: int) -> int:
 def columns_of(batch: pa.RecordBatch, *names: str) -> list[list]:
     """Columns of a batch as Python lists."""
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
+
+
+def unused(name: str, names: Iterable[str]) -> str:
+    """``name``, lengthened until no column bears it, whatever its case."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -1,7 +1,7 @@
 """Packing: documents as token ids, cut into pieces and laid into sequences of one length.
 
 A document longer than a sequence fills sequences of its own and leaves one shorter rest.
-The pieces are dealt into groups by a keyed hash and each group is packed by itself, by
+The rests are dealt into groups by a keyed hash and each group is packed by itself, by
 first-fit decreasing: the longest piece first, each into the first sequence with room.  A
 tournament tree over the room of the sequences finds that one in logarithmic time.
 """
@@ -16,12 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from faultline.llm.common import arrow_map, columns_of, default_tokenizer, reachable
+from faultline.llm.common import arrow_map, columns_of, default_tokenizer, reachable, unused
 from faultline.llm.encoding import ByteLevel, encoder
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 #: Documents in a group on average: enough for tight packing, few enough for one task.
 GROUP_DOCS = 2048
+#: Rows from which a group of full pieces is taken, and where the ids of their sequences begin.
+FULL_BLOCK = 2048
+FULL_IDS = 1 << 62
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, size: int = 1024) -> DataFrame:
@@ -86,8 +89,10 @@ def first_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np
 def pack(rows: DataFrame, n_docs: int, size: int = 1024, seed: int = 0) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with a ``length`` of 1 to ``size``.
 
-    ``n_docs`` (the number of documents) sets the number of groups.  The group hashes doc_id and
-    start, and the row's place, so that a repeated key is spread too.
+    ``n_docs`` (the number of documents) sets the number of groups of rests, of which a document has one
+    at most.  Their group hashes doc_id and start, and the row's place, so that a repeated key is spread too.
+    Full pieces, of any number, have sequences of their own; they stay in blocks of the rows they came with,
+    so that no group grows with the length of the documents.
     """
     reachable(rows.sparkSession)
     groups = max(1, -(-n_docs // GROUP_DOCS))
@@ -97,14 +102,18 @@ def pack(rows: DataFrame, n_docs: int, size: int = 1024, seed: int = 0) -> DataF
     order = [n for n in ("doc_id", "start") if n in names]
 
     def fit(part: pa.Table) -> pa.Table:
-        group = part.column("_group")[0].as_py()
+        group = part.column(own)[0].as_py()
         part = part.select(names).sort_by([(n, "ascending") for n in order])
         sequence, offset = first_fit_decreasing(part.column("length").to_numpy(), size)
-        part = part.append_column("sequence_id", pa.array(sequence + (group << 32), pa.int64()))
+        base = group << 32 if group >= 0 else FULL_IDS + (-1 - group) * FULL_BLOCK
+        part = part.append_column("sequence_id", pa.array(sequence + base, pa.int64()))
         return part.append_column("offset", pa.array(offset, pa.int64()))
 
-    key = F.pmod(F.xxhash64(F.lit(seed), *order, F.monotonically_increasing_id()), F.lit(groups))
-    return rows.select(*names).withColumn("_group", key).groupBy("_group").applyInArrow(fit, placed)
+    at = F.monotonically_increasing_id()
+    rest = F.pmod(F.xxhash64(F.lit(seed), *order, at), F.lit(groups))
+    key = F.when(F.col("length") < size, rest).otherwise(-1 - F.floor(at / FULL_BLOCK))
+    own = unused("_group", names)
+    return rows.select(*names).withColumn(own, key).groupBy(own).applyInArrow(fit, placed)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

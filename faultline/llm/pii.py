@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.common import arrow_map, columns_of, cut
+from faultline.llm.common import arrow_map, columns_of, cut, unused
 
 #: Given names by script and gender, and ends of drawn family names (plain lists).
 GIVEN = {
@@ -42,7 +43,8 @@ _TITLE = {t: g for g, titles in TITLES.items() for t in titles}
 _SECRET = r"(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)"
 #: One pattern per type, tried in this order at each place; the group ``v`` is the entity.
 PATTERNS = {
-    "email": r"(?P<v>[\w.+%'-]+@[\w-]+(?:\.[\w-]+)+)",
+    # What no address follows is passed over as a whole, so the time is linear.
+    "email": r"(?P<v>[\w.+%'-]++@[\w-]+(?:\.[\w-]+)+)|[\w.+%'-]++",
     "secret": rf"(?i:\b{_SECRET}\s*[:=]\s*[\"']?)(?P<v>[A-Za-z0-9_\-/+=.]{{6,}})",
     "key": r"(?<![A-Za-z0-9])(?P<v>[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9-]{20,}|xox[abp]-[A-Za-z0-9-]{10,})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])(?P<v>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
@@ -68,11 +70,13 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     # What a text must hold for an entity of a kind; numbers for those not named here.
     held = {"email": "@" in text, "secret": "=" in text or ":" in text, "name": any(t in text for t in _TITLE),
             "key": numbers or "AKIA" in text or "gh" in text and "_" in text or "sk-" in text or "xox" in text}
-    taken: list[tuple[int, int, str, str]] = []
+    taken: list[tuple[int, int, str, str]] = []  # in the order of places
     for kind, pattern in _PATTERNS.items():
         if not held.get(kind, numbers):
             continue
         for m in pattern.finditer(text):
+            if m["v"] is None:
+                continue
             start, end = m.span("v")
             value, gender = m["v"], ""
             if kind not in ("email", "name") and not value.isascii():
@@ -89,9 +93,10 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 end = start + len(value)
             if not any(map(str.isalnum, value)):
                 continue  # nothing to replace
-            if not any(start < e and s < end for s, e, *_ in taken):
-                taken.append((start, end, kind, canonical(kind, value, gender)))
-    return sorted(taken)
+            at = bisect_left(taken, (start,))
+            if (at == len(taken) or taken[at][0] >= end) and (at == 0 or taken[at - 1][1] <= start):
+                taken.insert(at, (start, end, kind, canonical(kind, value, gender)))
+    return taken
 
 
 def canonical(kind: str, value: str, gender: str = "") -> str:
@@ -280,15 +285,16 @@ def pseudonymised(docs: DataFrame, key: bytes = b"surrogates") -> DataFrame:
     names = docs.columns
     place = names.index("text")
     schema = docs.withColumn("n_entities", F.lit(0).cast("long")).schema
+    hash_name, drawn_again = unused("_text_hash", names), unused("_attempts", names)
     found = cut(found_in(docs))
     # One row per text with entities drawn again; two texts of one hash only get each other's too.
     again = cut(found.join(drawn(found, key).filter("attempt > 0"), ["kind", "canonical"])
-                .groupBy("text_hash").agg(F.collect_set(F.struct("kind", "canonical", "attempt")).alias("_attempts")))
+                .groupBy("text_hash").agg(F.collect_set(F.struct("kind", "canonical", "attempt")).alias(drawn_again)))
     n = again.count()
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = columns_of(batch, "text")[0]
-        known = columns_of(batch, "_attempts")[0] if n else [None] * len(texts)
+        known = columns_of(batch, drawn_again)[0] if n else [None] * len(texts)
         rows = [(None, 0) if t is None else replacer(key, {(a["kind"], a["canonical"]): a["attempt"] for a in of or ()})(t)
                 for t, of in zip(texts, known, strict=True)]
         new = pa.RecordBatch.from_arrays(
@@ -296,8 +302,8 @@ def pseudonymised(docs: DataFrame, key: bytes = b"surrogates") -> DataFrame:
         yield new.append_column("n_entities", pa.array([r[1] for r in rows], pa.int64()))
 
     if n:
-        hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
-        again = again.withColumnRenamed("text_hash", "_text_hash")
-        joined = hashed.join(F.broadcast(again) if n <= SENT_TEXTS else again, "_text_hash", "left")
-        docs = joined.select(*names, "_attempts")
+        hashed = docs.withColumn(hash_name, F.xxhash64("text"))
+        again = again.withColumnRenamed("text_hash", hash_name)
+        joined = hashed.join(F.broadcast(again) if n <= SENT_TEXTS else again, hash_name, "left")
+        docs = joined.select(*names, drawn_again)
     return arrow_map(docs, run, schema)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -81,3 +84,27 @@ def test_small_spaces_are_left_by_longer_draws(docs, monkeypatch):
         want = got
     longer = pii.surrogate("phone", "+1234567", KEY, 7)
     assert len(longer) == 11 and pii.dressed("phone", longer, "+1 23 45 67").replace(" ", "") == longer
+
+
+def test_columns_of_the_caller_stay(docs):
+    texts = [f"password=-----{chr(97 + i)} x" for i in range(26)]
+    frame = docs(*texts).selectExpr("*", "doc_id AS _attempts", "'kept' AS _Text_Hash")
+    rows = pii.pseudonymised(frame).collect()
+    assert {r._Text_Hash for r in rows} == {"kept"} and all(r._attempts == r.doc_id for r in rows)
+    assert len({r.text for r in rows}) == 26 and not {r.text for r in rows} & set(texts)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab@.+-_ 1,", max_size=40))
+def test_addresses_equal_a_plain_search(text):
+    plain = re.compile(r"[\w.+%'-]+@[\w-]+(?:\.[\w-]+)+")
+    want = [m.span() for m in plain.finditer(text)]
+    got = [(s, e) for s, e, kind, _ in pii.find(text) if kind == "email"]
+    cut = [(s, s + len(text[s:e].rstrip(".-"))) for s, e in want]
+    assert got == [(s, e) for s, e in cut if any(map(str.isalnum, text[s:e]))]
+
+
+def test_long_texts_take_linear_time():
+    started = time.perf_counter()
+    assert len(pii.find("z" * 300_000 + "@ " + "jo@ex.org " * 20_000)) == 20_000
+    assert time.perf_counter() - started < 5

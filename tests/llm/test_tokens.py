@@ -215,3 +215,20 @@ def test_pieces_memory_is_bounded(monkeypatch):
     texts = [" ".join(f"w{i * k}" for k in range(200)) for i in range(20)]
     got = [encoder(t, i) for i, t in enumerate(texts)]
     assert len(encoder.known) < 400 and got == plain.batch(texts, list(range(20)))
+
+
+def test_full_pieces_take_sequences_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(packing, "FULL_BLOCK", 16)
+    rows = spark.range(500, numPartitions=3).selectExpr(
+        "id DIV 10 AS doc_id", "id % 10 * 64 AS start", "CAST(if(id % 10 < 9, 64, 1 + id DIV 10) AS long) AS length", "'x' AS _group")
+    packed = packing.pack(rows, 50, size=64)
+    got = packed.collect()
+    assert packed.columns == ["doc_id", "start", "length", "_group", "sequence_id", "offset"] and {r._group for r in got} == {"x"}
+    full = [r.sequence_id for r in got if r.length == 64]
+    rest = {r.sequence_id for r in got if r.length < 64}
+    assert len(got) == 500 and len(set(full)) == len(full) == 450 and not rest & set(full) and min(full) >= packing.FULL_IDS
+    filled = {}
+    for r in sorted((r for r in got if r.length < 64), key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == filled.get(r.sequence_id, 0)
+        filled[r.sequence_id] = r.offset + r.length
+    assert max(filled.values()) <= 64 and len(rest) <= 25
