@@ -270,7 +270,7 @@ class Encoder:
         self.rounds = Rounds(self.model)
         self.lots = Lots(dropout, seed) if dropout > 0 else None
         self.known = Known()
-        self.line_end = struct.pack("<2I", 0, self.model.bytes[10])
+        self.line_end = struct.pack("<I", self.model.bytes[10])
 
     def key(self, doc_id: int | None) -> int:
         of = str(doc_id) if self.variants is None else str(zlib.crc32(str(doc_id).encode()) % self.variants)
@@ -339,7 +339,7 @@ class Encoder:
         plain = (signs <= LONGEST) & (np.minimum.reduceat(codes, first_code) >= 0)
         found = self.known.find(distinct)
         if "\n" in distinct:
-            found[distinct.index("\n")] = self.line_end
+            found[distinct.index("\n")] = struct.pack("<I", 0) + self.line_end
         new = np.fromiter((f is None for f in found), bool, len(found))
         if new.any():
             ids, sizes, taken = self.rounds.merge(codes[np.repeat(new & plain, signs)], signs[new & plain])
