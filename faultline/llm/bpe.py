@@ -314,8 +314,8 @@ class Encoder:
         seen, alone = np.flatnonzero(place >= 0), pieces.single() & (pieces.length <= 2 * LONGEST)
         words, unseen = np.flatnonzero((place < 0) & alone), np.flatnonzero((place < 0) & ~alone)
         signs = pieces.signs.tobytes()
-        spans = zip(pieces.start[unseen].tolist(), (pieces.start + pieces.length)[unseen].tolist(), strict=True)
-        merged = [self._unseen(signs[a:b]) for a, b in spans]
+        bounds = zip(pieces.start[unseen].tolist(), (pieces.start + pieces.length)[unseen].tolist(), strict=True)
+        merged = [self._unseen(signs[a:b]) for a, b in bounds]
         size = np.zeros(len(place), np.int64)
         size[unseen] = np.fromiter(map(len, merged), np.int64, len(merged))
         of_words, size[words] = self.vocabulary.ranks.merge(

@@ -139,3 +139,10 @@ def test_empty_table(docs):
     assert bpe.encode(none, lexicon).collect() == bpe.digests(none, lexicon).collect() == []
     some = docs("a b", None)
     assert sorted(map(tuple, bpe.encode(some, lexicon).collect())) == [(0, [64, 275]), (1, [])]
+
+
+def test_block_of_words_unsure_pieces_and_special_strings(library, encoders):
+    # Merged in rounds, merged one by one and looked up, in one block.
+    texts = ["plainwords 日本don't<|endoftext|> word", "", "é ﬀ don't  x", "<|endoftext|>"]
+    for encoder in encoders:
+        assert coded(encoder, texts) == plain(library, texts)
