@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,6 +55,9 @@ VERSION = (
     r"(?:-(\d+)|[-_.]?(post|rev|r)[-_.]?(\d*))?(?:[-_.]?(dev)[-_.]?(\d*))?(?:\+([a-z0-9]+(?:[-_.][a-z0-9]+)*))?$")
 CLAUSE = r"(?s)^\s*(~=|===|==|!=|<=|>=|<|>)\s*(.+?)\s*$"
 
+# All parts of a version in one pass; none of them holds the sign between them.
+_PARTS = "/".join(f"${i}" for i in range(1, 11)) + "/"
+
 _NUMBER = "decimal(38,0)"
 # Ranks of what stands behind a release: a development release alone comes before any pre-release.
 _BEFORE_PRE, _PRE_RANKS, _NO_PRE = 0, {"a": 1, "alpha": 1, "b": 2, "beta": 2, "c": 3, "rc": 3, "pre": 3, "preview": 3}, 4
@@ -66,20 +71,28 @@ def _numbers(digits: Column) -> Column:
     return F.transform(F.split(digits, r"\."), lambda n: n.try_cast(_NUMBER))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is computed once a row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def version_key(version: Column) -> Column:
     """A struct that orders versions of every form as they are meant; null for what is none.
 
     ``given`` are the release numbers as written; they come last and take no part in comparisons by :func:`order_of`.
     """
-    plain = F.trim(version, F.lit(WHITESPACE))
+    return _once(F.trim(version, F.lit(WHITESPACE)), lambda plain: F.when(plain.rlike(VERSION), _once(
+        F.split(F.regexp_replace(plain, VERSION, _PARTS), "/"), lambda parts: _once(_numbers(F.get(parts, F.lit(1))), lambda given: _key_of(parts, given)))))
 
+
+def _key_of(parts: Column, given: Column) -> Column:
+    """The key of a version from its parts and its release numbers; null if a number is too long."""
     def part(i: int) -> Column:
-        return F.regexp_extract(plain, VERSION, i)
+        return F.get(parts, F.lit(i - 1))
 
-    release, pre = part(2), F.lower(part(3))
+    pre = F.lower(part(3))
     has_post, has_dev = (part(5) != "") | (part(6) != ""), part(8) != ""
-    given = _numbers(release)
-    stripped = F.slice(given, 1, F.size(F.split(F.regexp_replace(release, r"(\.0+)+$", ""), r"\.")))
+    stripped = F.slice(given, 1, F.size(F.split(F.regexp_replace(part(2), r"(\.0+)+$", ""), r"\.")))
     pre_rank = F.when((pre == "") & ~has_post & has_dev, _BEFORE_PRE).when(pre == "", _NO_PRE)
     for letters, rank in _PRE_RANKS.items():
         pre_rank = pre_rank.when(pre == letters, rank)
@@ -91,7 +104,7 @@ def version_key(version: Column) -> Column:
         F.when(has_post, _number(F.concat(part(5), part(7)))).otherwise(F.lit(-1).cast(_NUMBER)).alias("post"),
         (~has_dev).cast("int").alias("final"), _number(part(9)).alias("dev_number"), local.alias("local"), given.alias("given"))
     numbers = F.concat(given, F.array(*[_number(part(i)) for i in (1, 4, 5, 7, 9)]))
-    return F.when(plain.rlike(VERSION) & F.forall(numbers, lambda n: n.isNotNull()), key)
+    return F.when(F.forall(numbers, lambda n: n.isNotNull()), key)
 
 
 def order_of(key: Column, local: bool = True) -> Column:
@@ -117,16 +130,19 @@ def clauses(specifier: Column) -> Column:
     """The clauses of a specifier such as ``>=1.2,<2,!=1.5.*``; null if one of them is none, empty if there are none."""
     written = F.filter(F.split(specifier, ","), lambda c: F.trim(c, F.lit(WHITESPACE)) != "")
 
-    def parsed(clause: Column) -> Column:
-        sign, text = F.regexp_extract(clause, CLAUSE, 1), F.regexp_extract(clause, CLAUSE, 2)
+    def parsed(sign: Column, text: Column) -> Column:
         wild = sign.isin("==", "!=") & text.endswith(".*")
         return F.struct(sign.alias("sign"), text.alias("text"), wild.alias("wild"),
                         version_key(F.when(wild, F.regexp_replace(text, r"\.\*$", "")).otherwise(text)).alias("key"))
 
-    found = F.transform(written, parsed)
-    usable = F.forall(found, lambda c: (c["sign"] == "===") | c["key"].isNotNull() & (
-        (c["sign"] != "~=") | (F.size(c["key"]["given"]) > 1)) & (~c["wild"] | (c["key"]["final"] == 1) & (F.size(c["key"]["local"]) == 0)))
-    return F.when(usable, found)
+    found = F.transform(written, lambda clause: _once(
+        F.struct(F.regexp_extract(clause, CLAUSE, 1).alias("sign"), F.regexp_extract(clause, CLAUSE, 2).alias("text")), lambda c: parsed(c["sign"], c["text"])))
+
+    def usable(c: Column) -> Column:
+        return (c["sign"] == "===") | c["key"].isNotNull() & (
+            (c["sign"] != "~=") | (F.size(c["key"]["given"]) > 1)) & (~c["wild"] | (c["key"]["final"] == 1) & (F.size(c["key"]["local"]) == 0))
+
+    return _once(found, lambda found: F.when(F.forall(found, usable), found))
 
 
 def normal_text(key: Column) -> Column:
@@ -165,6 +181,8 @@ def satisfies(key: Column, parsed: Column) -> Column:
 
     A pre-release does so only if a clause other than ``<``, ``>`` and ``!=`` names one.
     """
-    named = F.exists(parsed, lambda c: c["sign"].isin("==", "===", ">=", "<=", "~=") & F.coalesce(_is_pre(c["key"]), F.lit(False)))
-    kept = (~_is_pre(key) | named) & F.forall(parsed, lambda c: _fulfils(key, c))
-    return F.coalesce(key.isNotNull() & parsed.isNotNull() & kept, F.lit(False))
+    def kept(key: Column, parsed: Column) -> Column:
+        named = F.exists(parsed, lambda c: c["sign"].isin("==", "===", ">=", "<=", "~=") & F.coalesce(_is_pre(c["key"]), F.lit(False)))
+        return key.isNotNull() & parsed.isNotNull() & (~_is_pre(key) | named) & F.forall(parsed, lambda c: _fulfils(key, c))
+
+    return F.coalesce(_once(key, lambda key: _once(parsed, lambda parsed: kept(key, parsed))), F.lit(False))
