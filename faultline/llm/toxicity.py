@@ -10,7 +10,8 @@ document gives the score; only its weights are fitted on a bounded sample.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import arrow_map, columns_of, cut, least_bin, reachable
+from faultline.llm.common import arrow_map, columns_of, cut, held, least_bin, reachable
 
 #: Common English insults (plain words), for use without labels.
 SEED_TERMS = ("bastard", "clown", "coward", "creep", "degenerate", "disgusting", "dumb", "fool", "freak", "garbage", "idiot", "imbecile",
@@ -160,6 +161,91 @@ class Automaton:
         return found
 
 
+def shortened(word: str, edits: int) -> Iterator[str]:
+    """The word, and what leaving out up to ``edits`` signs makes of it; some more than once."""
+    yield word
+    if edits:
+        for at in range(len(word)):
+            less = word[:at] + word[at + 1:]
+            if edits > 2:
+                yield from shortened(less, edits - 1)
+                continue
+            yield less
+            if edits == 2:
+                for other in range(at, len(less)):
+                    yield less[:other] + less[other + 1:]
+
+
+class Nearby:
+    """The terms that share a shortened form with a word.
+
+    Two words within k edits of each other become equal by leaving out up to k signs of each.  Kept are sorted
+    hashes of the terms' forms, for each number of edits, and a field of bits that settles most questions.
+    """
+
+    def __init__(self, terms: list[str], limits: list[int]):
+        self.fields = []
+        for edits in sorted({n for n in limits if n}):
+            of = [(i, t) for i, (t, n) in enumerate(zip(terms, limits, strict=True)) if n == edits]
+            hashes, owners = [], []
+            for i, term in of:
+                forms = [hash(f) for f in {*shortened(term, edits)}]
+                hashes += forms
+                owners += [i] * len(forms)
+            known, owner = np.array(hashes, np.int64), np.array(owners, np.int32)
+            order = np.argsort(known, kind="stable")
+            bits = min(28, max(10, (256 * len(known)).bit_length()))
+            field, mask = np.zeros(1 << bits - 3, np.uint8), (1 << bits) - 1
+            np.bitwise_or.at(field, (known & mask) >> 3, np.left_shift(1, known & 7).astype(np.uint8))
+            lengths = [len(t) for _, t in of]
+            self.fields.append((edits, min(lengths) - edits, max(lengths) + edits, mask, field.tobytes(), known[order], owner[order]))
+
+    def __call__(self, word: str) -> list[int]:
+        found: set[int] = set()
+        for edits, least, most, mask, field, known, owner in self.fields:
+            if least <= len(word) <= most:
+                hits = [h for h in map(hash, shortened(word, edits)) if field[(h & mask) >> 3] >> (h & 7) & 1]
+                if hits:
+                    first, behind = known.searchsorted(hits), known.searchsorted(hits, "right")
+                    for a, b in zip(first.tolist(), behind.tolist(), strict=True):
+                        found.update(owner[a:b].tolist())
+        return sorted(found)
+
+
+class Matcher:
+    """The matches of one automaton of all terms and stems, by smaller ones.
+
+    The trie of all is walked without edits; a word that it does not match is asked of the automata of those
+    terms only that share a shortened form with it, so that states stay few and small.
+    """
+
+    def __init__(self, terms: list[str], stems: list[str] = (), limits: list[int] | None = None):
+        self.terms, self.limits = terms, [edits_for(t) for t in terms] if limits is None else limits
+        self.plain = Automaton(terms, stems, [0] * len(terms))
+        self.nearby = Nearby(terms, self.limits)
+        self.single: dict[int, Automaton] = {}
+        self.entries = 0
+
+    def match(self, word: str) -> tuple[int, int] | None:
+        """The nearest term within its edits, and the edits; ties to the first term; a stem before a term with edits."""
+        best = self.plain.match(word)
+        if best is None:
+            for term in self.nearby(word):
+                if self.entries > ENTRIES:
+                    self.single.clear()
+                    self.entries = 0
+                one = self.single.get(term)
+                if one is None:
+                    one = self.single[term] = Automaton([self.terms[term]], (), [self.limits[term]])
+                    self.entries += one.entries
+                before = one.entries
+                found = one.match(word)
+                self.entries += one.entries - before
+                if found and (best is None or found[1] < best[1]):
+                    best = term, found[1]
+        return best
+
+
 class Counts(NamedTuple):
     """Documents of each label, and how often each term stands in them."""
 
@@ -185,7 +271,7 @@ class Lexicon(dict):
     def __init__(self, terms: list[str], ordinary: frozenset[str] = frozenset(), stems: list[str] = (), limits: list[int] | None = None,
                  counts: Counts | None = None):
         super().__init__()
-        self.automaton, self.ordinary, self.size = Automaton(terms, stems, limits), ordinary, 0
+        self.automaton, self.ordinary, self.size = Matcher(terms, stems, limits), ordinary, 0
         self.counts = counts or Counts(0, 0, (None,) * (len(terms) + len(stems)))
 
     def __missing__(self, word: str) -> tuple[int, int] | None:
@@ -262,16 +348,21 @@ class ToxicityModel(NamedTuple):
         return Lexicon(self.terms, self.ordinary, self.stems, self.limits, self.counts)
 
 
+def _held_lexicon(model: ToxicityModel) -> Callable[[], Lexicon]:
+    """Gives each worker the lexicon of a model, made once for all its tasks."""
+    name = uuid.uuid4().hex
+    return lambda: held((Lexicon, name), model.lexicon)
+
+
 def _features(docs: DataFrame, model: ToxicityModel, label: str | None = None) -> DataFrame:
     """The features of each text; with ``label``, those of a document that does not count itself, and its label."""
     kept = ["doc_id", *([label] if label else [])]
-    made: list[Lexicon] = []
+    lexicon = _held_lexicon(model)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(model.lexicon())
+        of = lexicon()
         columns = columns_of(batch, "text", *([label] if label else []))
-        rows = [features(*((r[0], made[0], *r[1:]))) for r in zip(*columns, strict=True)]
+        rows = [features(*((r[0], of, *r[1:]))) for r in zip(*columns, strict=True)]
         yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept),
                                           *(pa.array(c, pa.float64()) for c in zip(*rows, strict=True))], [*kept, *FEATURES])
 
@@ -370,9 +461,10 @@ def train(labelled: DataFrame, most_rows: int = 4000, most_terms: int = 8000, mo
 
 def _without_ordinary(model: ToxicityModel, counts: DataFrame, most: int) -> ToxicityModel:
     """The model with its ordinary words, and with fewer edits for terms near ordinary words that are not listed."""
-    lookup = model.lexicon()
+    lexicon = _held_lexicon(model)
 
     def resembling(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        lookup = lexicon()
         words, bad, good = columns_of(batch, "word", "bad", "good")
         near = [(w, m[0], m[1], g) for w, b, g in zip(words, bad, good, strict=True)
                 if b * model.counts.others < RATIO * g * model.counts.toxic and (m := lookup[w]) and m[1]]

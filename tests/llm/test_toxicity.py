@@ -37,6 +37,26 @@ def test_automaton(term, edits):
     assert AUTOMATON.match(word) == (best and (best[1], best[0]))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.text("abé", min_size=1, max_size=11), st.integers(0, 3)), max_size=6, unique_by=lambda x: x[0]),
+       st.sets(st.text("abé", min_size=2, max_size=4), max_size=2), st.lists(st.text("abéx", max_size=12), max_size=8))
+def test_matcher_is_one_automaton_of_all_terms(terms, stems, words):
+    given_terms, limits, stems = [t for t, _ in terms], [n for _, n in terms], sorted(stems)
+    whole, parts = toxicity.Automaton(given_terms, stems, limits), toxicity.Matcher(given_terms, stems, limits)
+    for word in words + given_terms:
+        assert parts.match(word) == whole.match(word)
+
+
+def test_words_far_from_all_terms_make_no_states():
+    terms = [a + b + "ortless" for a in "abcdefgh" for b in "ijklmnop"]
+    matcher = toxicity.Lexicon(terms).automaton
+    for a in "qrstuvwxyz":
+        for b in "qrstuvwxyz":
+            assert matcher.match(a + b + "umbrella") is None
+    # One automaton of all terms makes some thousands here.
+    assert matcher.entries + matcher.plain.entries < 1000 and matcher.match("ajortles") == (terms.index("ajortless"), 1)
+
+
 def test_scores(spark, docs):
     model = toxicity.train(docs().selectExpr("*", "0 AS toxic"))
     texts = ["you are a stupid idiot", "you 1d10t and m0ron, pathetic scum", "wortless stupidd morons everywhere, scum", "a fine day",
