@@ -68,10 +68,12 @@ class Stretches(dict):
     def __init__(self, tokenizer, before: str = "", lower: bool = False):
         super().__init__()
         self.tokenizer, self.before, self.lower, self.old, self.size = tokenizer, before, lower, {}, 0
+        # Asked of the tokenizer each time, the model would be wrapped anew for every word.
+        self.model = tokenizer.model
 
     def merged(self, pretoken: str) -> bytes:
         signs = pretoken.encode().decode("latin-1").translate(SIGNS)
-        return _packed([t.id for t in self.tokenizer.model.tokenize(signs)])
+        return _packed([t.id for t in self.model.tokenize(signs)])
 
     def encode(self, stretch: str) -> bytes:
         if plain := _PLAIN.fullmatch(stretch):

@@ -232,3 +232,21 @@ def test_full_pieces_take_sequences_of_their_own(spark, monkeypatch):
         assert r.offset == filled.get(r.sequence_id, 0)
         filled[r.sequence_id] = r.offset + r.length
     assert max(filled.values()) <= 64 and len(rest) <= 25
+
+
+def test_the_model_is_taken_from_the_tokenizer_once():
+    from faultline.llm.common import default_tokenizer
+    from faultline.llm.encoding import Stretches, load
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.asked = tokenizer, 0
+
+        @property
+        def model(self):
+            self.asked += 1
+            return self.tokenizer.model
+
+    tokenizer = Counted(load(default_tokenizer("word_bpe_49k.json")))
+    stretch = Stretches(tokenizer, lower=True)
+    assert all(len(stretch[w]) for w in ("plain", "words", "behind.", "others")) and tokenizer.asked == 1
