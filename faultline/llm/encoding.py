@@ -10,6 +10,8 @@ included.  Ids are kept as little-endian unsigned 32-bit integers.
 
 from __future__ import annotations
 
+import codecs
+import functools
 import os
 import re
 import struct
@@ -42,7 +44,8 @@ def load(path: str):
 _LATIN = re.compile(r"[\x00-\xff]*")
 #: A word of plain letters with plain signs behind it: two pre-tokens in every vocabulary here,
 #: unchanged by composition, so the merges of the model apply to them directly.
-_PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?$%&*#|]*)")
+_LETTERS = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_BEHIND = ".,;:!?$%&*#|"
 
 
 def _byte_signs() -> dict[int, int]:
@@ -53,10 +56,17 @@ def _byte_signs() -> dict[int, int]:
 
 
 SIGNS = _byte_signs()
+#: The signs of all bytes, as a table for decoding.
+_SHOWN = "".join(chr(SIGNS.get(b, b)) for b in range(256))
+
+
+@functools.lru_cache(64)
+def _layout(n: int) -> struct.Struct:
+    return struct.Struct(f"<{n}I")
 
 
 def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _layout(len(ids)).pack(*ids)
 
 
 class Stretches(dict):
@@ -70,16 +80,24 @@ class Stretches(dict):
         self.tokenizer, self.before, self.lower, self.old, self.size = tokenizer, before, lower, {}, 0
         # Asked of the tokenizer each time, the model would be wrapped anew for every word.
         self.model = tokenizer.model
+        #: The ids of the one or two signs that stand behind words.
+        self.behind: dict[str, bytes] = {}
 
     def merged(self, pretoken: str) -> bytes:
-        signs = pretoken.encode().decode("latin-1").translate(SIGNS)
+        signs = codecs.charmap_decode(pretoken.encode(), "strict", _SHOWN)[0]
         return _packed([t.id for t in self.model.tokenize(signs)])
 
     def encode(self, stretch: str) -> bytes:
-        if plain := _PLAIN.fullmatch(stretch):
-            word, signs = plain.groups()
-            if signs:
-                return self[word] + self.merged(signs)
+        word = stretch.rstrip(_BEHIND)
+        if word.isalpha() and (word.isascii() or _LETTERS.fullmatch(word)):
+            if len(word) < len(stretch):
+                signs = stretch[len(word):]
+                ids = self.behind.get(signs)
+                if ids is None:
+                    ids = self.merged(signs)
+                    if len(signs) <= 2:
+                        self.behind[signs] = ids
+                return self[word] + ids
             return self.merged(self.before + (word.lower() if self.lower else word))
         return _packed(self.tokenizer.encode(self.before + stretch, add_special_tokens=False).ids)
 

@@ -41,6 +41,28 @@ def test_stretches_give_the_ids_of_the_library(kind, path):
         assert encode(text or "") == np.asarray(library(path, text), "<u4").tobytes()
 
 
+class Asked:
+    """A model that notes what it is asked."""
+
+    def __init__(self, model):
+        self.model, self.words = model, []
+
+    def tokenize(self, word):
+        self.words.append(word)
+        return self.model.tokenize(word)
+
+
+@pytest.mark.parametrize(("kind", "path"), [(encoding.ByteLevel, BYTE), (encoding.WordLevel, WORD)])
+def test_signs_behind_words_are_asked_once(kind, path):
+    encode, text = kind(path), "the, of, größe, años, of?! the?! és,"
+    parts = [p for p in vars(encode).values() if isinstance(p, encoding.Stretches)]
+    for part in parts:
+        part.model = Asked(part.model)
+    assert encode(text) == np.asarray(library(path, text), "<u4").tobytes()
+    for part in parts:
+        assert part.model.words and len(part.model.words) == len(set(part.model.words))
+
+
 def test_token_counts(docs):
     rows = token_counts.token_counts(docs(*ODD, (3, "word")), chunk=1000, overlap=16).collect()
     assert sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in rows) == sorted(
