@@ -10,8 +10,12 @@ document gives the score; only its weights are fitted on a bounded sample.
 
 from __future__ import annotations
 
+import collections
+import functools
+import itertools
+import math
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -20,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.common import arrow_map, columns_of, cut, held, least_bin, reachable
+from faultline.llm.jaccard import U, mix
 
 #: Common English insults (plain words), for use without labels.
 SEED_TERMS = ("bastard", "clown", "coward", "creep", "degenerate", "disgusting", "dumb", "fool", "freak", "garbage", "idiot", "imbecile",
@@ -35,6 +40,11 @@ LEET = str.maketrans("013457@$", "oieastas")
 AROUND = 4
 #: Bytes of words that a worker remembers, and entries of automaton states.
 MEMORY, ENTRIES = 24 << 20, 300_000
+#: Signs of texts whose words are matched at once, and forms of words.
+BLOCK, FORMS = 1 << 20, 1 << 17
+#: Base of the hash of forms, and its inverse among 64-bit numbers.
+BASE = U(0x9E3779B97F4A7C15)
+BACK = U(pow(int(BASE), -1, 1 << 64))
 #: Marks of documents (12 bytes each) that are sent to every executor.
 SENT_LABELS = 1_000_000
 #: Letters of a stem, least and most, and most of a whole term.
@@ -161,19 +171,39 @@ class Automaton:
         return found
 
 
-def shortened(word: str, edits: int) -> Iterator[str]:
-    """The word, and what leaving out up to ``edits`` signs makes of it; some more than once."""
-    yield word
-    if edits:
-        for at in range(len(word)):
-            less = word[:at] + word[at + 1:]
-            if edits > 2:
-                yield from shortened(less, edits - 1)
-                continue
-            yield less
-            if edits == 2:
-                for other in range(at, len(less)):
-                    yield less[:other] + less[other + 1:]
+@functools.lru_cache(1024)
+def left_out(length: int, edits: int) -> np.ndarray:
+    """The ways to leave out ``edits`` of ``length`` signs: one column of places each, rising."""
+    return np.array([*itertools.combinations(range(length), edits)], np.intp).reshape(math.comb(length, edits), edits).T
+
+
+def forms(words: list[str], edits: int) -> Iterator[np.ndarray]:
+    """Hashes of the words, and of what leaving out up to ``edits`` signs makes of them (way, word); all words have one length.
+
+    The hash is a polynomial.  That of a shortened word is its own and one number for each sign left out, so
+    the shortened words need not be made.
+    """
+    length = len(words[0])
+    signs = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), length).T
+    power = np.cumprod(np.concatenate((np.ones(1, U), np.full(length, BASE))))[:length, None]
+    sums = np.zeros((length + 1, len(words)), U)
+    np.cumsum(mix(signs.astype(U) + U(1)) * power, axis=0, out=sums[1:])
+    gaps = sums[:-1] - BACK * sums[1:]
+    for left in range(min(edits, length) + 1):
+        shift = [U(pow(int(BACK), n, 1 << 64)) for n in range(left + 1)]
+        out = np.broadcast_to(shift[left] * sums[length], (left_out(length, left).shape[1], len(words)))
+        for places, factor in zip(left_out(length, left), shift, strict=False):
+            out = out + (factor * gaps)[places]
+        yield out
+
+
+def by_length(words: list[str], least: int, most: int) -> Iterator[tuple[int, list[int]]]:
+    """The places of the words of each length between ``least`` and ``most``."""
+    places = collections.defaultdict(list)
+    for place, word in enumerate(words):
+        if least <= len(word) <= most:
+            places[len(word)].append(place)
+    yield from places.items()
 
 
 class Nearby:
@@ -186,30 +216,39 @@ class Nearby:
     def __init__(self, terms: list[str], limits: list[int]):
         self.fields = []
         for edits in sorted({n for n in limits if n}):
-            of = [(i, t) for i, (t, n) in enumerate(zip(terms, limits, strict=True)) if n == edits]
+            of = np.flatnonzero(np.array(limits) == edits)
+            names = [terms[i] for i in of]
+            lengths = [*map(len, names)]
             hashes, owners = [], []
-            for i, term in of:
-                forms = [hash(f) for f in {*shortened(term, edits)}]
-                hashes += forms
-                owners += [i] * len(forms)
-            known, owner = np.array(hashes, np.int64), np.array(owners, np.int32)
+            for _, places in by_length(names, 0, max(lengths)):
+                for made in forms([names[i] for i in places], edits):
+                    hashes.append(made.ravel())
+                    owners.append(np.tile(of[places], len(made)))
+            known, owner = np.concatenate(hashes), np.concatenate(owners).astype(np.int32)
             order = np.argsort(known, kind="stable")
             bits = min(28, max(10, (256 * len(known)).bit_length()))
-            field, mask = np.zeros(1 << bits - 3, np.uint8), (1 << bits) - 1
-            np.bitwise_or.at(field, (known & mask) >> 3, np.left_shift(1, known & 7).astype(np.uint8))
-            lengths = [len(t) for _, t in of]
-            self.fields.append((edits, min(lengths) - edits, max(lengths) + edits, mask, field.tobytes(), known[order], owner[order]))
-
-    def __call__(self, word: str) -> list[int]:
-        found: set[int] = set()
-        for edits, least, most, mask, field, known, owner in self.fields:
-            if least <= len(word) <= most:
-                hits = [h for h in map(hash, shortened(word, edits)) if field[(h & mask) >> 3] >> (h & 7) & 1]
-                if hits:
-                    first, behind = known.searchsorted(hits), known.searchsorted(hits, "right")
-                    for a, b in zip(first.tolist(), behind.tolist(), strict=True):
-                        found.update(owner[a:b].tolist())
-        return sorted(found)
+            place = known >> U(64 - bits)
+            field = np.zeros(1 << bits - 3, np.uint8)
+            np.bitwise_or.at(field, place >> U(3), np.left_shift(1, place & U(7), dtype=U).astype(np.uint8))
+            self.fields.append((edits, min(lengths) - edits, max(lengths) + edits, U(64 - bits), field, known[order], owner[order]))
+
+    def __call__(self, words: list[str]) -> dict[int, set[int]]:
+        """For the place of each word near any term, those terms."""
+        found: dict[int, set[int]] = collections.defaultdict(set)
+        for edits, least, most, shift, field, known, owner in self.fields:
+            for length, places in by_length(words, least, most):
+                step = max(1, FORMS // sum(math.comb(length, n) for n in range(edits + 1)))
+                for at in range(0, len(places), step):
+                    part = places[at:at + step]
+                    for made in forms([words[i] for i in part], edits):
+                        place = made >> shift
+                        bits = field[place >> U(3)] >> (place & U(7)).astype(np.uint8) & 1
+                        way, word = np.nonzero(bits)
+                        hashes = made[way, word]
+                        first, behind = known.searchsorted(hashes), known.searchsorted(hashes, "right")
+                        for n in np.flatnonzero(first < behind).tolist():
+                            found[part[word[n]]].update(owner[first[n]:behind[n]].tolist())
+        return found
 
 
 class Matcher:
@@ -223,26 +262,39 @@ class Matcher:
         self.terms, self.limits = terms, [edits_for(t) for t in terms] if limits is None else limits
         self.plain = Automaton(terms, stems, [0] * len(terms))
         self.nearby = Nearby(terms, self.limits)
+        self.whole, self.least = frozenset(terms), min(map(len, stems), default=0)
+        self.starts = frozenset(s[:self.least] for s in stems)
         self.single: dict[int, Automaton] = {}
         self.entries = 0
 
     def match(self, word: str) -> tuple[int, int] | None:
         """The nearest term within its edits, and the edits; ties to the first term; a stem before a term with edits."""
-        best = self.plain.match(word)
-        if best is None:
-            for term in self.nearby(word):
-                if self.entries > ENTRIES:
-                    self.single.clear()
-                    self.entries = 0
-                one = self.single.get(term)
-                if one is None:
-                    one = self.single[term] = Automaton([self.terms[term]], (), [self.limits[term]])
-                    self.entries += one.entries
-                before = one.entries
-                found = one.match(word)
-                self.entries += one.entries - before
-                if found and (best is None or found[1] < best[1]):
-                    best = term, found[1]
+        return self.matches([word])[0]
+
+    def matches(self, words: list[str]) -> list[tuple[int, int] | None]:
+        """The match of each word; many at once take far less time each."""
+        least, starts, whole = self.least, self.starts, self.whole
+        best = [self.plain.match(w) if w[:least] in starts or w in whole else None for w in words]
+        rest = [i for i, m in enumerate(best) if m is None]
+        for place, terms in self.nearby([words[i] for i in rest]).items():
+            best[rest[place]] = self._nearest(words[rest[place]], sorted(terms))
+        return best
+
+    def _nearest(self, word: str, terms: list[int]) -> tuple[int, int] | None:
+        best = None
+        for term in terms:
+            if self.entries > ENTRIES:
+                self.single.clear()
+                self.entries = 0
+            one = self.single.get(term)
+            if one is None:
+                one = self.single[term] = Automaton([self.terms[term]], (), [self.limits[term]])
+                self.entries += one.entries
+            before = one.entries
+            found = one.match(word)
+            self.entries += one.entries - before
+            if found and (best is None or found[1] < best[1]):
+                best = term, found[1]
         return best
 
 
@@ -274,24 +326,32 @@ class Lexicon(dict):
         self.automaton, self.ordinary, self.size = Matcher(terms, stems, limits), ordinary, 0
         self.counts = counts or Counts(0, 0, (None,) * (len(terms) + len(stems)))
 
-    def __missing__(self, word: str) -> tuple[int, int] | None:
-        core = word.strip(EDGES)
-        found = None
-        if core:
-            found = self.automaton.match(core)
-            if found is None and not core.isalpha():
-                found = self.automaton.match(core.translate(LEET))
-                found = found and (found[0], max(1, found[1]))
-            if found and found[1] and core in self.ordinary:
-                found = None
-        # The sizes of the objects, roughly.
-        size = 160 + 2 * len(word)
-        if size < 1000:
-            if self.size > MEMORY:
-                self.clear()
-                self.size = 0
-            self.size += size
-            self[word] = found
+    def matches(self, words: Iterable[str]) -> dict[str, tuple[int, int]]:
+        """Those of the (different) words that match, each with its term and edits."""
+        found, unknown = {}, []
+        for word in words:
+            if word not in self:
+                unknown.append(word)
+            elif (match := self[word]) is not None:
+                found[word] = match
+        cores = [w.strip(EDGES) for w in unknown]
+        new = self.automaton.matches(cores)
+        odd = [i for i, m in enumerate(new) if m is None and not cores[i].isalpha()]
+        for i, match in zip(odd, self.automaton.matches([cores[i].translate(LEET) for i in odd]), strict=True):
+            new[i] = match and (match[0], max(1, match[1]))
+        for word, core, match in zip(unknown, cores, new, strict=True):
+            if match and (not core or match[1] and core in self.ordinary):
+                match = None
+            if match:
+                found[word] = match
+            # The sizes of the objects, roughly.
+            size = 160 + 2 * len(word)
+            if size < 1000:
+                if self.size > MEMORY:
+                    self.clear()
+                    self.size = 0
+                self.size += size
+                self[word] = match
         return found
 
 
@@ -305,18 +365,34 @@ def mentioned(words: list[str], at: int) -> bool:
 
 def features(text: str | None, lexicon: Lexicon, label: int | None = None) -> tuple[float, ...]:
     """The sums of FEATURES over a whole text; counts are damped by logarithms, the terms' log odds are added up."""
-    words = (text or "").lower().split()
-    hits = [(i, m) for i, w in enumerate(words) if (m := lexicon[w])]
-    sums, terms = [0, 0, 0, 0, 0], set()
-    for i, (term, edits) in hits:
-        if mentioned(words, i):
-            sums[2] += 1
-            continue
-        sums[1 if edits else 0] += 1
-        terms.add(term)
-        sums[4] += any(w.strip(EDGES) in ADDRESS for w in words[max(0, i - AROUND):i + AROUND + 1])
-    sums[3] = len(terms)
-    return (*(float(np.log1p(x)) for x in sums), sum(lexicon.counts.evidence(t, label) for t in sorted(terms)))
+    return next(features_of([text], lexicon, [label]))
+
+
+def features_of(texts: list[str | None], lexicon: Lexicon, labels: list[int | None]) -> Iterator[tuple[float, ...]]:
+    """The features of each text.  The words of BLOCK signs of texts, or of one longer text, are matched at once."""
+    size, block = 0, []
+    for text, label in zip(texts, labels, strict=True):
+        block.append(((text or "").lower().split(), label))
+        size += len(text or "")
+        if size >= BLOCK:
+            yield from _sums(block, lexicon)
+            size, block = 0, []
+    yield from _sums(block, lexicon)
+
+
+def _sums(block: list[tuple[list[str], int | None]], lexicon: Lexicon) -> Iterator[tuple[float, ...]]:
+    found = lexicon.matches(set().union(*(words for words, _ in block)))
+    for words, label in block:
+        sums, terms = [0, 0, 0, 0, 0], set()
+        for i, (term, edits) in [(i, found[w]) for i, w in enumerate(words) if w in found]:
+            if mentioned(words, i):
+                sums[2] += 1
+                continue
+            sums[1 if edits else 0] += 1
+            terms.add(term)
+            sums[4] += any(w.strip(EDGES) in ADDRESS for w in words[max(0, i - AROUND):i + AROUND + 1])
+        sums[3] = len(terms)
+        yield (*(float(np.log1p(x)) for x in sums), sum(lexicon.counts.evidence(t, label) for t in sorted(terms)))
 
 
 def fit(rows: np.ndarray, labels: np.ndarray, shares: np.ndarray | None = None, steps: int = 60) -> np.ndarray:
@@ -361,8 +437,8 @@ def _features(docs: DataFrame, model: ToxicityModel, label: str | None = None) -
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         of = lexicon()
-        columns = columns_of(batch, "text", *([label] if label else []))
-        rows = [features(*((r[0], of, *r[1:]))) for r in zip(*columns, strict=True)]
+        (texts,) = columns_of(batch, "text")
+        rows = features_of(texts, of, columns_of(batch, label)[0] if label else [None] * len(texts))
         yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept),
                                           *(pa.array(c, pa.float64()) for c in zip(*rows, strict=True))], [*kept, *FEATURES])
 
@@ -466,8 +542,8 @@ def _without_ordinary(model: ToxicityModel, counts: DataFrame, most: int) -> Tox
     def resembling(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         lookup = lexicon()
         words, bad, good = columns_of(batch, "word", "bad", "good")
-        near = [(w, m[0], m[1], g) for w, b, g in zip(words, bad, good, strict=True)
-                if b * model.counts.others < RATIO * g * model.counts.toxic and (m := lookup[w]) and m[1]]
+        common = {w: g for w, b, g in zip(words, bad, good, strict=True) if b * model.counts.others < RATIO * g * model.counts.toxic}
+        near = [(w, *m, common[w]) for w, m in lookup.matches(common).items() if m[1]]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*near)) or [[]] * 4, NEAR.values(), strict=True)], list(NEAR))
 
     near = cut(arrow_map(counts, resembling, "word string, term int, edits int, good long").withColumn("bin", F.floor(F.log2("good") * 8)))

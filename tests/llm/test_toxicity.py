@@ -47,6 +47,29 @@ def test_matcher_is_one_automaton_of_all_terms(terms, stems, words):
         assert parts.match(word) == whole.match(word)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.text("abé", min_size=1, max_size=11), st.integers(0, 3)), max_size=6, unique_by=lambda x: x[0]),
+       st.lists(st.text("abéx", max_size=12), max_size=12))
+def test_many_words_at_once(terms, words):
+    given_terms, limits = [t for t, _ in terms], [n for _, n in terms]
+    whole = toxicity.Automaton(given_terms, (), limits)
+    assert toxicity.Matcher(given_terms, (), limits).matches(words) == [whole.match(w) for w in words]
+
+
+def test_words_of_a_block_are_matched_at_once(monkeypatch):
+    texts = [f"you w{'abcdefgh'[i % 8]}rthless {'idi0t' * (i % 3)}, scum{i}" for i in range(60)] + [None, ""]
+    asked, matches = [], toxicity.Matcher.matches
+    monkeypatch.setattr(toxicity.Matcher, "matches", lambda self, words: asked.append(words) or matches(self, words))
+    at_once = [*toxicity.features_of(texts, toxicity.Lexicon(TERMS), [None] * len(texts))]
+    # The words as they are, then those with other signs than letters.
+    assert len(asked) == 2 and not set(asked[0]) ^ {w.strip(",") for t in texts if t for w in t.split()}
+    monkeypatch.setattr(toxicity, "BLOCK", 1)
+    monkeypatch.setattr(toxicity, "MEMORY", 0)
+    monkeypatch.setattr(toxicity, "FORMS", 1)
+    one = toxicity.Lexicon(TERMS)
+    assert at_once == [toxicity.features(t, one) for t in texts] == [*toxicity.features_of(texts, one, [None] * len(texts))]
+
+
 def test_words_far_from_all_terms_make_no_states():
     terms = [a + b + "ortless" for a in "abcdefgh" for b in "ijklmnop"]
     matcher = toxicity.Lexicon(terms).automaton
