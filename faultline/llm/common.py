@@ -13,8 +13,10 @@ from pyspark.sql.types import StructType
 
 from faultline.session import cut, shared_folder
 
-__all__ = ["arrow_map", "columns_of", "cut", "default_tokenizer", "held", "least_bin", "reachable", "shared_folder", "table"]
+__all__ = ["arrow_map", "columns_of", "cut", "default_tokenizer", "held", "least_bin", "reachable", "shared_folder", "sliced", "table"]
 
+#: Bytes of a batch that a task gives back, about: many small buffers are used again, large ones each leave a gap.
+GIVEN_BACK = 1 << 20
 #: Arrow batches end at so many rows or bytes, whichever comes first: texts can be long.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4096", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
@@ -44,14 +46,25 @@ def default_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in batches of about GIVEN_BACK bytes, or of one larger row."""
+    step = max(1, batch.num_rows * GIVEN_BACK // max(1, batch.nbytes))
+    if step >= batch.num_rows:
+        yield batch
+        return
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """Apply ``rows`` to each Arrow batch of ``df``; it yields any number of batches."""
+    """Apply ``rows`` to each Arrow batch of ``df``; it yields any number of batches, of any size."""
     reachable(df.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield from rows(batch)
+                for made in rows(batch):
+                    yield from sliced(made)
 
     return df.mapInArrow(each, schema)
 

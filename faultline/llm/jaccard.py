@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import arrow_map, columns_of, cut, held, reachable
+from faultline.llm.common import arrow_map, columns_of, cut, held, reachable, sliced
 from faultline.llm.components import components
 
 U = np.uint64
@@ -201,7 +201,7 @@ def _regions(docs: DataFrame, width: int, percent: int) -> DataFrame:
         size = np.diff(np.concatenate((first, [len(part)])))
         many = np.repeat(size, size) > 1
         name = np.repeat(np.add.reduceat(mix(node.astype(U)), first), size) if len(part) else part
-        yield pa.RecordBatch.from_arrays([pa.array(name[many].astype(np.int64)), pa.array(node[many])], ["region", "node"])
+        yield from sliced(pa.RecordBatch.from_arrays([pa.array(name[many].astype(np.int64)), pa.array(node[many])], ["region", "node"]))
 
     rows = arrow_map(docs, stand, "part long, node long")
     return rows.repartition("part").mapInArrow(shared, "region long, node long").dropDuplicates(["region", "node"])
